@@ -38,6 +38,8 @@ FREQUENT = 50_000
 #: Groups of a token up to which its pairs are all made.
 LONG = 48
 PIVOT_ROUNDS = 2
+#: Bytes of text that are grouped at a time.
+RUN = 8_000_000
 
 _ROWS = "doc_id long, n_shingles long, leader long, variant long, token long"
 
@@ -111,18 +113,6 @@ def _fold(ids: np.ndarray, token: np.ndarray, first: np.ndarray) -> np.ndarray:
     return leader
 
 
-def _among(values: np.ndarray, few: np.ndarray) -> np.ndarray:
-    """Which values are in ``few`` (ascending); a table of top bits spares most of the searches."""
-    out = np.zeros(len(values), bool)
-    if len(few):
-        top = np.zeros(1 << 20, bool)
-        top[few >> np.uint64(44)] = True
-        at = np.flatnonzero(top[values >> np.uint64(44)])
-        found = np.minimum(np.searchsorted(few, values[at]), len(few) - 1)
-        out[at] = few[found] == values[at]
-    return out
-
-
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Common values of two ascending sets."""
     if len(a) > len(b):
@@ -136,9 +126,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 def _groups(frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, end - at) for b in batches for at, end in T.runs(b.column(1), RUN)):
             parts = list(shingle_sets(batch.column(1)))
             token = np.concatenate([t for _, t, _ in parts])
             size = np.concatenate([np.diff(f) for _, _, f in parts])
@@ -163,7 +151,7 @@ def _groups(frequent):
                 continue
             # prefixes: within each row the tokens that aren't frequent, ascending, and then those that are
             row = np.repeat(np.arange(len(size)), size)
-            last = _among(token, late)
+            last = T.among(token, late)
             before = np.concatenate([[0], np.cumsum(~last)])
             early = before[:-1] - before[first[row]]
             place = np.where(last, (before[first[1:]] - before[first[:-1]])[row] + np.arange(len(row)) - first[row] - early, early)
@@ -205,19 +193,28 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long, ok boolean")
 
 
-def _open(pairs: DataFrame, sets: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
-    """Linked group pairs (a, b) among ``pairs``: leaders first, then the different members of groups that have some."""
-    pairs = scratch.table(pairs.select("a", "b").distinct(), "pairs")
-    done = scratch.table(compare(pairs, sets).where("ok").select("a", "b"), "linked")
-    left = pairs.join(done, ["a", "b"], "left_anti")
+def _open(pairs: DataFrame, stars: DataFrame | None, docs: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """Linked group pairs (a, b): leaders are compared first, then, for ``pairs``, the groups' different members.
+
+    ``stars`` meet their pivots by their leaders alone. Token sets are made for the documents in question only.
+    """
+    both = pairs if stars is None else pairs.unionByName(stars)
+    both = scratch.table(both.distinct(), "both")
+    several = own.where("leader <> doc_id and variant is not null")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("leader")).distinct()
+    members = scratch.table(several.join(ends, "leader", "left_semi").groupBy("leader", "variant").agg(F.min("doc_id").alias("doc_id")).select("leader", "doc_id"), "members")
+    need = scratch.table(both.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select("doc_id")).distinct(), "need")
+    sets = scratch.table(docs.where("doc_id is not null").join(need, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens binary"), "sets")
+    done = scratch.table(compare(both, sets).where("ok").select("a", "b").distinct(), "linked")
+    left = pairs.distinct().join(done, ["a", "b"], "left_anti")
     other = members.select(F.col("leader").alias("a"), F.col("doc_id").alias("p"))
     mate = members.select(F.col("leader").alias("b"), F.col("doc_id").alias("q"))
-    many = left.join(other, "a", "left").join(mate, "b", "left").where("p is not null or q is not null")
-    # every combination of a member or leader of a with one of b, but for the two leaders themselves
-    spread = many.select("a", "b", F.explode(F.array(F.struct(F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q")), F.struct(F.col("a").alias("p"), F.coalesce("q", "b").alias("q")), F.struct(F.coalesce("p", "a").alias("p"), F.col("b").alias("q")))).alias("s")).select("a", "b", "s.p", "s.q").where("p <> a or q <> b").distinct()
-    spread = scratch.table(spread, "members")
-    met = compare(spread.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), sets).where("ok").select(F.col("a").alias("p"), F.col("b").alias("q"))
-    return done.unionByName(spread.join(met, ["p", "q"]).select("a", "b")).distinct()
+    many = left.join(other, "a", "left").join(mate, "b", "left").where("p is not null or q is not null").select("a", "b", F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q"))
+    # a member or leader of a with one of b, but for the two leaders themselves
+    spread = many.select("a", "b", F.explode(F.array(F.struct("p", "q"), F.struct(F.col("a").alias("p"), "q"), F.struct("p", F.col("b").alias("q")))).alias("s")).select("a", "b", "s.p", "s.q").where("p <> a or q <> b").distinct()
+    spread = scratch.table(spread, "spread")
+    met = compare(spread.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), sets).where("ok").select(F.col("a").alias("p"), F.col("b").alias("q")).distinct()
+    return done.unionByName(scratch.table(spread.join(met, ["p", "q"]).select("a", "b").distinct(), "opened"))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,39 +236,39 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = scratch.table(matrix.join(shared.where("groups > 2").select("token", "groups"), "token"), "lists")
     long_lists = lists.where(F.col("groups") > LONG).select("token", "leader")
 
-    # what each active group has: its size in tokens (single documents only) and its tokens in long lists
-    active = shared.where("groups = 2").select(F.explode(F.array("a", "b")).alias("leader")).unionByName(lists.select("leader")).distinct()
-    active = scratch.table(active, "active")
-    members = scratch.table(own.where("leader <> doc_id and variant is not null").join(active, "leader", "left_semi").groupBy("leader", "variant").agg(F.min("doc_id").alias("doc_id")).select("leader", "doc_id"), "members")
-    need = scratch.table(active.select(F.col("leader").alias("doc_id")).unionByName(members.select("doc_id")).distinct(), "need")
-    sets = scratch.table(docs.where("doc_id is not null").join(need, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens binary"), "sets")
-    single = active.join(members.select("leader").distinct(), "leader", "left_anti")
-    info = sets.join(single.withColumnRenamed("leader", "doc_id"), "doc_id").groupBy("doc_id").agg((F.max(F.length("tokens")) / 8).cast("long").alias("n"), F.count("*").alias("texts"))
-    info = info.join(long_lists.groupBy(F.col("leader").alias("doc_id")).agg(F.count("*").alias("long")), "doc_id", "left").select("doc_id", F.when(F.col("texts") == 1, F.col("n")).alias("n"), F.coalesce("long", F.lit(0)).alias("long"))
+    # a single document's tokens (null: a group of several, or an id of several texts) and those of them in long lists
+    info = own.where("leader is not null and n_shingles > 0").groupBy("leader").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
+    info = info.join(long_lists.groupBy("leader").agg(F.count("*").alias("long")), "leader", "left").select("leader", F.when(F.col("rows") == 1, F.col("n")).alias("n"), F.coalesce("long", F.lit(0)).alias("long"))
     info = scratch.table(info, "info")
 
-    # pairs of short lists, with their counts
+    def sized(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(info.select(F.col("leader").alias("a"), "n", F.col("long").alias("k")), "a", "left")
+        pairs = pairs.join(info.select(F.col("leader").alias("b"), F.col("n").alias("m"), F.col("long").alias("l")), "b", "left")
+        return pairs.where(F.coalesce(100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"), F.lit(True)) | F.col("n").isNull() | F.col("m").isNull())
+
+    # pairs of short lists, counted; one is kept if the count, the long lists and what lies behind the prefixes can reach
     short = lists.where(F.col("groups") <= LONG).select("token", "leader")
     met = shared.where("groups = 2").select("a", "b").unionByName(short.alias("l").join(short.alias("r"), "token").where("l.leader < r.leader").select(F.col("l.leader").alias("a"), F.col("r.leader").alias("b")))
-    counts = met.groupBy("a", "b").agg(F.count("*").alias("c"))
-    counts = counts.join(info.select(F.col("doc_id").alias("a"), F.col("n").alias("n"), F.col("long").alias("k")), "a", "left").join(info.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("long").alias("l")), "b", "left")
-    behind = lambda c: F.floor((F.col(c) * PERCENT + 99) / 100) - 1  # noqa: E731  tokens after a prefix, rounded up
+    behind = lambda c: F.floor((F.col(c) * PERCENT + 99) / 100) - 1
     reach = (100 + PERCENT) * (F.col("c") + F.least("k", "l") + F.greatest(behind("n"), behind("m"))) >= PERCENT * (F.col("n") + F.col("m"))
-    near = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
-    pairs = counts.where(F.coalesce(reach & near, F.lit(True))).select("a", "b")
-
-    links = scratch.table(_open(pairs, sets, members, scratch), "links")
+    pairs = sized(met.groupBy("a", "b").agg(F.count("*").alias("c"))).where(reach | F.col("n").isNull() | F.col("m").isNull())
+    pairs = scratch.table(pairs.select("a", "b"), "pairs")
+    stars = None
     if long_lists.limit(1).count():
         for turn in range(PIVOT_ROUNDS):
             pivot = long_lists.groupBy("token").agg(F.min_by("leader", F.xxhash64("leader", F.lit(turn))).alias("pivot"))
-            star = long_lists.join(pivot, "token").where("leader <> pivot").select(F.least("leader", "pivot").alias("a"), F.greatest("leader", "pivot").alias("b")).distinct()
-            links = links.unionByName(scratch.table(compare(star, sets).where("ok").select("a", "b"), "pivots"))
+            star = long_lists.join(pivot, "token").where("leader <> pivot").select(F.least("leader", "pivot").alias("a"), F.greatest("leader", "pivot").alias("b"))
+            stars = star if stars is None else stars.unionByName(star)
+        stars = scratch.table(sized(stars.distinct()).select("a", "b"), "stars")
+    links = _open(pairs, stars, docs, own, scratch)
+    if stars is not None:
         comp = scratch.table(connected_components(links), "comp")
         marked = scratch.table(long_lists.join(comp.withColumnRenamed("node", "leader"), "leader", "left").select("token", "leader", F.coalesce("component", "leader").alias("comp")), "marked")
         main = marked.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
         outside = marked.join(main, "token").where("comp <> main").select("token", F.col("leader").alias("p"), F.col("comp").alias("cp"))
         left = outside.join(marked, "token").where("comp <> cp").select(F.least("p", "leader").alias("a"), F.greatest("p", "leader").alias("b")).distinct()
-        links = links.unionByName(scratch.table(_open(left, sets, members, scratch), "rest"))
+        left = left.join(pairs, ["a", "b"], "left_anti")
+        links = links.unionByName(_open(scratch.table(sized(left).select("a", "b"), "rest"), None, docs, own, scratch))
     # a repeated id is one node: it ties the groups that its rows are in
     several = own.groupBy("doc_id").agg(F.min("leader").alias("a"), F.max("leader").alias("z")).where("a < z").select("doc_id", "a")
     links = links.unionByName(scratch.table(own.join(several, "doc_id").select("a", F.col("leader").alias("b")).where("a <> b"), "tied"))

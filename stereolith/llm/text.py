@@ -145,3 +145,15 @@ def sets(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(g), bool)
     keep[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
     return g[keep], np.searchsorted(row[keep], np.arange(len(first)))
+
+
+def among(values: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which values are in ``few`` (ascending); a table of top bits spares most of the searches."""
+    out = np.zeros(len(values), bool)
+    if len(few):
+        top = np.zeros(1 << 20, bool)
+        top[few >> U(44)] = True
+        at = np.flatnonzero(top[values >> U(44)])
+        found = np.minimum(np.searchsorted(few, values[at]), len(few) - 1)
+        out[at] = few[found] == values[at]
+    return out
