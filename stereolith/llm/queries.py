@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stereolith.llm import jaccard_join
+from stereolith.llm import decontaminate, jaccard_join, language_id, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +22,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(toxicity.label_rows(docs, table(spark, sf_dir, "labels")))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op2_decontaminate"] = r"""
+with words as (
+  select 'd' as kind, doc_id as id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all
+  select 'i', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+shingles as (
+  select distinct kind, id, array_to_string(w[k : k + 4], ' ') as s
+  from (select kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as k from words where len(w) > 0)),
+size as (select id as item_id, count(*) as item_shingles from shingles where kind = 'i' group by 1),
+met as (
+  select d.id as doc_id, i.id as item_id, count(*) as shared
+  from shingles d join shingles i on d.s = i.s and d.kind = 'd' and i.kind = 'i' group by 1, 2)
+select doc_id, item_id, shared, item_shingles, cast(shared as double) / item_shingles as containment
+from met join size using (item_id) where 100 * shared >= 80 * item_shingles
+""".replace("\\\\", "\\")
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.assign(packing.pieces(table(spark, sf_dir, "documents"), word_bpe(), with_ids=False))
+
+
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(language_id.train_rows_of(docs))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
