@@ -2,26 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stereolith.plans.scratch import Scratch
 
+#: Edges a task, where a round's result is written.
+EDGES_A_TASK = 250_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's edges (a > b) as edges from each node to the smallest of its tree: hubs and copies shrink before a shuffle."""
+    for batch in batches:
+        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        label = np.arange(len(nodes))
+        while True:
+            before = label.copy()
+            low = np.minimum(label[x], label[y])
+            np.minimum.at(label, label[x], low)
+            np.minimum.at(label, label[y], low)
+            label = label[label]
+            if (label == before).all():
+                break
+        on = label != np.arange(len(nodes))
+        yield pa.record_batch({"a": nodes[on], "b": nodes[label[on]]})
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One half round. A hub's rows are pre-aggregated to its minimum, then meet it in a join that can be split."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    else:
-        both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     met = both.join(low, "u")
     if large:
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -31,16 +55,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     the shared folder, so long chains neither grow the plan nor depend on one executor.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    clean = edges.where("a is not null and b is not null").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    nodes = scratch.table(clean.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    now = scratch.table(clean.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    clean = edges.where("a is not null and b is not null").select(F.greatest(F.col("a").cast("long"), F.col("b").cast("long")).alias("a"), F.least(F.col("a").cast("long"), F.col("b").cast("long")).alias("b"))
+    given = scratch.table(clean.distinct(), "given")
+    now = given.where("a > b").mapInArrow(_forest, "a long, b long")
     before = None
     for _ in range(max_rounds):
-        now = scratch.table(_star(_star(now, True), False), "edges")
+        turn = _star(_star(now, True), False).distinct()
+        if before:
+            turn = turn.coalesce(max(8, before[0] // EDGES_A_TASK))
+        now = scratch.table(turn, "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     else:
         raise RuntimeError("components did not settle")
-    return nodes.join(now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")), "node", "left").select("node", F.coalesce("low", "node").alias("component"))
+    low = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    roots = now.select(F.col("b").alias("node")).unionByName(given.where("a = b").select(F.col("a").alias("node"))).distinct().join(low, "node", "left_anti")
+    return low.unionByName(roots.select("node", F.col("node").alias("component")))

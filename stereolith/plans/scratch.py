@@ -13,6 +13,7 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,9 +47,16 @@ class Scratch:
         self.made.append(at)
         return at
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """``df``, written and read again; ``batch`` rows at most go to Python at a time while it is written."""
         at = self.path(name)
-        df.write.parquet(at)
+        before = self.spark.conf.get(BATCH)
+        try:
+            if batch:
+                self.spark.conf.set(BATCH, str(batch))
+            df.write.parquet(at)
+        finally:
+            self.spark.conf.set(BATCH, before)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, keep: tuple[str, ...] = ()) -> None:
