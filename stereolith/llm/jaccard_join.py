@@ -6,8 +6,8 @@ A document's tokens are the distinct hashes (64 bits) of its 5-word shingles. Th
    that reach the threshold form a group around it. A group is a set of documents already linked, so copies and
    near copies are folded where they are read, before anything is shuffled, however many there are.
 2. **Matrix.** For each group the union of its members' prefix tokens is stored, one (token, group) row each. The
-   prefix of n tokens is the floor(0.2 n) + 1 first in one global order (rare before the most frequent, then by
-   hash); documents that reach the threshold share a prefix token, whatever that order is.
+   prefix of n tokens is the floor(0.2 n) + 1 first in one global order (by hash, but tokens that a first pass found in
+   several groups' prefixes last); documents that reach the threshold share a prefix token, whatever that order is.
 3. **Bound.** Groups that share tokens are counted. For two single documents, the count plus what lies behind
    the prefixes bounds the overlap; pairs that can't reach the threshold are never opened.
 4. **Open.** A qualifying pair is compared on whole token sets: first the groups' leaders, then, if those are
@@ -33,10 +33,15 @@ from stereolith.plans.scratch import Scratch
 
 PERCENT = 80
 SHINGLE = 5
-#: Tokens, of the most frequent, that come last in the order. A bound on what is broadcast; any value gives the same result.
-FREQUENT = 50_000
+#: Tokens, of those in most groups, that come last in the order. A bound on what is broadcast (8 bytes each); any value
+#: gives the same result.
+FREQUENT = 1_000_000
+#: Groups of a token from which it may be one of them.
+COMMON = 4
 #: Groups of a token up to which its pairs are all made.
-LONG = 48
+LONG = 8
+#: Rows that go to Python at a time.
+BATCH = 2_500
 PIVOT_ROUNDS = 2
 #: Bytes of text that are grouped at a time.
 RUN = 8_000_000
@@ -64,23 +69,6 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, documents) for tokens in more than one document of a batch."""
-    for batch in batches:
-        parts = [t for _, t, _ in shingle_sets(batch.column(1))]
-        if not parts:
-            continue
-        token, count = np.unique(np.concatenate(parts), return_counts=True)
-        on = count > 1
-        yield pa.record_batch({"token": _signed(token[on]), "n": count[on].astype(np.int64)})
-
-
-def frequent_tokens(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
-    """The ``most`` tokens repeated most often within batches, over all documents (ties: smaller token), ascending."""
-    found = docs.select("doc_id", "text").mapInArrow(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 8").orderBy(F.desc("n"), "token").limit(most)
-    return np.sort(np.array([r[0] for r in found.select("token").collect()], np.int64).view(np.uint64))
-
-
 def _fold(ids: np.ndarray, token: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Each row's leader (a row number): the first row of its MinHash value if they are linked, else the row itself."""
     n = np.diff(first)
@@ -123,9 +111,11 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
 
 
-def _groups(frequent):
+def _groups(frequent=None):
+    """Rows of two kinds: a document's (token null) and a group's prefix tokens; without ``frequent`` the latter only, by hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = frequent.value
+        late = frequent.value if frequent else np.zeros(0, np.uint64)
         for batch in (b.slice(at, end - at) for b in batches for at, end in T.runs(b.column(1), RUN)):
             parts = list(shingle_sets(batch.column(1)))
             token = np.concatenate([t for _, t, _ in parts])
@@ -144,9 +134,10 @@ def _groups(frequent):
                 bounds = np.stack([first[:-1], np.maximum(first[1:], first[:-1])], 1).ravel()
                 digest = np.where(size > 0, np.bitwise_xor.reduceat(np.append(T.mix(token + np.uint64(1)), np.uint64(0)), bounds)[::2], np.uint64(0))
             real = ids
-            yield pa.record_batch(
-                {"doc_id": batch.column(0).cast(pa.int64()), "n_shingles": size.astype(np.int64), "leader": pa.array(real[leader], mask=~known), "variant": pa.array(_signed(digest), mask=digest == digest[leader]), "token": pa.nulls(len(size), pa.int64())}
-            )
+            if frequent:
+                yield pa.record_batch(
+                    {"doc_id": batch.column(0).cast(pa.int64()), "n_shingles": size.astype(np.int64), "leader": pa.array(real[leader], mask=~known), "variant": pa.array(_signed(digest), mask=digest == digest[leader]), "token": pa.nulls(len(size), pa.int64())}
+                )
             if not len(use):
                 continue
             # prefixes: within each row the tokens that aren't frequent, ascending, and then those that are
@@ -198,14 +189,15 @@ def _open(pairs: DataFrame, stars: DataFrame | None, docs: DataFrame, own: DataF
 
     ``stars`` meet their pivots by their leaders alone. Token sets are made for the documents in question only.
     """
-    both = pairs if stars is None else pairs.unionByName(stars)
-    both = scratch.table(both.distinct(), "both")
+    both = pairs if stars is None else pairs.unionByName(stars).distinct()
     several = own.where("leader <> doc_id and variant is not null")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("leader")).distinct()
     members = scratch.table(several.join(ends, "leader", "left_semi").groupBy("leader", "variant").agg(F.min("doc_id").alias("doc_id")).select("leader", "doc_id"), "members")
     need = scratch.table(both.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select("doc_id")).distinct(), "need")
-    sets = scratch.table(docs.where("doc_id is not null").join(need, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens binary"), "sets")
-    done = scratch.table(compare(both, sets).where("ok").select("a", "b").distinct(), "linked")
+    sets = scratch.table(docs.where("doc_id is not null").join(need, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens binary"), "sets", BATCH)
+    done = scratch.table(compare(both, sets).where("ok").select("a", "b").distinct(), "linked", BATCH)
+    if not members.limit(1).count():
+        return done
     left = pairs.distinct().join(done, ["a", "b"], "left_anti")
     other = members.select(F.col("leader").alias("a"), F.col("doc_id").alias("p"))
     mate = members.select(F.col("leader").alias("b"), F.col("doc_id").alias("q"))
@@ -214,7 +206,15 @@ def _open(pairs: DataFrame, stars: DataFrame | None, docs: DataFrame, own: DataF
     spread = many.select("a", "b", F.explode(F.array(F.struct("p", "q"), F.struct(F.col("a").alias("p"), "q"), F.struct("p", F.col("b").alias("q")))).alias("s")).select("a", "b", "s.p", "s.q").where("p <> a or q <> b").distinct()
     spread = scratch.table(spread, "spread")
     met = compare(spread.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), sets).where("ok").select(F.col("a").alias("p"), F.col("b").alias("q")).distinct()
-    return done.unionByName(scratch.table(spread.join(met, ["p", "q"]).select("a", "b").distinct(), "opened"))
+    return done.unionByName(scratch.table(spread.join(met, ["p", "q"]).select("a", "b").distinct(), "opened", BATCH))
+
+
+def _near_labels(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node within two links. Equal labels mean the same component; different ones need not differ."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    further = both.join(low.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
+    return further.select(F.col("a").alias("node"), F.col("m").alias("component"))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,8 +227,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    late = spark.sparkContext.broadcast(frequent_tokens(docs))
-    rows = scratch.table(docs.mapInArrow(_groups(late), _ROWS), "groups")
+    first = scratch.table(docs.mapInArrow(_groups(), _ROWS).groupBy("token").agg(F.count("*").alias("groups")).where(F.col("groups") >= COMMON), "common", BATCH)
+    most = first.orderBy(F.desc("groups"), "token").limit(FREQUENT).select("token").toArrow()["token"].to_numpy()
+    late = spark.sparkContext.broadcast(np.sort(most.view(np.uint64)))
+    rows = scratch.table(docs.mapInArrow(_groups(late), _ROWS), "groups", BATCH)
     own = rows.where("token is null").select("doc_id", "n_shingles", "leader", "variant")
     matrix = rows.where("token is not null").select("token", "leader")
 
@@ -262,16 +264,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         stars = scratch.table(sized(stars.distinct()).select("a", "b"), "stars")
     links = _open(pairs, stars, docs, own, scratch)
     if stars is not None:
-        comp = scratch.table(connected_components(links), "comp")
+        comp = scratch.table(_near_labels(links), "comp")
         marked = scratch.table(long_lists.join(comp.withColumnRenamed("node", "leader"), "leader", "left").select("token", "leader", F.coalesce("component", "leader").alias("comp")), "marked")
         main = marked.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
         outside = marked.join(main, "token").where("comp <> main").select("token", F.col("leader").alias("p"), F.col("comp").alias("cp"))
         left = outside.join(marked, "token").where("comp <> cp").select(F.least("p", "leader").alias("a"), F.greatest("p", "leader").alias("b")).distinct()
         left = left.join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(_open(scratch.table(sized(left).select("a", "b"), "rest"), None, docs, own, scratch))
+        rest = scratch.table(sized(left).select("a", "b"), "rest")
+        if rest.limit(1).count():
+            links = links.unionByName(_open(rest, None, docs, own, scratch))
     # a repeated id is one node: it ties the groups that its rows are in
     several = own.groupBy("doc_id").agg(F.min("leader").alias("a"), F.max("leader").alias("z")).where("a < z").select("doc_id", "a")
-    links = links.unionByName(scratch.table(own.join(several, "doc_id").select("a", F.col("leader").alias("b")).where("a <> b"), "tied"))
+    if (several := scratch.table(several, "several")).limit(1).count():
+        links = links.unionByName(own.join(several, "doc_id").select("a", F.col("leader").alias("b")).where("a <> b"))
     comp = scratch.table(connected_components(links), "classes")
     lead = own.join(comp.withColumnRenamed("node", "leader"), "leader", "left").select("doc_id", "n_shingles", F.coalesce("component", "leader").alias("root"))
     low = lead.groupBy("root").agg(F.min("doc_id").alias("component_id"))
