@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stereolith.llm import decontaminate, jaccard_join, language_id, license_scan, packing, topk_search, toxicity
+from stereolith.llm import decontaminate, jaccard_join, language_id, license_scan, lm_score, packing, topk_search, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,6 +58,29 @@ from met join size using (item_id) where 100 * shared >= 80 * item_shingles
 """.replace("\\\\", "\\")
 
 
+@query
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_score.scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round(F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")), 6).alias("mean_score"))
+
+
+SQL["op3_lm_score"] = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+p as (select r, k, w[k] as b, case when k > 1 then w[k - 1] end as a from (select r, w, unnest(range(1, len(w) + 1)) as k from d)),
+one as (select b as word, count(*) as c from p group by 1),
+two as (select a, b, count(*) as c from p where a is not null group by 1, 2),
+n as (select count(*) as n from p),
+s as (
+  select p.r, case when two.c >= 2 then ln(cast(two.c as double) / ctx.c)
+    when p.a is not null then ln(0.4e0) + ln(cast(own.c as double) / n.n) else ln(cast(own.c as double) / n.n) end as s
+  from p cross join n join one own on own.word = p.b left join two on two.a = p.a and two.b = p.b left join one ctx on ctx.word = p.a),
+t as (select r, sum(s) as score from s group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, round(coalesce(score, 0), 4) as score, case when len(w) > 0 then round(score / len(w), 6) end as mean_score
+from d left join t using (r)
+""".replace("\\\\", "\\")
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(packing.pieces(table(spark, sf_dir, "documents"), word_bpe(), with_ids=False))
