@@ -5,8 +5,9 @@ Features of a text are the distinct hashes of its words (runs of letters of the
 features move as fast as frequent ones and the L1 term leaves all but a few thousand weights at zero; what is broadcast
 is a sorted list of feature hashes with their weights, of ``MAX_WEIGHTS`` entries at most.
 
-Training reads at most ``TRAIN_ROWS`` labelled rows (smallest hash of the id first), dealt over tasks of about
-``SHARD_ROWS`` that each run FTRL over their rows; a feature's weight is the mean over the shards that saw it. Everything else covers all rows.
+Training reads at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of the id. A table of counts, summed over tasks, drops
+features that fewer than ``LEAST`` of them have; the rows' remaining features are small enough for one task, which runs FTRL
+over them in hash order. Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -21,10 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stereolith.llm import text as T
+from stereolith.plans.scratch import Scratch
 
 TRAIN_ROWS = 24_000
-#: Rows of a training task, beyond which the sample is dealt over more tasks.
-SHARD_ROWS = 12_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
 #: Training rows that a feature must be in.
@@ -94,42 +94,76 @@ def ftrl(first: np.ndarray, index: np.ndarray, y: np.ndarray, size: int, epochs:
     return w, n, -bz / ((BETA + bn**0.5) / ALPHA + L2)
 
 
-def _shard(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["order", "y"], kind="stable")
-    column = pa.array(rows["text"], pa.string())
+def _distinct(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, distinct features, firsts) of runs of rows."""
+    for a, b in T.runs(column):
+        row, f = features(column.slice(a, b - a))
+        order = np.argsort(row, kind="stable")
+        yield a, *T.sets(f[order], np.searchsorted(row[order], np.arange(b - a + 1)))
 
-    def distinct() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for a, b in T.runs(column):
-            row, f = features(column.slice(a, b - a))
-            order = np.argsort(row, kind="stable")
-            f, first = T.sets(f[order], np.searchsorted(row[order], np.arange(b - a + 1)))
-            yield np.repeat(np.arange(a, b), np.diff(first)), f
-
-    # features that are surely too rare go first, by a table of counts, so that the state stays small
-    seen = np.zeros(1 << 24, np.int32)
-    for _, f in distinct():
-        seen += np.bincount(f >> np.uint64(40), minlength=1 << 24).astype(np.int32)
-    parts = [(row[on], f[on]) for row, f in distinct() for on in [np.flatnonzero(seen[f >> np.uint64(40)] >= LEAST)]]
-    row, f = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    key, index, count = np.unique(f, return_inverse=True, return_counts=True)
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, counts): how many rows have a feature of each of 2^24 slots, in blocks of 2^18."""
+    seen = np.zeros(1 << 24, np.uint16)
+    for batch in batches:
+        for _, f, _ in _distinct(batch.column(batch.schema.get_field_index("text"))):
+            np.add.at(seen, f >> np.uint64(40), 1)
+    for k, part in enumerate(seen.reshape(64, -1)):
+        if part.any():
+            yield pa.record_batch({"block": pa.array([k], pa.int64()), "counts": pa.array([part.astype("<u2").tobytes()], pa.binary())})
+
+
+def _enough(rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, "<u2").astype(np.int64) for x in rows["counts"])
+    return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [np.packbits(total >= LEAST).tobytes()]})
+
+
+def _reduced(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.unpackbits(bits.value).astype(bool)
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("text"))
+            out = []
+            for _, f, first in _distinct(column):
+                on = common[f >> np.uint64(40)]
+                left = np.concatenate([[0], np.cumsum(on)])[first]
+                f = f[on]
+                out += [f[i:j].tobytes() for i, j in zip(left[:-1], left[1:], strict=True)]
+            yield pa.record_batch({"order": batch.column(batch.schema.get_field_index("order")), "y": batch.column(batch.schema.get_field_index("y")), "f": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _fit(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["order", "y", "f"], kind="stable")
+    parts = [np.frombuffer(x, np.uint64) for x in rows["f"]]
+    key, index, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     keep = count >= LEAST
-    row, index = row[keep[index]], (np.cumsum(keep) - 1)[index[keep[index]]]
+    row = np.repeat(np.arange(len(rows)), [len(p) for p in parts])[keep[index]]
+    index = (np.cumsum(keep) - 1)[index[keep[index]]]
     w, _, bias = ftrl(np.searchsorted(row, np.arange(len(rows) + 1)), index, rows["y"].to_numpy(float), int(keep.sum()))
-    return pd.DataFrame({"key": np.append(key[keep].view(np.int64), 0), "w": np.append(w, bias), "bias": np.append(np.zeros(len(w), bool), True)})
+    on = np.flatnonzero(w)
+    on = on[np.argsort(-np.abs(w[on]), kind="stable")[:MAX_WEIGHTS]]
+    return pd.DataFrame({"key": np.append(key[keep][on].view(np.int64), 0), "w": np.append(w[on], bias), "bias": np.append(np.zeros(len(on), bool), True)})
 
 
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """``labelled``: ``doc_id, text, y`` (0 or 1; null rows are left out)."""
+    """``labelled``: ``doc_id, text, y`` (0 or 1; rows with a null are left out). One task fits the bounded, reduced sample."""
+    spark = labelled.sparkSession
+    scratch = Scratch(spark, "toxicity")
     rows = labelled.where("y is not null and text is not null").withColumn("order", F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")))
-    rows = rows.orderBy("order", "y").limit(train_rows).persist()
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
-    rows = rows.withColumn("shard", F.pmod("order", F.lit(shards))).select("shard", "order", "text", "y")
-    found = rows.groupBy("shard").applyInPandas(_shard, "key long, w double, bias boolean")
-    # a feature that a shard saw but left at zero counts there as zero
-    found = found.groupBy("key", "bias").agg(F.avg("w").alias("w")).where("w <> 0").orderBy(F.desc("bias"), F.desc(F.abs("w")), "key").limit(MAX_WEIGHTS + 1).toPandas()
-    w = found[~found["bias"]]
-    order = np.argsort(w["key"].to_numpy().view(np.uint64))
-    return Model(w["key"].to_numpy().view(np.uint64)[order], w["w"].to_numpy()[order], float(found[found["bias"]]["w"].sum()))
+    n = rows.count()
+    if n > train_rows:
+        rows = rows.where(F.col("order").bitwiseAND(F.lit((1 << 31) - 1)) < F.lit(int(train_rows / n * (1 << 31))))
+    rows = rows.select("order", "y", "text")
+    blocks = rows.mapInArrow(_sketch, "block long, counts binary").groupBy("block").applyInPandas(_enough, "block long, bits binary").collect()
+    bits = np.zeros((64, 1 << 15), np.uint8)
+    for r in blocks:
+        bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    small = scratch.table(rows.mapInArrow(_reduced(spark.sparkContext.broadcast(bits.ravel())), "order long, y int, f binary"), "sample")
+    found = small.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_fit, "key long, w double, bias boolean").collect()
+    w = sorted((r["key"] % (1 << 64), r["w"]) for r in found if not r["bias"])
+    return Model(np.array([k for k, _ in w], np.uint64), np.array([v for _, v in w]), float(sum(r["w"] for r in found if r["bias"])))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
