@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stereolith.llm import decontaminate, jaccard_join, language_id, license_scan, lm_score, packing, topk_search, toxicity
+from stereolith.llm import decontaminate, jaccard_join, language_id, license_scan, lm_score, packing, topk_search, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,6 +86,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(packing.pieces(table(spark, sf_dir, "documents"), word_bpe(), with_ids=False))
 
 
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), "response.refers_to")
+
+
+SQL["op5_warc"] = """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b) as payload_bytes, sha1(b) as hex, min(page_id) over (partition by b) as first from p),
+bits as (
+  select page_id, payload_bytes, first,
+    list_reduce(list_transform(range(1, 11), lambda i: lpad(bin(cast('0x' || substr(hex, 4 * i - 3, 4) as integer)), 16, '0')), lambda a, c: a || c) as b from d)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+  list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: cast(substr(b, 5 * i + j, 1) as integer) * cast(power(2, 5 - j) as integer)))::integer, 1)), lambda a, c: a || c) as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from bits
+"""
+
+
 @query
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
