@@ -13,9 +13,8 @@ A document's tokens are the distinct hashes (64 bits) of its 5-word shingles. Th
 4. **Open.** A qualifying pair is compared on whole token sets: first the groups' leaders, then, if those are
    not linked, the groups' different members.
 
-Tokens of over ``LONG`` groups are not paired off: each group meets one pivot of the token per round, components are
-formed, and afterwards only groups of different components that still share such a token are opened. No link between
-different components is lost: a pair that is left out is in one component already.
+Tokens of over ``LONG`` groups are not paired off: their groups gather in the cell of the token's pivot, and a cell is compared
+by products of its documents-by-tokens matrix, in blocks of bounded size. It returns trees of what is linked, not all links.
 """
 
 from __future__ import annotations
@@ -42,7 +41,8 @@ COMMON = 4
 LONG = 8
 #: Rows that go to Python at a time.
 BATCH = 2_500
-PIVOT_ROUNDS = 2
+#: Documents and tokens of a block of a cell, and columns of a matrix at a time.
+CELL_ROWS, CELL_TOKENS, COLUMNS = 1024, 1_000_000, 4096
 #: Bytes of text that are grouped at a time.
 RUN = 8_000_000
 
@@ -115,7 +115,7 @@ def _groups(frequent=None):
     """Rows of two kinds: a document's (token null) and a group's prefix tokens; without ``frequent`` the latter only, by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = frequent.value if frequent else np.zeros(0, np.uint64)
+        late, rank = frequent.value if frequent else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
         for batch in (b.slice(at, end - at) for b in batches for at, end in T.runs(b.column(1), RUN)):
             parts = list(shingle_sets(batch.column(1)))
             token = np.concatenate([t for _, t, _ in parts])
@@ -140,12 +140,15 @@ def _groups(frequent=None):
                 )
             if not len(use):
                 continue
-            # prefixes: within each row the tokens that aren't frequent, ascending, and then those that are
+            # prefixes: within each row the tokens that aren't common, ascending, and then those that are, rarest first
             row = np.repeat(np.arange(len(size)), size)
             last = T.among(token, late)
             before = np.concatenate([[0], np.cumsum(~last)])
-            early = before[:-1] - before[first[row]]
-            place = np.where(last, (before[first[1:]] - before[first[:-1]])[row] + np.arange(len(row)) - first[row] - early, early)
+            place = before[:-1] - before[first[row]]
+            tail = np.flatnonzero(last)
+            tail = tail[np.lexsort((rank[np.searchsorted(late, token[tail])], row[tail]))]
+            nth = np.arange(len(tail)) - np.searchsorted(row[tail], row[tail])
+            place[tail] = (before[first[1:]] - before[first[:-1]])[row[tail]] + nth
             most = size - (PERCENT * size + 99) // 100 + 1
             keep = (place < most[row]) & known[row]
             group, t = leader[row[keep]], token[keep]
@@ -184,12 +187,36 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long, ok boolean")
 
 
-def _open(pairs: DataFrame, stars: DataFrame | None, docs: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
-    """Linked group pairs (a, b): leaders are compared first, then, for ``pairs``, the groups' different members.
+def _cells(long_lists: DataFrame, docs: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) among the groups of long lists, by documents.
 
-    ``stars`` meet their pivots by their leaders alone. Token sets are made for the documents in question only.
+    A token's groups gather at the list's pivot; most tokens of a family of documents have the same one, so a group is in
+    few cells, and two groups that share a long list are in one together. A cell of many documents is cut into blocks,
+    and each two blocks meet in a task of their own.
     """
-    both = pairs if stars is None else pairs.unionByName(stars).distinct()
+    pivot = long_lists.groupBy("token").agg(F.min_by("leader", F.xxhash64("leader")).alias("pivot"))
+    star = scratch.table(long_lists.join(pivot, "token").select("pivot", "leader").distinct(), "stars")
+    several = own.where("leader <> doc_id and variant is not null").groupBy("leader", "variant").agg(F.min("doc_id").alias("doc_id"))
+    several = scratch.table(several.join(star.select("leader").distinct(), "leader", "left_semi").select("leader", "doc_id"), "members")
+    inside = star.select("pivot", F.col("leader").alias("doc_id")).unionByName(star.join(several, "leader").select("pivot", "doc_id"))
+    size = own.where("doc_id is not null").groupBy("doc_id").agg(F.sum("n_shingles").alias("n"))
+    inside = scratch.table(inside.join(size, "doc_id"), "cells")
+    blocks = inside.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum("n") / CELL_TOKENS)).cast("int").alias("k")).where("k > 0")
+    block = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("k")).cast("int")
+    parted = inside.join(blocks, "pivot").withColumn("i", block).select("pivot", "doc_id", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    parted = parted.select("doc_id", "pivot", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    sets = scratch.table(docs.where("doc_id is not null").join(inside.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens binary"), "sets", BATCH)
+    found = parted.join(sets, "doc_id").groupBy("pivot", "i", "j").applyInArrow(_cell, "a long, b long").distinct()
+    tied = several.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+    return scratch.table(found.unionByName(tied), "cell-links")
+
+
+def _open(pairs: DataFrame, docs: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """Linked group pairs (a, b): leaders are compared first, then the groups' different members.
+
+    Token sets are made for the documents in question only.
+    """
+    both = pairs
     several = own.where("leader <> doc_id and variant is not null")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("leader")).distinct()
     members = scratch.table(several.join(ends, "leader", "left_semi").groupBy("leader", "variant").agg(F.min("doc_id").alias("doc_id")).select("leader", "doc_id"), "members")
@@ -209,12 +236,38 @@ def _open(pairs: DataFrame, stars: DataFrame | None, docs: DataFrame, own: DataF
     return done.unionByName(scratch.table(spread.join(met, ["p", "q"]).select("a", "b").distinct(), "opened", BATCH))
 
 
-def _near_labels(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node within two links. Equal labels mean the same component; different ones need not differ."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    further = both.join(low.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
-    return further.select(F.col("a").alias("node"), F.col("m").alias("component"))
+def _cell(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links within one cell (or between two of its blocks) by a matrix product over the tokens that several documents have.
+
+    Of each set of linked documents a tree is returned, not every link.
+    """
+    column = rows.column("tokens").combine_chunks()
+    ids = rows.column("doc_id").to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in (column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)]
+    size = np.array([len(x) for x in sets])
+    token, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    keep = df[at] > 1
+    name = (np.cumsum(df > 1) - 1)[at[keep]]
+    row = row[keep]
+    order = np.argsort(name, kind="stable")
+    name, row = name[order], row[order]
+    inter = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(name[-1]) + 1 if len(name) else 0, COLUMNS):
+        a, b = np.searchsorted(name, [low, low + COLUMNS])
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[row[a:b], name[a:b] - low] = 1
+        inter += x @ x.T
+    ok = linked(inter.astype(np.int64), size[:, None], size[None, :])
+    label = np.arange(len(sets))
+    while True:
+        low = np.where(ok, label[None, :], len(sets)).min(1)
+        low = np.minimum(low, label)[np.minimum(low, label)]
+        if (low == label).all():
+            break
+        label = low
+    on = np.flatnonzero(label != np.arange(len(sets)))
+    return pa.table({"a": ids[on], "b": ids[label[on]]})
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,8 +281,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = scratch.table(docs.mapInArrow(_groups(), _ROWS).groupBy("token").agg(F.count("*").alias("groups")).where(F.col("groups") >= COMMON), "common", BATCH)
-    most = first.orderBy(F.desc("groups"), "token").limit(FREQUENT).select("token").toArrow()["token"].to_numpy()
-    late = spark.sparkContext.broadcast(np.sort(most.view(np.uint64)))
+    most = first.orderBy(F.desc("groups"), "token").limit(FREQUENT).select("token").toArrow()["token"].to_numpy()[::-1].view(np.uint64)
+    by_value = np.argsort(most)
+    late = spark.sparkContext.broadcast((most[by_value], by_value.astype(np.int32)))
     rows = scratch.table(docs.mapInArrow(_groups(late), _ROWS), "groups", BATCH)
     own = rows.where("token is null").select("doc_id", "n_shingles", "leader", "variant")
     matrix = rows.where("token is not null").select("token", "leader")
@@ -253,26 +307,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = shared.where("groups = 2").select("a", "b").unionByName(short.alias("l").join(short.alias("r"), "token").where("l.leader < r.leader").select(F.col("l.leader").alias("a"), F.col("r.leader").alias("b")))
     behind = lambda c: F.floor((F.col(c) * PERCENT + 99) / 100) - 1
     reach = (100 + PERCENT) * (F.col("c") + F.least("k", "l") + F.greatest(behind("n"), behind("m"))) >= PERCENT * (F.col("n") + F.col("m"))
-    pairs = sized(met.groupBy("a", "b").agg(F.count("*").alias("c"))).where(reach | F.col("n").isNull() | F.col("m").isNull())
+    counts = scratch.table(met.groupBy("a", "b").agg(F.count("*").alias("c")), "counts")
+    pairs = sized(counts).where(reach | F.col("n").isNull() | F.col("m").isNull())
     pairs = scratch.table(pairs.select("a", "b"), "pairs")
-    stars = None
+    links = _open(pairs, docs, own, scratch)
     if long_lists.limit(1).count():
-        for turn in range(PIVOT_ROUNDS):
-            pivot = long_lists.groupBy("token").agg(F.min_by("leader", F.xxhash64("leader", F.lit(turn))).alias("pivot"))
-            star = long_lists.join(pivot, "token").where("leader <> pivot").select(F.least("leader", "pivot").alias("a"), F.greatest("leader", "pivot").alias("b"))
-            stars = star if stars is None else stars.unionByName(star)
-        stars = scratch.table(sized(stars.distinct()).select("a", "b"), "stars")
-    links = _open(pairs, stars, docs, own, scratch)
-    if stars is not None:
-        comp = scratch.table(_near_labels(links), "comp")
-        marked = scratch.table(long_lists.join(comp.withColumnRenamed("node", "leader"), "leader", "left").select("token", "leader", F.coalesce("component", "leader").alias("comp")), "marked")
-        main = marked.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-        outside = marked.join(main, "token").where("comp <> main").select("token", F.col("leader").alias("p"), F.col("comp").alias("cp"))
-        left = outside.join(marked, "token").where("comp <> cp").select(F.least("p", "leader").alias("a"), F.greatest("p", "leader").alias("b")).distinct()
-        left = left.join(pairs, ["a", "b"], "left_anti")
-        rest = scratch.table(sized(left).select("a", "b"), "rest")
-        if rest.limit(1).count():
-            links = links.unionByName(_open(rest, None, docs, own, scratch))
+        links = links.unionByName(_cells(long_lists, docs, own, scratch))
     # a repeated id is one node: it ties the groups that its rows are in
     several = own.groupBy("doc_id").agg(F.min("leader").alias("a"), F.max("leader").alias("z")).where("a < z").select("doc_id", "a")
     if (several := scratch.table(several, "several")).limit(1).count():
