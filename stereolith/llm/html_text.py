@@ -252,10 +252,10 @@ def labelled_pages() -> Iterator[tuple[str, list[str]]]:
     noise = itertools.cycle([short, other.strip(), other[:70], (other * 2).strip()])
     for k, ((a, z), nav, head, foot) in enumerate(itertools.product(articles, navs, heads, feet)):
         blocks, body = ["A title of the page"], ["<h1>A title of the page</h1>"]
-        for j in range(2 + k % 7):
-            text = (lorem * (1 + (k + j) % 3)).strip() if (k + j) % 4 else "A short line."
+        for j in range(24 if k % 5 == 0 else 2 + k % 7):
+            text = (lorem * (1 + (k + j) % 3)).strip() if (k + j) % 4 and k % 5 else "A short line."
             blocks.append(text)
-            body.append(forms[(k + j) % len(forms)].format(text))
+            body.append(forms[0 if k % 5 == 0 else (k + j) % len(forms)].format(text))
         inside = extras[k % len(extras)].format(*[next(noise)] * 2) if k % 4 == 1 else ""
         around = [extras[(k + j) % len(extras)].format(*[next(noise)] * 2) for j in range(2 + k % 3)]
         links = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("home", "news", "sport", "about"))
