@@ -10,5 +10,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def register(sql: str | None = None):
+    """Adds a function of (spark, sf_dir) under its name, with its twin."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["point_errors"](spark, sf_dir)
+    """Scored points of the final cloud."""
+    return QUERIES["tr8_final_cloud_mask"](spark, sf_dir)
+
+
+from stereolith.plans import map_queries  # noqa: E402,F401
