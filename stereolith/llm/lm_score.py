@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stereolith.llm import text as T
-from stereolith.plans.scratch import Scratch
 
 ORDER = 2
 BACKOFF = 0.4
@@ -44,6 +43,35 @@ def _grams(column: pa.Array, order: int) -> tuple[T.Words, list[tuple[np.ndarray
     return w, out
 
 
+def pack(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as differences: six bytes each if all fit, else eight; the first byte tells."""
+    d = np.diff(keys, prepend=np.uint64(0))
+    size = 6 if not len(d) or int(d.max()) < 1 << 48 else 8
+    return bytes([size]) + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    size = data[0]
+    flat = np.frombuffer(data, np.uint8, offset=1).reshape(-1, size)
+    wide = np.zeros((len(flat), 8), np.uint8)
+    wide[:, :size] = flat
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_counts(n: np.ndarray) -> bytes:
+    """Counts by byte planes: the low bytes, then the mostly empty high ones, which shuffle compression takes away."""
+    return n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch({"n": pa.array([sum(len(T.words(batch.column(0).slice(a, b - a), T.ALNUM).h) for a, b in T.runs(batch.column(0)))], pa.int64())})
+
+
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -54,12 +82,10 @@ def _ask(order: int, parts: int):
     """(block, part, keys, counts): a block's distinct n-grams by part of the hash range. n-grams of all orders share one key space."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        found, words = [np.zeros(0, np.uint64)], 0
+        found = [np.zeros(0, np.uint64)]
         for batch in rows.column("text").chunks:
             for a, b in T.runs(batch):
-                w, grams = _grams(batch.slice(a, b - a), order)
-                words += len(w.h)
-                found += [g for g, _ in grams]
+                found += [g for g, _ in _grams(batch.slice(a, b - a), order)[1]]
         keys, counts = _counted(np.concatenate(found))
         cut = np.searchsorted(keys, np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)) if parts > 1 else np.zeros(0, np.int64)
         spans = [(p, a, b) for p, (a, b) in enumerate(zip([0, *cut], [*cut, len(keys)], strict=True)) if b > a]
@@ -67,9 +93,8 @@ def _ask(order: int, parts: int):
             {
                 "block": pa.array([key[0].as_py()] * len(spans), pa.int64()),
                 "part": pa.array([p for p, _, _ in spans], pa.int64()),
-                "words": pa.array([words * (k == 0) for k in range(len(spans))], pa.int64()),
-                "keys": pa.array([keys[a:b].tobytes() for _, a, b in spans], pa.binary()),
-                "counts": pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in spans], pa.binary()),
+                "keys": pa.array([pack(keys[a:b]) for _, a, b in spans], pa.binary()),
+                "counts": pa.array([pack_counts(counts[a:b]) for _, a, b in spans], pa.binary()),
             }
         )
 
@@ -78,8 +103,8 @@ def _ask(order: int, parts: int):
 
 def _sum(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Totals over blocks, for each block's keys whose total is more than its own count."""
-    keys = [np.frombuffer(x, "<u8") for x in rows["keys"]]
-    counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in rows["counts"]]
+    keys = [unpack(x) for x in rows["keys"]]
+    counts = [unpack_counts(x) for x in rows["counts"]]
     names, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts)).astype(np.int64)
     out, begin = [], 0
@@ -88,14 +113,14 @@ def _sum(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         begin += len(k)
         more = t > c
         if more.any():
-            out.append((block, k[more].tobytes(), t[more].astype("<i8").tobytes()))
+            out.append((block, pack(k[more]), pack_counts(t[more])))
     return pd.DataFrame(out, columns=["block", "keys", "totals"])
 
 
 def _score(order: int, backoff: float, min_count: int, tokens: int):
     def run(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
-        known = [np.frombuffer(x.as_buffer(), "<u8") for x in replies.column("keys").combine_chunks()] if replies.num_rows else []
-        totals = [np.frombuffer(x.as_buffer(), "<i8") for x in replies.column("totals").combine_chunks()] if replies.num_rows else []
+        known = [unpack(x) for x in replies.column("keys").to_pylist()] if replies.num_rows else []
+        totals = [unpack_counts(x) for x in replies.column("totals").to_pylist()] if replies.num_rows else []
         column = docs.column("text").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         runs = [(a, b, *_grams(column.slice(a, b - a), order)) for a, b in T.runs(column)]
@@ -125,14 +150,13 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_co
 
     Texts that are null or hold no word have 0 words and score 0. Repeated rows count as often as they stand, null ids too.
     """
-    scratch = Scratch(docs.sparkSession, "lm")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     blocks = max(1, -(-(size[0] or 0) // BLOCK_BYTES))
     parts = max(1, -(-(size[0] or 0) * order // (5 * PART_GRAMS)))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text")
-    asked = scratch.table(dealt.groupBy("block").applyInArrow(_ask(order, parts), "block long, part long, words long, keys binary, counts binary"), "asked")
-    replies = scratch.table(asked.groupBy("part").applyInPandas(_sum, "block long, keys binary, totals binary"), "replies")
-    tokens = asked.agg(F.sum("words")).first()[0] or 0
+    asked = dealt.groupBy("block").applyInArrow(_ask(order, parts), "block long, part long, keys binary, counts binary")
+    replies = asked.groupBy("part").applyInPandas(_sum, "block long, keys binary, totals binary")
+    tokens = docs.select("text").mapInArrow(_words, "n long").agg(F.sum("n")).first()[0] or 0
     met = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, backoff, min_count, tokens), "doc_id long, n_words long, score double")
     return met
