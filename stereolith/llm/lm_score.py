@@ -60,11 +60,11 @@ def unpack(data: bytes) -> np.ndarray:
 
 def pack_counts(n: np.ndarray) -> bytes:
     """Counts by byte planes: the low bytes, then the mostly empty high ones, which shuffle compression takes away."""
-    return n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return n.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
