@@ -30,6 +30,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
 #: Training rows that a feature must be in.
 LEAST = 5
 MAX_WEIGHTS = 200_000
+#: Bytes of text at a time: six features a word, eight bytes each, several copies while they are sorted.
+RUN = 1_000_000
 _KIND = [np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x9B05688C2B3E6C1F)]
 
 
@@ -57,7 +59,7 @@ class Model:
 
     def scores(self, column: pa.Array) -> np.ndarray:
         out = np.zeros(len(column))
-        for a, b in T.runs(column):
+        for a, b in T.runs(column, RUN):
             row, f = features(column.slice(a, b - a))
             total = np.full(b - a, self.bias)
             if len(self.key):
@@ -96,7 +98,7 @@ def ftrl(first: np.ndarray, index: np.ndarray, y: np.ndarray, size: int, epochs:
 
 def _distinct(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, distinct features, firsts) of runs of rows."""
-    for a, b in T.runs(column):
+    for a, b in T.runs(column, RUN):
         row, f = features(column.slice(a, b - a))
         order = np.argsort(row, kind="stable")
         yield a, *T.sets(f[order], np.searchsorted(row[order], np.arange(b - a + 1)))
@@ -109,12 +111,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, f, _ in _distinct(batch.column(batch.schema.get_field_index("text"))):
             np.add.at(seen, f >> np.uint64(40), 1)
     for k, part in enumerate(seen.reshape(64, -1)):
-        if part.any():
-            yield pa.record_batch({"block": pa.array([k], pa.int64()), "counts": pa.array([part.astype("<u2").tobytes()], pa.binary())})
+        at = np.flatnonzero(part)
+        if len(at):
+            yield pa.record_batch({"block": pa.array([k], pa.int64()), "slots": pa.array([at.astype("<u4").tobytes()], pa.binary()), "counts": pa.array([part[at].astype("<u2").tobytes()], pa.binary())})
 
 
 def _enough(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, "<u2").astype(np.int64) for x in rows["counts"])
+    total = np.zeros(1 << 18, np.int64)
+    for at, n in zip(rows["slots"], rows["counts"], strict=True):
+        total[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<u2")
     return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [np.packbits(total >= LEAST).tobytes()]})
 
 
@@ -156,7 +161,7 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     if n > train_rows:
         rows = rows.where(F.col("order").bitwiseAND(F.lit((1 << 31) - 1)) < F.lit(int(train_rows / n * (1 << 31))))
     rows = rows.select("order", "y", "text")
-    blocks = rows.mapInArrow(_sketch, "block long, counts binary").groupBy("block").applyInPandas(_enough, "block long, bits binary").collect()
+    blocks = rows.mapInArrow(_sketch, "block long, slots binary, counts binary").groupBy("block").applyInPandas(_enough, "block long, bits binary").collect()
     bits = np.zeros((64, 1 << 15), np.uint8)
     for r in blocks:
         bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
