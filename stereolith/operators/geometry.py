@@ -178,3 +178,52 @@ def similarity_sums(pairs: DataFrame, by: str) -> DataFrame:
     """Per group: rows, means, source variance and the nine covariances of (sx, sy, sz) -> (dx, dy, dz), by plain aggregates."""
     s, d = ("sx", "sy", "sz"), ("dx", "dy", "dz")
     return pairs.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in s + d], sum((F.var_pop(c) for c in s[1:]), F.var_pop(s[0])).alias("var"), *[F.covar_pop(a, b).alias(f"c_{b}_{a}") for b in d for a in s])
+
+
+def auto_config(datasets: DataFrame) -> DataFrame:
+    """Settings derived from (n_frames, h, w, feature): sizes and limits that follow the image size and the number of frames."""
+    n, side, pixels = F.col("n_frames"), F.greatest("h", "w").cast("double"), (F.col("h") * F.col("w")).cast("double")
+    clip = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
+    whole = lambda x: x.cast("int")
+    orb = F.lower("feature") == "orb"
+    base = whole(clip(F.sqrt(pixels) * 1.5, 2000.0, 12000.0))
+    features = F.when(orb, whole(base * 1.5)).otherwise(base)
+    reproj = F.when(orb, clip(side * 0.0020, 1.0, 4.0)).otherwise(clip(side * 0.0010, 0.5, 2.0))
+    by_frames = lambda *steps: F.coalesce(*[F.when(n <= most, v) for most, v in steps[:-1]], steps[-1])
+    columns = {
+        "image_size": side,
+        "feature_count": features,
+        "min_features": F.greatest(F.lit(80), whole(features * 0.01)),
+        "reproj_thresh": reproj,
+        "ransac_thresh": reproj * 0.8,
+        "triang_thresh": reproj,
+        "guided_radius_px": clip(side * 0.008, 5.0, 20.0),
+        "init_search_ratio": by_frames((50, F.lit(1.0)), (200, F.lit(0.06)), F.lit(0.03)),
+        "init_candidate_window": by_frames((20, F.greatest(F.lit(1), n - 1)), (50, n), F.lit(15)),
+        "init_max_pairs": by_frames((50, F.floor(n * (n - 1) / 2).cast("int")), clip(n * 3, 100, 500)),
+        "init_min_inliers": whole(clip(side * 0.022, 60.0, 120.0)),
+        "init_min_parallax_deg": F.lit(16.0),
+        "pnp_window": by_frames((50, F.lit(40)), (200, F.lit(30)), F.lit(20)),
+        "pnp_min_inliers": whole(clip(side * 0.008, 12.0, 25.0)),
+        "pnp_ransac_iters": whole(clip(100 + side * 0.05, 100.0, 300.0)),
+        "multiview_trigger_every_kf": by_frames((100, F.lit(5)), (500, F.lit(10)), F.lit(15)),
+        "ba_local_covis_neighbors": whole(clip(12 - F.log10(F.greatest(n, F.lit(10)).cast("double")) * 2, 6.0, 12.0)),
+        "ba_min_obs": clip(n * 2, 50, 150),
+        "ba_local_iters": F.lit(25),
+        "ba_local_refinements": F.lit(2),
+        "ba_global_iters": whole(clip(40 + F.log2(F.greatest(n, F.lit(2)).cast("double")) * 3, 40.0, 80.0)),
+        "ba_global_image_growth": F.lit(1.10),
+        "ba_global_point_growth": F.lit(1.10),
+        "loop_vocab_size": whole(clip(F.sqrt(n.cast("double")) * 40, 400.0, 1500.0)),
+        "loop_min_inliers": whole(clip(side * 0.006, 12.0, 25.0)),
+        "loop_max_candidates": F.lit(10),
+        "loop_min_gap": F.greatest(F.lit(15), F.floor(n / 8).cast("int")),
+        "reloc_min_matches": whole(clip(side * 0.030, 30.0, 80.0)),
+        "reloc_min_inliers": whole(clip(side * 0.015, 15.0, 40.0)),
+        "reloc_max_candidates": F.lit(8),
+        "pgo_iters": F.lit(80),
+        "complete_max_transitivity": F.lit(5),
+        "continue_max_angle_deg": F.lit(2.0),
+        "filter_min_tri_angle_deg": F.lit(1.5),
+    }
+    return datasets.select("dataset_id", *[v.alias(k) for k, v in columns.items()])

@@ -27,4 +27,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["tr8_final_cloud_mask"](spark, sf_dir)
 
 
-from stereolith.plans import frame_queries, graph_queries, map_queries  # noqa: E402,F401
+from stereolith.plans import frame_queries, graph_queries, map_queries, match_queries  # noqa: E402,F401
