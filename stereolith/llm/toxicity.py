@@ -5,7 +5,7 @@ Features of a text are the distinct hashes of its words (runs of letters of the
 features move as fast as frequent ones and the L1 term leaves all but a few thousand weights at zero; what is broadcast
 is a sorted list of feature hashes with their weights, of ``MAX_WEIGHTS`` entries at most.
 
-Training reads at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of the id. A table of counts, summed over tasks, drops
+Training reads at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of the id. Two tables of counts, summed over tasks, drop
 features that fewer than ``LEAST`` of them have; the rows' remaining features are small enough for one task, which runs FTRL
 over them in hash order. Everything else covers all rows.
 """
@@ -104,13 +104,18 @@ def _distinct(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield a, *T.sets(f[order], np.searchsorted(row[order], np.arange(b - a + 1)))
 
 
+def _slots(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return f >> np.uint64(40), f >> np.uint64(16) & np.uint64((1 << 24) - 1)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, counts): how many rows have a feature of each of 2^24 slots, in blocks of 2^18."""
-    seen = np.zeros(1 << 24, np.uint16)
+    """(block, slots, counts): rows with a feature of each slot of two tables of 2^24, in blocks of 2^18 slots."""
+    seen = np.zeros((2, 1 << 24), np.uint16)
     for batch in batches:
         for _, f, _ in _distinct(batch.column(batch.schema.get_field_index("text"))):
-            np.add.at(seen, f >> np.uint64(40), 1)
-    for k, part in enumerate(seen.reshape(64, -1)):
+            for table, slot in zip(seen, _slots(f), strict=True):
+                np.add.at(table, slot, 1)
+    for k, part in enumerate(seen.reshape(128, -1)):
         at = np.flatnonzero(part)
         if len(at):
             yield pa.record_batch({"block": pa.array([k], pa.int64()), "slots": pa.array([at.astype("<u4").tobytes()], pa.binary()), "counts": pa.array([part[at].astype("<u2").tobytes()], pa.binary())})
@@ -125,12 +130,13 @@ def _enough(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _reduced(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.unpackbits(bits.value).astype(bool)
+        common = np.unpackbits(bits.value).astype(bool).reshape(2, -1)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
             out = []
             for _, f, first in _distinct(column):
-                on = common[f >> np.uint64(40)]
+                a, b = _slots(f)
+                on = common[0][a] & common[1][b]
                 left = np.concatenate([[0], np.cumsum(on)])[first]
                 f = f[on]
                 out += [f[i:j].tobytes() for i, j in zip(left[:-1], left[1:], strict=True)]
@@ -162,7 +168,7 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         rows = rows.where(F.col("order").bitwiseAND(F.lit((1 << 31) - 1)) < F.lit(int(train_rows / n * (1 << 31))))
     rows = rows.select("order", "y", "text")
     blocks = rows.mapInArrow(_sketch, "block long, slots binary, counts binary").groupBy("block").applyInPandas(_enough, "block long, bits binary").collect()
-    bits = np.zeros((64, 1 << 15), np.uint8)
+    bits = np.zeros((128, 1 << 15), np.uint8)
     for r in blocks:
         bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     small = scratch.table(rows.mapInArrow(_reduced(spark.sparkContext.broadcast(bits.ravel())), "order long, y int, f binary"), "sample")
