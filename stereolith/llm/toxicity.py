@@ -109,22 +109,20 @@ def _slots(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, slots, counts): rows with a feature of each slot of two tables of 2^24, in blocks of 2^18 slots."""
-    seen = np.zeros((2, 1 << 24), np.uint16)
+    """(block, counts): rows with a feature of each slot of two tables of 2^24 (255 at most), in blocks of 2^18 slots."""
+    seen = np.zeros((2, 1 << 24), np.uint8)
     for batch in batches:
         for _, f, _ in _distinct(batch.column(batch.schema.get_field_index("text"))):
             for table, slot in zip(seen, _slots(f), strict=True):
-                np.add.at(table, slot, 1)
+                slot, n = np.unique(slot, return_counts=True)
+                table[slot] = np.minimum(table[slot] + n, 255)
     for k, part in enumerate(seen.reshape(128, -1)):
-        at = np.flatnonzero(part)
-        if len(at):
-            yield pa.record_batch({"block": pa.array([k], pa.int64()), "slots": pa.array([at.astype("<u4").tobytes()], pa.binary()), "counts": pa.array([part[at].astype("<u2").tobytes()], pa.binary())})
+        if part.any():
+            yield pa.record_batch({"block": pa.array([k], pa.int64()), "counts": pa.array([part.tobytes()], pa.binary())})
 
 
 def _enough(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(1 << 18, np.int64)
-    for at, n in zip(rows["slots"], rows["counts"], strict=True):
-        total[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<u2")
+    total = sum(np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["counts"])
     return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [np.packbits(total >= LEAST).tobytes()]})
 
 
@@ -166,8 +164,9 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     n = rows.count()
     if n > train_rows:
         rows = rows.where(F.col("order").bitwiseAND(F.lit((1 << 31) - 1)) < F.lit(int(train_rows / n * (1 << 31))))
-    rows = rows.select("order", "y", "text")
-    blocks = rows.mapInArrow(_sketch, "block long, slots binary, counts binary").groupBy("block").applyInPandas(_enough, "block long, bits binary").collect()
+    # the sample is small: written once, it is read again by a few tasks
+    rows = scratch.table(rows.select("order", "y", "text"), "texts")
+    blocks = rows.mapInArrow(_sketch, "block long, counts binary").groupBy("block").applyInPandas(_enough, "block long, bits binary").collect()
     bits = np.zeros((128, 1 << 15), np.uint8)
     for r in blocks:
         bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
