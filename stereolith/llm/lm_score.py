@@ -3,7 +3,7 @@
 Documents are dealt by hash into blocks. Each block explodes its texts into n-grams of all orders and, as the combine step of
 a shuffle, sends each distinct n-gram once, with its count in the block, to the partition of the count table that its hash
 falls in. There counts are summed over all blocks, and the total of each n-gram that other blocks hold too is joined
-back to the blocks that asked. A block then scores its positions and sums them per document. Rows between stages are runs
+back to the blocks that asked, as bits over the n-grams they sent, whose order both sides know. A block then scores its positions and sums them per document. Rows between stages are runs
 of hashes as binary columns, so a shuffled n-gram costs a few bytes rather than a row, and a frequent n-gram is one entry a
 block, not one a place.
 
@@ -27,7 +27,7 @@ ORDER = 2
 BACKOFF = 0.4
 MIN_COUNT = 2
 #: Bytes of text a block holds about, and n-grams a part of the count table.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 10_000_000
 PART_GRAMS = 1_500_000
 
 
@@ -78,6 +78,12 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], np.diff(np.append(new, len(keys)))
 
 
+def _spans(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, begin, end) of ascending keys, by equal ranges of the hash."""
+    cut = np.searchsorted(keys, np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64))
+    return [(p, int(a), int(b)) for p, (a, b) in enumerate(zip([0, *cut], [*cut, len(keys)], strict=True))]
+
+
 def _ask(order: int, parts: int):
     """(block, part, keys, counts): a block's distinct n-grams by part of the hash range. n-grams of all orders share one key space."""
 
@@ -87,8 +93,7 @@ def _ask(order: int, parts: int):
             for a, b in T.runs(batch):
                 found += [g for g, _ in _grams(batch.slice(a, b - a), order)[1]]
         keys, counts = _counted(np.concatenate(found))
-        cut = np.searchsorted(keys, np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)) if parts > 1 else np.zeros(0, np.int64)
-        spans = [(p, a, b) for p, (a, b) in enumerate(zip([0, *cut], [*cut, len(keys)], strict=True)) if b > a]
+        spans = [(p, a, b) for p, a, b in _spans(keys, parts) if b > a]
         return pa.table(
             {
                 "block": pa.array([key[0].as_py()] * len(spans), pa.int64()),
@@ -102,7 +107,7 @@ def _ask(order: int, parts: int):
 
 
 def _sum(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Totals over blocks, for each block's keys whose total is more than its own count."""
+    """(block, part, more, totals): which of the keys that a block sent have a total above its own count, as bits, and those totals."""
     keys = [unpack(x) for x in rows["keys"]]
     counts = [unpack_counts(x) for x in rows["counts"]]
     names, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -113,20 +118,20 @@ def _sum(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         begin += len(k)
         more = t > c
         if more.any():
-            out.append((block, pack(k[more]), pack_counts(t[more])))
-    return pd.DataFrame(out, columns=["block", "keys", "totals"])
+            out.append((block, key[0], np.packbits(more).tobytes(), pack_counts(t[more])))
+    return pd.DataFrame(out, columns=["block", "part", "more", "totals"])
 
 
-def _score(order: int, backoff: float, min_count: int, tokens: int):
+def _score(order: int, backoff: float, min_count: int, tokens: int, parts: int):
     def run(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
-        known = [unpack(x) for x in replies.column("keys").to_pylist()] if replies.num_rows else []
-        totals = [unpack_counts(x) for x in replies.column("totals").to_pylist()] if replies.num_rows else []
         column = docs.column("text").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         runs = [(a, b, *_grams(column.slice(a, b - a), order)) for a, b in T.runs(column)]
         keys, counts = _counted(np.concatenate([np.zeros(0, np.uint64), *[g for _, _, _, gs in runs for g, _ in gs]]))
-        if known:
-            counts[np.searchsorted(keys, np.concatenate(known))] = np.concatenate(totals)
+        spans = _spans(keys, parts)
+        for p, more, totals in zip(*(replies.column(n).to_pylist() for n in ("part", "more", "totals")), strict=True):
+            _, a, b = spans[p]
+            counts[a:b][np.unpackbits(np.frombuffer(more, np.uint8))[: b - a].astype(bool)] = unpack_counts(totals)
         n_words, score = np.zeros(len(column), np.int64), np.zeros(len(column))
         for a, b, w, gs in runs:
             value = [counts[np.searchsorted(keys, g)] for g, _ in gs]
@@ -156,7 +161,7 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_co
     parts = max(1, -(-(size[0] or 0) * order // (5 * PART_GRAMS)))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text")
     asked = dealt.groupBy("block").applyInArrow(_ask(order, parts), "block long, part long, keys binary, counts binary")
-    replies = asked.groupBy("part").applyInPandas(_sum, "block long, keys binary, totals binary")
+    replies = asked.groupBy("part").applyInPandas(_sum, "block long, part long, more binary, totals binary")
     tokens = docs.select("text").mapInArrow(_words, "n long").agg(F.sum("n")).first()[0] or 0
-    met = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, backoff, min_count, tokens), "doc_id long, n_words long, score double")
+    met = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, backoff, min_count, tokens, parts), "doc_id long, n_words long, score double")
     return met
