@@ -5,9 +5,9 @@ Features of a text are the distinct hashes of its words (runs of letters of the
 features move as fast as frequent ones and the L1 term leaves all but a few thousand weights at zero; what is broadcast
 is a sorted list of feature hashes with their weights, of ``MAX_WEIGHTS`` entries at most.
 
-Training reads at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of the id. Two tables of counts, summed over tasks, drop
-features that fewer than ``LEAST`` of them have; the rows' remaining features are small enough for one task, which runs FTRL
-over them in hash order. Everything else covers all rows.
+Training reads at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of the id. Features of ``LEAST`` toxic rows that lean to
+the toxic side are counted out first, by Spark; what is left of a row is small enough for one task, which runs FTRL over the
+sample in hash order. Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -27,8 +27,11 @@ from stereolith.plans.scratch import Scratch
 TRAIN_ROWS = 24_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
-#: Training rows that a feature must be in.
-LEAST = 5
+#: Toxic training rows that a feature must be in, the most of such features that are looked at further, and how many times as
+#: often as by chance it must be in toxic rows.
+LEAST = 3
+MAX_KEYS = 300_000
+LEAN = 1.5
 MAX_WEIGHTS = 200_000
 #: Bytes of text at a time: six features a word, eight bytes each, several copies while they are sorted.
 RUN = 1_000_000
@@ -104,37 +107,39 @@ def _distinct(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield a, *T.sets(f[order], np.searchsorted(row[order], np.arange(b - a + 1)))
 
 
-def _slots(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return f >> np.uint64(40), f >> np.uint64(16) & np.uint64((1 << 24) - 1)
+def _text(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column(batch.schema.get_field_index("text"))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, counts): rows with a feature of each slot of two tables of 2^24 (255 at most), in blocks of 2^18 slots."""
-    seen = np.zeros((2, 1 << 24), np.uint8)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n): features and how many rows of a run have them."""
     for batch in batches:
-        for _, f, _ in _distinct(batch.column(batch.schema.get_field_index("text"))):
-            for table, slot in zip(seen, _slots(f), strict=True):
-                slot, n = np.unique(slot, return_counts=True)
-                table[slot] = np.minimum(table[slot] + n, 255)
-    for k, part in enumerate(seen.reshape(128, -1)):
-        if part.any():
-            yield pa.record_batch({"block": pa.array([k], pa.int64()), "counts": pa.array([part.tobytes()], pa.binary())})
+        for _, f, _ in _distinct(_text(batch)):
+            key, n = np.unique(f, return_counts=True)
+            yield pa.record_batch({"key": key.view(np.int64), "n": n.astype(np.int64)})
 
 
-def _enough(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["counts"])
-    return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [np.packbits(total >= LEAST).tobytes()]})
+def _among_all(held):
+    """One row a task: how many of its rows have each of the held keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = held.value
+        total = np.zeros(len(keys), np.int64)
+        for batch in batches:
+            for _, f, _ in _distinct(_text(batch)):
+                total += np.bincount(np.searchsorted(keys, f[T.among(f, keys)]), minlength=len(keys))
+        yield pa.record_batch({"n": pa.array([total.tobytes()], pa.binary())})
+
+    return run
 
 
-def _reduced(bits):
+def _reduced(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.unpackbits(bits.value).astype(bool).reshape(2, -1)
+        keys = held.value
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
             out = []
-            for _, f, first in _distinct(column):
-                a, b = _slots(f)
-                on = common[0][a] & common[1][b]
+            for _, f, first in _distinct(_text(batch)):
+                on = T.among(f, keys)
                 left = np.concatenate([[0], np.cumsum(on)])[first]
                 f = f[on]
                 out += [f[i:j].tobytes() for i, j in zip(left[:-1], left[1:], strict=True)]
@@ -146,14 +151,12 @@ def _reduced(bits):
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["order", "y", "f"], kind="stable")
     parts = [np.frombuffer(x, np.uint64) for x in rows["f"]]
-    key, index, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    keep = count >= LEAST
-    row = np.repeat(np.arange(len(rows)), [len(p) for p in parts])[keep[index]]
-    index = (np.cumsum(keep) - 1)[index[keep[index]]]
-    w, _, bias = ftrl(np.searchsorted(row, np.arange(len(rows) + 1)), index, rows["y"].to_numpy(float), int(keep.sum()))
+    key, index = np.unique(np.concatenate(parts), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    w, _, bias = ftrl(first, index, rows["y"].to_numpy(float), len(key))
     on = np.flatnonzero(w)
     on = on[np.argsort(-np.abs(w[on]), kind="stable")[:MAX_WEIGHTS]]
-    return pd.DataFrame({"key": np.append(key[keep][on].view(np.int64), 0), "w": np.append(w[on], bias), "bias": np.append(np.zeros(len(on), bool), True)})
+    return pd.DataFrame({"key": np.append(key[on].view(np.int64), 0), "w": np.append(w[on], bias), "bias": np.append(np.zeros(len(on), bool), True)})
 
 
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
@@ -166,11 +169,15 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         rows = rows.where(F.col("order").bitwiseAND(F.lit((1 << 31) - 1)) < F.lit(int(train_rows / n * (1 << 31))))
     # the sample is small: written once, it is read again by a few tasks
     rows = scratch.table(rows.select("order", "y", "text"), "texts")
-    blocks = rows.mapInArrow(_sketch, "block long, counts binary").groupBy("block").applyInPandas(_enough, "block long, bits binary").collect()
-    bits = np.zeros((128, 1 << 15), np.uint8)
-    for r in blocks:
-        bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    small = scratch.table(rows.mapInArrow(_reduced(spark.sparkContext.broadcast(bits.ravel())), "order long, y int, f binary"), "sample")
+    toxic = rows.where("y = 1").mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    top = toxic.orderBy(F.desc("n"), "key").limit(MAX_KEYS).toArrow()
+    keys, positive = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(keys)
+    keys, positive = keys[order], positive[order]
+    share = rows.agg(F.avg("y")).first()[0] or 0.0
+    total = sum((np.frombuffer(r["n"], np.int64) for r in rows.mapInArrow(_among_all(spark.sparkContext.broadcast(keys)), "n binary").collect()), np.zeros(len(keys), np.int64))
+    keys = keys[positive > LEAN * share * total]
+    small = scratch.table(rows.mapInArrow(_reduced(spark.sparkContext.broadcast(keys)), "order long, y int, f binary"), "sample")
     found = small.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_fit, "key long, w double, bias boolean").collect()
     w = sorted((r["key"] % (1 << 64), r["w"]) for r in found if not r["bias"])
     return Model(np.array([k for k, _ in w], np.uint64), np.array([v for _, v in w]), float(sum(r["w"] for r in found if r["bias"])))
