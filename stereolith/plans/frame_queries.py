@@ -9,7 +9,7 @@ from stereolith.operators import geometry as G
 from stereolith.operators import reports as P
 from stereolith.operators import sampling as S
 from stereolith.plans.map_queries import CEN, rounded
-from stereolith.queries import register
+from stereolith.plans.registry import register
 from stereolith.sources import listing as L
 from stereolith.sources.fixtures import table as t
 from stereolith.sources.fixtures import twin

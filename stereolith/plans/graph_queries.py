@@ -9,7 +9,7 @@ from stereolith.operators import geometry as G
 from stereolith.operators import quality as Q
 from stereolith.operators import retrieval as B
 from stereolith.plans.map_queries import CEN, RAY, rounded
-from stereolith.queries import register
+from stereolith.plans.registry import register
 from stereolith.sources.fixtures import table as t
 from stereolith.sources.fixtures import twin
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stereolith.operators import geometry as G
 from stereolith.operators import quality as Q
-from stereolith.queries import register
+from stereolith.plans.registry import register
 from stereolith.sources.fixtures import table as t
 from stereolith.sources.fixtures import twin
 

@@ -11,7 +11,7 @@ from stereolith.operators import register as X
 from stereolith.operators import tracks as K
 from stereolith.plans.graph_queries import _components, recursive
 from stereolith.plans.map_queries import RES, rounded
-from stereolith.queries import register
+from stereolith.plans.registry import register
 from stereolith.sources.fixtures import table as t
 from stereolith.sources.fixtures import twin
 

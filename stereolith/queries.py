@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def register(sql: str | None = None):
-    """Adds a function of (spark, sf_dir) under its name, with its twin."""
+from stereolith.plans import frame_queries, graph_queries, map_queries, match_queries
+from stereolith.plans.registry import QUERIES, SQL
 
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["QUERIES", "SQL", "entry", "frame_queries", "graph_queries", "map_queries", "match_queries"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored points of the final cloud."""
     return QUERIES["tr8_final_cloud_mask"](spark, sf_dir)
-
-
-from stereolith.plans import frame_queries, graph_queries, map_queries, match_queries  # noqa: E402,F401
