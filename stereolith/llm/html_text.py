@@ -50,7 +50,7 @@ FEATURES = [*(f"tag {t}" for t in TAGS), *(f"hint {k}" for k in HINTS), "links",
 RIDGE = 0.1
 _AT = {f: k for k, f in enumerate(FEATURES)}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)?|[a-z]+")
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
