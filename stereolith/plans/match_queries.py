@@ -148,6 +148,12 @@ def tr1_build_tracks(spark, d):
     return K.build_tracks(t(spark, d, "fx_matches").where("frame_a <= 12 and frame_b <= 12"))
 
 
+# over all frames the transitive closure of a twin is too slow; tests/test_whole.py holds it against plain union-find
+@register()
+def tr1_build_tracks_whole(spark, d):
+    return K.build_tracks(t(spark, d, "fx_matches"))
+
+
 @register()
 def tr2_triangulate(spark, d):
     return K.triangulate(t(spark, d, "fx_obs"), t(spark, d, "fx_poses"))
@@ -188,10 +194,31 @@ def tr10_project_candidates(spark, d):
     return rounded(out, "distance", digits=5)
 
 
+def _free_everywhere(spark, d):
+    """Candidates over all frames, every second keypoint of each being free."""
+    obs = t(spark, d, "fx_obs")
+    return K.project_candidates(t(spark, d, "fx_points"), obs.where("kp_idx % 2 = 1"), obs.select("frame_idx", "kp_idx", "u", "v"), t(spark, d, "fx_poses"), 2.5)
+
+
+@register(
+    twin(
+        """select frame_idx, point_id, kp_idx, round(distance, 5) as distance from (
+  select p.frame_idx, p.point_id, k.kp_idx, sqrt(power(pu-k.u,2)+power(pv-k.v,2)) as distance
+  from (select f.frame_idx, q.point_id, 1000*(f.r00*x+f.r01*y+f.r02*z+f.t0)/(f.r20*x+f.r21*y+f.r22*z+f.t2)+640 as pu, 1000*(f.r10*x+f.r11*y+f.r12*z+f.t1)/(f.r20*x+f.r21*y+f.r22*z+f.t2)+360 as pv
+    from (select * from fx_points where point_id not in (select point_id from bound group by 1 having count(*) >= 10)) q, fx_poses f where f.r20*x+f.r21*y+f.r22*z+f.t2 > 1e-6) p
+  join free k on k.frame_idx = p.frame_idx and abs(k.u - pu) <= 3 and abs(k.v - pv) <= 3
+  where pu >= 0 and pu < 1280 and pv >= 0 and pv < 720 and not exists (select 1 from bound b where b.frame_idx = p.frame_idx and b.point_id = p.point_id))
+where distance <= 2.5e0""",
+        ("bound", "select * from fx_obs where kp_idx % 2 = 1"), ("free", "select * from fx_obs where kp_idx % 2 = 0"),
+    )
+)
+def tr10_project_candidates_whole(spark, d):
+    return rounded(_free_everywhere(spark, d), "distance", digits=5)
+
+
 @register()
 def tr10_assign_candidates(spark, d):
-    obs = t(spark, d, "fx_obs")
-    return K.assign_candidates(K.project_candidates(t(spark, d, "fx_points"), spark.sql(_BOUND, fx_obs=obs), spark.sql(_KPS, fx_obs=obs), t(spark, d, "fx_poses"), 2.5))
+    return K.assign_candidates(_free_everywhere(spark, d))
 
 
 @register(
@@ -292,9 +319,9 @@ def rg4_chain_two_view_pose(spark, d):
 
 
 def _noisy(spark, d):
-    obs = t(spark, d, "fx_obs").where("frame_idx <= 20")
+    obs = t(spark, d, "fx_obs")
     points = t(spark, d, "fx_points").select("point_id", (F.col("x") + (F.col("point_id") % 7 - 3) * 0.004).alias("x"), "y", "z")
-    poses = t(spark, d, "fx_poses").where("frame_idx <= 20").withColumn("t0", F.col("t0") + F.when(F.col("frame_idx") > 2, 0.01).otherwise(0.0))
+    poses = t(spark, d, "fx_poses").withColumn("t0", F.col("t0") + F.when(F.col("frame_idx") > 2, 0.01).otherwise(0.0))
     return obs, points, poses
 
 
