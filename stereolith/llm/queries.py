@@ -81,6 +81,13 @@ from d left join t using (r)
 """.replace("\\\\", "\\")
 
 
+@query
+def op3_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the twin of op3_lm_score is of order 2; tests/llm/test_operators.py holds this one against plain counts
+    found = lm_score.scores(table(spark, sf_dir, "documents"), order=3)
+    return found.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round(F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")), 6).alias("mean_score"))
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(packing.pieces(table(spark, sf_dir, "documents"), word_bpe(), with_ids=False))
