@@ -9,7 +9,7 @@ from stereolith.llm import decontaminate, jaccard_join, language_id, packing, to
 from stereolith.llm.queries import table, word_bpe
 from stereolith.plans.scratch import Scratch
 
-#: A text goes as unidentified below this score; clean texts of the learned languages lie far above.
+#: A text goes as unidentified below this score. The best of few languages always lies above; what is of none of them goes by its fit.
 LEAST_LANGUAGE_SCORE = 0.2
 
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(language_id.train_rows_of(docs))
-    found = language_id.identify(docs, model, lang_out="_lang", score_out="_score")
-    return found.where((F.col("_lang") != language_id.UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    found = language_id.identify(docs, model, lang_out="_lang", score_out="_score", fits_out="_fits")
+    return found.where(F.col("_fits") & (F.col("_lang") != language_id.UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

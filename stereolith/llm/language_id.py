@@ -26,6 +26,9 @@ LANDMARKS = 256
 TRAIN_ROWS = 8192
 RIDGE = 1e-3
 UNKNOWN = "und"
+#: A text fits its language if its share of n-grams that the language's landmarks hold reaches this part of what
+#: ``FIT_OF`` of the landmarks reach, each without itself.
+FIT, FIT_OF = 0.75, 0.95
 
 _plain = np.full(256, 32, np.uint8)
 _plain[97:123] = np.arange(97, 123)
@@ -65,14 +68,20 @@ class Model:
     norms: np.ndarray
     root: np.ndarray
     weights: np.ndarray
+    #: Languages by buckets that its landmarks hold, and the least share of them in a text that fits.
+    known: np.ndarray
+    least: np.ndarray
 
     def features(self, column: pa.Array) -> np.ndarray:
-        p = presence(column)
+        return self.project(presence(column))
+
+    def project(self, p: np.ndarray) -> np.ndarray:
         own = np.sqrt(np.maximum(p.sum(1, dtype=np.float32), 1))
         return (p.astype(np.float32) @ self.landmarks.T / own[:, None] / self.norms) @ self.root
 
-    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        names, scores = [], []
+    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores, and whether each text fits its language at all."""
+        names, scores, fits = [], [], []
         for a, b in T.runs(column, 1_500_000):
             part = column.slice(a, b - a)
             for text_at in range(0, b - a, 1024):
@@ -80,13 +89,30 @@ class Model:
                 if not self.languages:
                     names += [UNKNOWN] * len(some)
                     scores.append(np.zeros(len(some)))
+                    fits.append(np.zeros(len(some), bool))
                     continue
-                f = self.features(some) @ self.weights
+                p = presence(some)
+                f = self.project(p) @ self.weights
                 best = f.argmax(1)
                 known = lettered(some)
                 names += [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
                 scores.append(np.where(known, np.clip((f.max(1) + 1) / 2, 0, 1), 0.0))
-        return names, np.concatenate(scores) if scores else np.zeros(0)
+                fits.append(known & ((p & self.known[best]).sum(1) >= self.least[best] * p.sum(1)))
+        return names, np.concatenate(scores) if scores else np.zeros(0), np.concatenate(fits) if fits else np.zeros(0, bool)
+
+
+def _fit(marks: np.ndarray, langs: np.ndarray, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that two landmarks of a language hold (one, of fewer than three), and the least share of them that fits."""
+    known, least = np.zeros((len(languages), BUCKETS), np.uint8), np.zeros(len(languages))
+    for k, lang in enumerate(languages):
+        own = marks[langs == lang] > 0
+        hold = own.sum(0)
+        enough = 2 if len(own) > 2 else 1
+        known[k] = hold >= enough
+        if len(own) > 1:
+            share = (own & (hold - own >= enough)).sum(1) / np.maximum(own.sum(1), 1)
+            least[k] = FIT * np.quantile(share, 1 - FIT_OF)
+    return known, least
 
 
 def lettered(column: pa.Array) -> np.ndarray:
@@ -113,7 +139,7 @@ def train(labelled: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRA
     counts = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy("lang").limit(landmarks)
     languages = sorted(r["lang"] for r in counts.collect())
     if not languages:
-        return Model([], *(np.zeros((0, 0), np.float32),) * 4)
+        return Model([], *(np.zeros((0, 0), np.float32),) * 6)
     base = _sampled(rows, counts, max(1, landmarks // len(languages)), "landmark")
     found = base.select("doc_id", "lang", "text").mapInArrow(_as_presence, "doc_id long, lang string, p binary").orderBy("lang", "doc_id", "p").limit(2 * landmarks).collect()
     marks = np.array([np.unpackbits(np.frombuffer(r["p"], np.uint8)) for r in found], np.float32)
@@ -122,7 +148,8 @@ def train(labelled: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRA
     values, vectors = np.linalg.eigh(k.astype(float))
     keep = values > 1e-4 * values[-1]
     root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-    half = spark.sparkContext.broadcast(Model(languages, marks, norms, root, np.zeros((0, 0))))
+    fit = _fit(marks, np.array([r["lang"] for r in found]), languages)
+    half = spark.sparkContext.broadcast(Model(languages, marks, norms, root, np.zeros((0, 0)), *fit))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = half.value
@@ -147,7 +174,7 @@ def train(labelled: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRA
     for r in total:
         both[r["row"], r["pos"]] = r["v"]
     weights = np.linalg.solve(both[:, :size] + RIDGE * np.trace(both[:, :size]) / size * np.eye(size), both[:, size:])
-    return Model(languages, marks, norms, root, weights.astype(np.float32))
+    return Model(languages, marks, norms, root, weights.astype(np.float32), *fit)
 
 
 def _as_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,19 +183,24 @@ def _as_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"doc_id": batch.column(0).cast(pa.int64()), "lang": batch.column(1), "p": pa.array(bits, pa.binary())})
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score (0 to 1); null texts and texts without a letter get ``und`` and 0."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", fits_out: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language and its score (0 to 1); null texts and texts without a letter get ``und`` and 0.
+
+    ``fits_out``: whether the text is of its language at all, as letter junk and languages not learned are not.
+    """
     names = docs.columns
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [k for k, n in enumerate(names) if n not in (lang_out, score_out)]
+    out = [(lang_out, "string"), (score_out, "double"), *([(fits_out, "boolean")] if fits_out else [])]
+    kept = [k for k, n in enumerate(names) if n not in [o for o, _ in out]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, s = held.value.predict(batch.column(names.index(text_col)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(lang, pa.string()), pa.array(s, pa.float64())], [*(names[k] for k in kept), lang_out, score_out])
+            lang, s, fits = held.value.predict(batch.column(names.index(text_col)))
+            new = [pa.array(lang, pa.string()), pa.array(s, pa.float64()), pa.array(fits, pa.bool_())][: len(out)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *new], [*(names[k] for k in kept), *(o for o, _ in out)])
 
     types = dict(docs.dtypes)
-    return docs.mapInArrow(run, ", ".join([*(f"`{names[k]}` {types[names[k]]}" for k in kept), f"`{lang_out}` string", f"`{score_out}` double"]))
+    return docs.mapInArrow(run, ", ".join([*(f"`{names[k]}` {types[names[k]]}" for k in kept), *(f"`{o}` {t}" for o, t in out)]))
 
 
 def train_rows_of(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

@@ -1,5 +1,8 @@
 """The pipeline's stages against plain versions of what they decide."""
 
+import random
+
+from pyspark.sql import functions as F
 from test_jaccard_join import brute
 from test_operators import SF, shingles
 
@@ -29,3 +32,19 @@ def test_run_packs_what_is_left(spark):
     for _, stage in P.STAGES[:-1]:
         docs = stage(spark, docs, SF)
     assert ids == {r["doc_id"] for r in docs.select("doc_id").collect()} and len(ids) > 100
+
+
+def test_language_stage_rejects_what_is_of_no_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(0)
+    planted = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(n)) for n in (100, 400, 2000)] + [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "12 34",
+    ]
+    new = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(planted)], "doc_id long, text string")
+    kept = P.drop_unidentified(spark, docs.unionByName(new, allowMissingColumns=True), SF)
+    assert not kept.where(F.col("doc_id") >= 10**9).count()
+    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1) & F.col("text").rlike("[a-z]")
+    assert kept.where(held).count() >= 0.998 * docs.where(held).count()
