@@ -25,11 +25,14 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class stays (one row of it); rows with a null id stay."""
+    """The document with the smallest id of each class stays, as one row (the least, of rows that repeat the id); rows with a null id stay."""
+    scratch = Scratch(spark, "classes")
     classes = jaccard_join.jaccard_classes(docs).where("doc_id is not null")
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return kept
+    marks = classes.groupBy("doc_id").agg(F.count("*").alias("_n"), F.bool_or(F.col("doc_id") != F.col("component_id")).alias("_gone"))
+    marks = scratch.table(marks.where("_gone or _n > 1"), "marks")
+    single = docs.join(marks.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.join(marks.where("not _gone").select("doc_id"), "doc_id", "left_semi")
+    return single.unionByName(repeated.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

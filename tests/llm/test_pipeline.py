@@ -48,3 +48,12 @@ def test_language_stage_rejects_what_is_of_no_language(spark):
     assert not kept.where(F.col("doc_id") >= 10**9).count()
     held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1) & F.col("text").rlike("[a-z]")
     assert kept.where(held).count() >= 0.998 * docs.where(held).count()
+
+
+def test_one_row_stays_of_repeated_rows(spark):
+    words = [f"w{k}" for k in range(90)]
+    a, b, c = " ".join(words[:30]), " ".join(words[30:60]), " ".join(words[60:])
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (2, a, "x"), (2, a, "x"), (3, b, "x"), (3, c, "x"), (4, None, None), (4, None, None), (5, c, "z"), (None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = P.one_of_each_class(spark, docs, SF).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a, "x"), (3, b, "x"), (4, None, None), (None, a, "x"), (None, a, "x")]))
