@@ -53,54 +53,107 @@ def voxel_downsample(cloud: DataFrame, size: float, min_views: int = 1) -> DataF
     return cells.join(F.broadcast(top)).where((F.col("views") >= min_views) | (F.col("top") < min_views)).drop("top")
 
 
-def _nearest(k: int, cell: float):
-    """Mean distance to the k nearest others for the rows of a bucket that are its own, and whether the halo was wide enough."""
+#: Distinct places of a leaf, about, and of the sample that splits a leaf off.
+LEAF, LEAF_SAMPLE = 2_000, 64
+
+
+def _split(p: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes (low and high corners) of a k-d tree of at most ``leaves`` leaves over the sample ``p``; together they fill space."""
+    out, open_ = [], [(p, leaves, np.full(3, -np.inf), np.full(3, np.inf))]
+    while open_:
+        some, n, low, high = open_.pop()
+        axis = int(np.ptp(some, 0).argmax()) if len(some) > 1 else 0
+        values = np.unique(some[:, axis]) if len(some) else np.zeros(0)
+        if n < 2 or len(values) < 2:
+            out.append((low, high))
+            continue
+        # right of the cut: values from it on, so both sides hold some
+        cut = max(float(np.quantile(some[:, axis], (n // 2) / n, method="lower")), float(values[1]))
+        right = some[:, axis] >= cut
+        mid_high, mid_low = high.copy(), low.copy()
+        mid_high[axis] = mid_low[axis] = cut
+        open_ += [(some[~right], n // 2, low, mid_high), (some[right], n - n // 2, mid_low, high)]
+    return np.array([x for x, _ in out]), np.array([x for _, x in out])
+
+
+def _met(low: np.ndarray, high: np.ndarray, query: bool):
+    """Rows by leaf: of a place its own leaf; of a query all other leaves that lie nearer than its ``reach``."""
+
+    def run(batches):
+        for rows in batches:
+            p = rows[["x", "y", "z"]].to_numpy(float)
+            for at in range(0, len(p), 1024):
+                some = p[at : at + 1024, None, :]
+                inside = ((some >= low) & (some < high)).all(2)
+                if query:
+                    away = np.maximum(np.maximum(low - some, some - high), 0)
+                    inside = ~inside & ((away**2).sum(2) <= (rows["reach"].to_numpy()[at : at + 1024] * (1 + 1e-9))[:, None] ** 2)
+                row, leaf = np.nonzero(inside)
+                yield rows.iloc[at + row].assign(leaf=leaf.astype(np.int64))
 
+    return run
+
+
+def _closest(q: np.ndarray, p: np.ndarray, n: np.ndarray, k: int, own: bool) -> list[list[float]]:
+    """For each of ``q`` up to k ascending distances to points at the places ``p``, of which n lie at each; ``own``: q are these places, and a point is not its own neighbour."""
+    out = []
+    for at in range(0, len(q), 256):
+        d2 = sum((q[at : at + 256, None, i] - p[None, :, i]) ** 2 for i in range(3))
+        most = min(k + 1, len(p))
+        near = np.argpartition(d2, most - 1, 1)[:, :most]
+        for i, some in enumerate(near):
+            d = np.sqrt(d2[i, some])
+            times = n[some] - ((some == at + i) if own else 0)
+            order = np.argsort(d, kind="stable")
+            out.append(np.repeat(d[order], np.minimum(times[order], k))[:k].tolist())
+    return out
+
+
+def _within(k: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         p = rows[["x", "y", "z"]].to_numpy(float)
-        own = np.flatnonzero(rows["own"].to_numpy())
-        out = []
-        for at in range(0, len(own), 256):
-            some = own[at : at + 256]
-            d2 = ((p[some][:, None, :] - p[None, :, :]) ** 2).sum(2)
-            d2[np.arange(len(some)), some] = np.inf
-            near = np.sqrt(np.partition(d2, min(k, d2.shape[1]) - 1, 1)[:, :k]) if d2.shape[1] > k else np.full((len(some), 1), np.inf)
-            out.append(pd.DataFrame({"uid": rows["uid"].to_numpy()[some], "d": near.mean(1), "sure": near.max(1) <= cell}))
-        return pd.concat(out) if out else pd.DataFrame({"uid": [], "d": [], "sure": []}).astype({"uid": "int64", "d": float, "sure": bool})
+        near = _closest(p, p, rows["n"].to_numpy(), k, True)
+        return rows[["x", "y", "z"]].assign(near=pd.Series(near, rows.index, object), reach=[d[-1] if len(d) == k else np.inf for d in near])
+
+    return run
+
+
+def _across(k: int):
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(rows):
+            return pd.DataFrame({"x": [], "y": [], "z": [], "near": []}).astype({"near": object})
+        near = _closest(queries[["x", "y", "z"]].to_numpy(float), rows[["x", "y", "z"]].to_numpy(float), rows["n"].to_numpy(), k, False)
+        return queries[["x", "y", "z"]].assign(near=pd.Series(near, queries.index, object))
 
     return run
 
 
 def knn_mean_distance(cloud: DataFrame, k: int = 8, cell: float | None = None, rounds: int = 12) -> DataFrame:
-    """(uid, d): exact mean distance to the k nearest other points of (uid, x, y, z).
+    """(uid, d): exact mean distance to the k nearest other points of (uid, x, y, z); infinite with k points or fewer.
 
-    Points meet those of their own and the 26 cells around. A point whose k-th distance exceeds the cell's edge is tried again
-    with cells twice as wide, with all points around it; what is left after ``rounds`` has every point around it.
+    Points at one place are one row with a count. Places are dealt over the leaves of a k-d tree that a sample splits, so a dense spot
+    falls into many leaves of bounded size. A place finds k neighbours in its leaf and asks only the leaves nearer than
+    the last of these; a far outlier is one row in each of them. ``cell`` and ``rounds`` are those of the grid that this
+    replaced and are not used.
     """
-    if cell is None:
-        box = cloud.agg(F.count("*"), *[f(c) for c in "xyz" for f in (F.min, F.max)]).first()
-        span = [max(box[2 + 2 * i] - box[1 + 2 * i], 1e-9) for i in range(3)] if box[0] else [1.0] * 3
-        cell = max((span[0] * span[1] * span[2] * (k + 1) / max(box[0], 1)) ** (1 / 3), 1e-9)
     scratch = Scratch(cloud.sparkSession, "knn")
-    left, done = cloud.select("uid"), None
-    around = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((a, b, c), ("a", "b", "c"), strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    for _ in range(rounds):
-        keyed = cloud.select("uid", "x", "y", "z", *[F.floor(F.col(c) / cell).alias(f"k{c}") for c in "xyz"])
-        open_cells = keyed.join(left, "uid", "left_semi").select("kx", "ky", "kz").distinct()
-        halo = keyed.withColumn("o", F.explode(around)).select("uid", "x", "y", "z", (F.col("kx") + F.col("o.a")).alias("kx"), (F.col("ky") + F.col("o.b")).alias("ky"), (F.col("kz") + F.col("o.c")).alias("kz"), ((F.col("o.a") == 0) & (F.col("o.b") == 0) & (F.col("o.c") == 0)).alias("own"))
-        halo = halo.join(open_cells, ["kx", "ky", "kz"], "left_semi")
-        marked = halo.join(left.withColumn("todo", F.lit(True)), "uid", "left").withColumn("own", F.col("own") & F.coalesce("todo", F.lit(False)))
-        found = marked.groupBy("kx", "ky", "kz").applyInPandas(_nearest(k, cell), "uid long, d double, sure boolean")
-        found = scratch.table(found, "near")
-        sure = found.where("sure").select("uid", "d")
-        done = sure if done is None else done.unionByName(sure)
-        left = found.where("not sure").select("uid")
-        if not left.limit(1).count():
-            break
-        cell *= 2
-    else:
-        done = done.unionByName(found.where("not sure").select("uid", "d"))
-    return done
+    xyz = ["x", "y", "z"]
+    places = cloud.select(*[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in xyz]).where(" and ".join(f"{c} is not null and not isnan({c})" for c in xyz)).groupBy(*xyz).agg(F.count("*").alias("n"))
+    places = scratch.table(places, "places")
+    leaves = max(1, -(-places.count() // LEAF))
+    share = F.pmod(F.xxhash64(*xyz), F.lit(max(1, LEAF // LEAF_SAMPLE))) == 0
+    sample = np.array(places.where(share).select(*xyz).collect(), float).reshape(-1, 3) if leaves > 1 else np.zeros((0, 3))
+    # in one order, whatever the partitions
+    low, high = _split(sample[np.lexsort(sample.T)], leaves)
+    dealt = scratch.table(places.mapInPandas(_met(low, high, False), "x double, y double, z double, n long, leaf long"), "dealt")
+    first = scratch.table(dealt.groupBy("leaf").applyInPandas(_within(k), "x double, y double, z double, near array<double>, reach double"), "first")
+    asked = first.select(*xyz, "reach").mapInPandas(_met(low, high, True), "x double, y double, z double, reach double, leaf long")
+    second = asked.groupBy("leaf").cogroup(dealt.groupBy("leaf")).applyInPandas(_across(k), "x double, y double, z double, near array<double>")
+    near = first.select(*xyz, "near").unionByName(second).groupBy(*xyz).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    d = near.select(*xyz, F.when(F.size("near") == k, F.aggregate("near", F.lit(0.0), lambda a, v: a + v) / k).otherwise(F.lit(float("inf"))).alias("d"))
+    d = scratch.table(d, "d")
+    keyed = cloud.select("uid", *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in xyz])
+    return keyed.join(d, xyz).select("uid", "d")
 
 
 def statistical_outliers(cloud: DataFrame, k: int = 8, std: float = 2.0, cell: float | None = None) -> DataFrame:

@@ -287,6 +287,13 @@ register(
 )(dn5_statistical_outliers)
 
 
+# every point of the cloud rather than voxels whose number does not grow; tests/test_whole.py holds it against all pairs
+@register()
+def dn5_statistical_outliers_whole(spark, d):
+    points = t(spark, d, "fx_dense").groupBy("pt_id", "src", "x", "y", "z").agg(F.count("*").alias("rows")).withColumn("uid", F.xxhash64("pt_id", "src", "x", "y", "z"))
+    return D.statistical_outliers(points, 8, 2.0).select("pt_id", "src", "rows", F.round("d", 6).alias("d"))
+
+
 @register(twin("select pt_id, src, round(x, 6) as x from fx_dense order by md5(concat_ws(':', '0', pt_id, src, r, g, b)), pt_id, src, r, g, b limit 500"))
 def dn6_cap_points(spark, d):
     return rounded(D.cap_points(t(spark, d, "fx_dense"), 500, ["pt_id", "src", "r", "g", "b"]).select("pt_id", "src", "x"), "x")

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from oracle import connect, same
 
@@ -64,3 +65,36 @@ def test_refinement_takes_all_frames(spark):
 
     obs, _, poses = m._noisy(spark, SF)
     assert obs.count() == t(spark, SF, "fx_obs").count() and poses.count() == t(spark, SF, "fx_poses").count()
+
+
+def brute_knn(p, k):
+    d = np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    return np.sort(d, 1)[:, :k].mean(1)
+
+
+def test_knn_with_hot_places_and_far_outliers(spark, monkeypatch):
+    from stereolith.operators import dense
+
+    monkeypatch.setattr(dense, "LEAF", 100)
+    monkeypatch.setattr(dense, "LEAF_SAMPLE", 50)
+    r = np.random.default_rng(5)
+    cloud = [r.uniform(0, 1, (900, 3)), r.normal(0.5, 1e-4, (700, 3)), np.repeat([[0.2, 0.2, 0.2]], 300, 0), np.repeat([[0.8, 0.1, -0.0]], 4, 0), [[1e5, 1e5, 1e5], [-3e6, 0, 0]]]
+    p = np.concatenate(cloud)
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "uid long, x double, y double, z double")
+    got = dict(map(tuple, dense.knn_mean_distance(df, 8).collect()))
+    assert np.allclose([got[i] for i in range(len(p))], brute_knn(p, 8), rtol=1e-9, atol=1e-12)
+    low, high = dense._split(p, 19)
+    inside = ((p[:, None] >= low) & (p[:, None] < high)).all(2)
+    assert (inside.sum(1) == 1).all() and len(low) > 10
+    few = dense.knn_mean_distance(df.where("uid < 8"), 8).collect()
+    assert len(few) == 8 and all(x["d"] == float("inf") for x in few)
+
+
+def test_outliers_of_all_points(spark):
+    at = "/root/testdata/sf0.001"
+    rows = sorted({tuple(x) for x in t(spark, at, "fx_dense").select("pt_id", "src", "x", "y", "z").collect()})
+    d = brute_knn(np.array([x[2:] for x in rows], float), 8)
+    want = sorted((x[0], x[1], round(float(v), 5)) for x, v in zip(rows, d, strict=True) if v < d.mean() + 2 * d.std())
+    got = sorted((x["pt_id"], x["src"], round(x["d"], 5)) for x in queries.QUERIES["dn5_statistical_outliers_whole"](spark, at).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], rtol=0, atol=2e-5)
