@@ -1,21 +1,27 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
-Every block element is a node that is content or not. A node's own features (tag, words of class and id, text and link
-density) give its likelihood ratio by logistic regression; a parent and its child are tied by a potential, the smoothed
-conditional frequency of the child's label. Messages are passed upward from the leaves and downward from the root
-(sum-product), which on a tree gives exact marginals; blocks of nodes with a content marginal of 0.5 or more are the text.
+Every block element that holds text is a node, and so is every run of text, as a leaf below its element. An element is *on* if
+text of the story lies below it, a leaf if it is such text. A node's features (tag, words of class and id, length and link
+density of its text) give its own potential and each parent is tied to its child by a potential of their two labels.
+Messages are passed upward from the leaves and downward from the root (sum-product), which on a tree gives exact marginals;
+leaves of a marginal of 0.5 or more are the text.
 
-Both parts are trained from labelled pages. The labelled pages are laid out here by rule (``labelled_pages``): articles within
+All potentials are fitted together, by gradient ascent of the likelihood of labelled pages, whose gradient is made of the same
+marginals. The labelled pages are laid out here by rule (``labelled_pages``): stories with and without a wrapper, beside
 menus, headers, footers, sidebars, notices, adverts, forms and comments, with semantic tags or with classes alone. Pages
 that have no labels are never trained on, so a result doesn't depend on which pages are scored together.
+
+The parser takes time in proportion to the page, however deep or broken: open elements are found by depth, not by search.
 """
 
 from __future__ import annotations
 
 import html as entities
-import itertools
+import math
+import random
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -27,161 +33,235 @@ from pyspark.sql import functions as F
 # fixed values: element names of HTML
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math title select option button".split())
-NEVER = frozenset("head script style noscript template textarea iframe svg math title select option button".split())
+HEAD = frozenset("base link meta noscript script style template title head".split())
+#: Elements whose content is left out; the second kind hides nothing where it is never closed.
+RAW = frozenset("script style noscript textarea iframe title".split())
+HIDDEN = frozenset("template svg math select option button".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside form fieldset hr address details summary".split()
+SIBLINGS = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"]}
+SCOPE = {"li": ["ul", "ol", "menu"], "dt": ["dl"], "dd": ["dl"], "tr": ["table"], "td": ["table", "tr"], "th": ["table", "tr"]}
+CELLS = ("td", "th", "table")
+TAGS = "main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside form fieldset address details summary".split()
 #: Groups of words in class, id, role and itemprop.
 HINTS = {
     "advert": "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion",
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs toolbar tabs pagination pager",
-    "comments": "comment comments commentlist reply replies disqus discussion respond",
+    "comments": "comments commentlist replies disqus discussion respond",
+    "comment": "comment reply",
     "footer": "footer foot colophon copyright legal",
-    "header": "masthead topbar site-header siteheader logo branding",
+    "header": "masthead topbar siteheader header logo branding",
     "side": "sidebar side aside related widget rail recommended popular trending complementary",
     "notice": "cookie cookies notice consent gdpr alert popup modal overlay paywall disclaimer",
     "form": "subscribe newsletter signup login search form contact share sharing social",
     "content": "content article articlebody post entry story body text main maincontent hentry prose",
 }
 _HINT = {w: k for k, words in HINTS.items() for w in words.split()}
-FEATURES = [*(f"tag {t}" for t in TAGS), *(f"hint {k}" for k in HINTS), "links", "some links", "long text", "text", "no text"]
-RIDGE = 0.1
+_SIZES = (25, 80, 200)
+FEATURES = ["root", *(f"tag {t}" for t in TAGS), *(f"hint {k}" for k in HINTS), "links", "some links", *(f"below {k}" for k in range(4)), "leaf", *(f"leaf in {t}" for t in ["body", *TAGS]), "leaf links", "leaf some links", *(f"leaf {k}" for k in range(4))]
 _AT = {f: k for k, f in enumerate(FEATURES)}
+RIDGE, STEPS, RATE = 1e-6, 400, 0.1
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+(?:-[a-z]+)?|[a-z]+")
-_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+_ATTR = re.compile(r"""(?:^|(?<=[\s"'/]))(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW | HIDDEN}
 
 
 @dataclass
 class Tree:
-    """Nodes in page order: parent (-1 for the root), tag, attribute text; blocks: (node, text) in page order."""
+    """Nodes in page order (a node follows its parent; -1 is the root's): tag, hint words; text of leaves, else null; own text and link letters."""
 
     parent: list[int] = field(default_factory=lambda: [-1])
-    tag: list[str] = field(default_factory=lambda: ["html"])
+    tag: list[str] = field(default_factory=lambda: ["body"])
     hints: list[str] = field(default_factory=lambda: [""])
+    text: list[str | None] = field(default_factory=lambda: [None])
     size: list[int] = field(default_factory=lambda: [0])
     linked: list[int] = field(default_factory=lambda: [0])
-    blocks: list[tuple[int, str]] = field(default_factory=list)
+
+    def add(self, parent: int, tag: str, hints: str = "", text: str | None = None, linked: int = 0) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.hints.append(hints)
+        self.text.append(text)
+        self.size.append(len(text or ""))
+        self.linked.append(linked)
+        return len(self.tag) - 1
+
+
+class Markup:
+    """The tags of a page, one after another."""
+
+    def __init__(self, page: str):
+        self.page = page
+        #: From where on a quote has no partner and an element no end tag: looked for once.
+        self.lost: dict[str, int] = {}
+
+    def _past(self, what: str, at: int) -> int:
+        found = self.page.find(what, at)
+        return len(self.page) if found < 0 else found + len(what)
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``; a quote that is never closed opens nothing."""
+        page, name_end = self.page, at
+        while True:
+            m = _STOP.search(page, at)
+            if m is None:
+                return len(page)
+            at = m.end()
+            if m[0] == ">":
+                return at
+            k = m.start() - 1
+            while k >= name_end and page[k].isspace():
+                k -= 1
+            if k >= name_end and page[k] == "=" and m.start() < self.lost.get(m[0], len(page)):
+                close = page.find(m[0], at)
+                if close < 0:
+                    self.lost[m[0]] = m.start()
+                else:
+                    at = close + 1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(begin, end, closing, name, attributes) of the next tag; comments and declarations have no name."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                return at, self._past("-->", at + 2), False, "", ""
+            closing = page.startswith("</", at)
+            m = _NAME.match(page, at + 1 + closing)
+            if m:
+                end = self._end(m.end())
+                return at, end, closing, m[0].lower(), page[m.end() : end - 1]
+            if closing or page[at + 1 : at + 2] in ("!", "?"):
+                return at, self._past(">", at), False, "", ""
+            at += 1
+        return None
+
+    def skip(self, name: str, at: int) -> int | None:
+        """Behind the end tag of an element whose start tag ends at ``at``; null if there is none."""
+        if at >= self.lost.get(name, len(self.page) + 1):
+            return None
+        m = _END[name].search(self.page, at)
+        if m is None:
+            self.lost[name] = at
+        return m.end() if m else None
 
 
 def parse(page: str) -> Tree:
-    """The page's block elements; inline elements count as text of the block they are in, unclosed ones end where HTML ends them."""
-    t = Tree()
-    stack, links, pieces, at = [0], 0, [], 0
+    """The page's block elements and runs of text; inline elements are part of the run, unclosed ones end where HTML ends them."""
+    t, tags = Tree(), Markup(page)
+    stack, opened = [0], defaultdict(list)
+    links, linked, pieces, at, begun = 0, 0, [], 0, False
 
     def flush() -> None:
+        nonlocal linked
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                t.blocks.append((stack[-1], text))
-                t.size[stack[-1]] += len(text)
+                t.add(stack[-1], "#text", t.tag[stack[-1]], text, min(linked, len(text)))
             pieces.clear()
+            linked = 0
+
+    def close(depth: int) -> None:
+        """Ends all elements from this depth on."""
+        nonlocal links
+        while len(stack) > depth:
+            opened[t.tag[stack.pop()]].pop()
+            links = 0
+
+    def deepest(names: Sequence[str]) -> int:
+        return max((opened[n][-1] for n in names if opened[n]), default=0)
 
     def take(text: str) -> None:
+        nonlocal linked
+        if opened["head"] and not text.isspace():
+            close(opened["head"][-1])
         pieces.append(text)
-        if links and text:
-            t.linked[stack[-1]] += len(text)
+        linked += len(text) if links else 0
 
-    end = len(page)
-    while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
-            take(page[at:])
-            break
-        if m.start() > at:
-            take(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+    while (m := tags.next(at)) is not None:
+        begin, end, closing, name, attributes = m
+        if begin > at:
+            take(page[at:begin])
+        at = end
+        if not name or name in ("html", "body") and closing:
             continue
-        name = name.lower()
-        if m[1]:
+        if closing:
             if name == "a":
                 links = max(0, links - 1)
-            if name in INLINE:
-                continue
-            if name == "p" and not any(t.tag[i] == "p" for i in stack):
-                flush()
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if t.tag[stack[k]] == name:
+            if name not in INLINE:
+                depth = opened[name][-1] if opened[name] else 0
+                if depth and (name in CELLS or name == "tr" or depth > deepest(CELLS)):
+                    flush()
+                    close(depth)
+                elif name == "p":
                     flush()
-                    del stack[k:]
-                    links = 0
-                    break
             continue
-        if name in RAW:
-            close = _END[name].search(page, at)
-            at = close.end() if close else (at if name in ("option", "button", "select") else end)
-            if name not in ("option", "button", "select", "svg", "math"):
+        if name in RAW or name in HIDDEN:
+            past = tags.skip(name, at)
+            at = past if past is not None else (len(page) if name in RAW else at)
+            if name in RAW:
                 flush()
             continue
         if name in INLINE:
             if name == "a":
-                links += not m[3].rstrip().endswith("/")
+                links += not attributes.rstrip().endswith("/")
             elif name == "br":
                 take(" ")
             continue
         flush()
-        if name in ("html", "body") and any(t.tag[i] == name for i in stack) and name != "html":
-            continue
-        if name == "html":
+        if name in ("html", "body"):
+            if name == "body" and not begun:
+                begun = True
+                close(1)
             continue
+        if opened["head"] and name not in HEAD:
+            close(opened["head"][-1])
         if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if t.tag[stack[k]] == "p":
-                    del stack[k:]
-                    links = 0
-                    break
+            if opened["p"] and opened["p"][-1] > deepest(CELLS):
+                close(opened["p"][-1])
         elif name in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = t.tag[stack[k]]
-                if tag in SIBLINGS[name]:
-                    del stack[k:]
-                    break
-                if tag in SCOPE[name]:
-                    break
-        if name == "body":
-            del stack[1:]
-        t.parent.append(stack[-1])
-        t.tag.append(name)
-        t.hints.append(" ".join(x for a in _ATTR.findall(m[3]) for x in a[1:] if x).lower() if m[3] else "")
-        t.size.append(0)
-        t.linked.append(0)
+            depth = deepest(SIBLINGS[name])
+            if depth > deepest(SCOPE[name]):
+                close(depth)
+                # a row ends with its cells
+                depth = deepest(SIBLINGS[name])
+                if name == "tr" and depth > deepest(SCOPE[name]):
+                    close(depth)
         if name not in VOID:
-            stack.append(len(t.tag) - 1)
+            hints = " ".join(x for a in _ATTR.findall(attributes) for x in a[1:] if x).lower() if "=" in attributes else ""
+            opened[name].append(len(stack))
+            stack.append(t.add(stack[-1], name, hints))
+    if at < len(page):
+        take(page[at:])
     flush()
     return t
 
 
 def active(t: Tree) -> list[list[int]]:
-    """Each node's features, as positions in ``FEATURES``."""
+    """Each node's features, as positions in ``FEATURES``; null for elements without text."""
     n = len(t.tag)
-    size, linked = t.size[:], t.linked[:]
+    size, linked, shut = t.size[:], t.linked[:], [False] * n
     for i in range(n - 1, 0, -1):
         size[t.parent[i]] += size[i]
         linked[t.parent[i]] += linked[i]
-    out = []
+    out: list = []
     for i in range(n):
-        f = []
-        k = _AT.get("tag " + t.tag[i])
-        if k is not None:
-            f.append(k)
-        if t.hints[i]:
-            f += {_AT["hint " + _HINT[w]] for w in re.split(r"[^a-z]+", t.hints[i]) if w in _HINT}
-        if not size[i]:
-            f.append(_AT["no text"])
-        else:
-            share = linked[i] / size[i]
-            if share > 0.5:
-                f.append(_AT["links"])
-            elif share > 0.1:
-                f.append(_AT["some links"])
-            f.append(_AT["long text"] if t.size[i] >= 80 else _AT["text"])
+        # what stands in the head is no text of the page
+        shut[i] = t.tag[i] == "head" or i > 0 and shut[t.parent[i]]
+        if not size[i] or shut[i]:
+            out.append(None)
+            continue
+        leaf = "leaf " if t.text[i] is not None else ""
+        f = [_AT["leaf"]] if leaf else []
+        name = f"leaf in {t.hints[i]}" if leaf else f"tag {t.tag[i]}" if i else "root"
+        if name in _AT:
+            f.append(_AT[name])
+        if not leaf and t.hints[i]:
+            f += sorted({_AT["hint " + _HINT[w]] for w in re.split(r"[^a-z]+", t.hints[i]) if w in _HINT})
+        share = linked[i] / size[i]
+        if share > 0.1:
+            f.append(_AT[f"{leaf}links" if share > 0.5 else f"{leaf}some links"])
+        f.append(_AT[f"{leaf or 'below '}{sum(size[i] >= s for s in _SIZES)}"])
         out.append(f)
     return out
 
@@ -189,126 +269,151 @@ def active(t: Tree) -> list[list[int]]:
 @dataclass
 class Model:
     weights: list[float]
-    bias: float
-    prior: float
-    #: P(child is content | parent's label)
-    given: tuple[float, float]
+    #: Score of a parent's label (off, on) with its child's.
+    tie: list[list[float]]
 
     def marginals(self, t: Tree) -> list[float]:
-        """Each node's probability of being content, by sum-product over the tree."""
-        n, w = len(t.tag), self.weights
-        odds = np.log(self.prior / (1 - self.prior))
-        like = []
-        for tag, f in zip(t.tag, active(t), strict=True):
-            x = self.bias + sum(w[k] for k in f) - odds
-            x = -30.0 if tag in NEVER else max(-30.0, min(30.0, x))
-            like.append(np.exp(x) if abs(x) < 30 else (1e13 if x > 0 else 1e-13))
-        g0, g1 = self.given
-        # upward: belief[i] = (value for other, value for content) of all that lies below i
-        up0, up1 = [1.0] * n, like[:]
-        to0, to1 = [1.0] * n, [1.0] * n
-        for i in range(n - 1, 0, -1):
-            s = up0[i] + up1[i]
-            a, b = up0[i] / s, up1[i] / s
-            to0[i], to1[i] = (1 - g0) * a + g0 * b, (1 - g1) * a + g1 * b
-            p = t.parent[i]
-            up0[p] *= to0[i]
-            up1[p] *= to1[i]
-            if up0[p] + up1[p] < 1e-100:
-                up0[p], up1[p] = up0[p] * 1e100, up1[p] * 1e100
-        # downward: what the rest of the tree says of i
-        out = [0.0] * n
-        down0, down1 = [1 - self.prior] * n, [self.prior] * n
-        for i in range(n):
-            if i:
-                p = t.parent[i]
-                a, b = down0[p] * up0[p] / to0[i], down1[p] * up1[p] / to1[i]
-                s = a + b
-                a, b = a / s, b / s
-                down0[i], down1[i] = a * (1 - g0) + b * (1 - g1), a * g0 + b * g1
-            x, y = down0[i] * up0[i], down1[i] * up1[i]
-            out[i] = y / (x + y)
-        return out
+        """Each node's probability of being on (0 for elements without text), by sum-product over the tree."""
+        w, parent = self.weights, t.parent
+        (e00, e01), (e10, e11) = ((math.exp(x) for x in row) for row in self.tie)
+        features = active(t)
+        # log odds that a node and all that lies below it give, and what each sends to its parent
+        odds = [0.0 if f is None else sum(w[k] for k in f) for f in features]
+        sent = [0.0] * len(odds)
+        for i in range(len(odds) - 1, 0, -1):
+            if features[i] is not None:
+                b = math.exp(max(-60.0, min(60.0, odds[i])))
+                sent[i] = math.log((e10 + e11 * b) / (e00 + e01 * b))
+                odds[parent[i]] += sent[i]
+        # downward: with what the rest of the tree says
+        for i in range(1, len(odds)):
+            if features[i] is not None:
+                c = math.exp(max(-60.0, min(60.0, odds[parent[i]] - sent[i])))
+                odds[i] += math.log((e01 + e11 * c) / (e00 + e10 * c))
+        return [0.0 if f is None else 1 / (1 + math.exp(-max(-60.0, min(60.0, x)))) for f, x in zip(features, odds, strict=True)]
 
     def text(self, page: str | None) -> str:
         if not page:
             return ""
         t = parse(page)
         m = self.marginals(t)
-        return "\n\n".join(text for i, text in t.blocks if m[i] >= 0.5)
+        return "\n\n".join(x for x, p in zip(t.text, m, strict=True) if x is not None and p >= 0.5)
+
+
+#: Ways to enclose a story.
+WRAPPERS = [("", ""), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="post-content">', "</div>"), ('<div id="content"><div class="entry">', "</div></div>"), ('<section class="story-body">', "</section>"), ('<div class="article-body" itemprop="articleBody">', "</div>"), ("<div>", "</div>"), ('<div id="page"><div class="row"><div>', "</div></div></div>"), ("<table><tr><td>", "</td></tr></table>"), ("<section>", "</section>")]
+NAVS = ["", "<nav>{words}</nav>", "<nav><p>{words}</p></nav>", "<nav><ul>{}</ul></nav>", '<div class="menu"><ul>{}</ul></div>', '<ul id="navbar">{}</ul>', "<ul>{}</ul>"]
+HEADS = ["", "<header><div>{}</div></header>", '<div class="masthead"><p>{}</p></div>', '<header><a href="/">{}</a></header>']
+FEET = ["", "<footer>{}</footer>", '<div id="footer"><p>{}</p></div>', '<footer><p>{}</p><ul><li><a href="/">About us</a></li></ul></footer>']
+EXTRAS = ["<aside>{}</aside>", "<form>{}</form>", "<form><label>{}</label><input></form>", '<div class="ad">{}</div>', "<aside><h3>Related</h3><p>{}</p></aside>", '<div class="sidebar"><p>{}</p><ul><li><a href="/x">More to read here</a></li></ul></div>', '<div class="cookie-notice"><p>{}</p></div>', "<form><fieldset><p>{}</p><input></fieldset></form>", '<div class="newsletter"><p>{}</p></div>', '<section class="comments"><h3>Comments</h3><div class="comment"><p>{}</p></div><div class="comment"><p>{}</p></div></section>', '<div id="comments"><ul><li>{}</li></ul></div>', '<div class="banner">{}</div>', '<div class="alert">{}</div>', '<div class="share"><a href="/s">Share</a></div>', '<p class="advertisement">{}</p>', '<p><a href="/a">{}</a></p>']
+FORMS = ["<p>{}</p>", "<p>{}</p>", "<p>{}", '<p class="comment">{}</p>', "<p><b>{}<br>", "<h2>{}</h2>", "<p>{}</p>", "<ul><li>{}</li></ul>", "<h3>{}</h3>", "<p>{}</p>", "<blockquote><p>{}</p></blockquote>", "<table><tr><td>{}</td></tr></table>", "<pre>{}</pre>", "<div>{}</div>", "<h4>{}</h4>", "<ol><li>{}</li></ol>", "<section><p>{}</p></section>", '<p>See <a href="/l">this</a> {}</p>', "<figure><figcaption>{}</figcaption></figure>", "<dl><dd>{}</dd></dl>"]
 
 
-def labelled_pages() -> Iterator[tuple[str, list[str]]]:
-    """(page, texts of its content blocks): layouts by rule, over ways to mark each part of a page."""
+def labelled_pages(wrappers: Sequence[tuple[str, str]] = tuple(WRAPPERS), each: int = 36, seed: int = 1) -> Iterator[tuple[str, list[str]]]:
+    """(page, texts of its story): ``each`` pages for every way to enclose a story, parts and lengths by chance."""
+    r = random.Random(seed)
     lorem = "The river rises in the hills, and for most of the year it is quiet; after rain it fills the meadows, so people keep to the old road. "
-    articles = [("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="post-content">', "</div>"), ('<div id="content"><div class="entry">', "</div></div>"), ('<section class="story-body">', "</section>"), ('<div class="article-body" itemprop="articleBody">', "</div>"), ("<div>", "</div>")]
-    navs = ["<nav><ul>{}</ul></nav>", '<div class="menu"><ul>{}</ul></div>', '<ul id="navbar">{}</ul>']
-    heads = ["<header><div>{}</div></header>", '<div class="masthead"><p>{}</p></div>', ""]
-    feet = ["<footer>{}</footer>", '<div id="footer"><p>{}</p></div>', '<footer><p>{}</p><ul><li><a href="/">About us</a></li></ul></footer>']
-    extras = ['<div class="ad">{}</div>', "<aside><h3>Related</h3><p>{}</p></aside>", '<div class="sidebar"><p>{}</p><ul><li><a href="/x">More to read here</a></li></ul></div>', '<div class="cookie-notice"><p>{}</p></div>', '<form><fieldset><p>{}</p><input></fieldset></form>', '<div class="newsletter"><p>{}</p></div>', '<section class="comments"><h3>Comments</h3><div class="comment"><p>{}</p></div><div class="comment"><p>{}</p></div></section>', '<div id="comments"><ul><li>{}</li></ul></div>', '<div class="banner">{}</div>', '<div class="alert">{}</div>', '<div class="share"><a href="/s">Share</a></div>']
-    forms = ["<p>{}</p>", "<p>{}</p>", "<p><b>{}<br>", "<h2>{}</h2>", "<p>{}</p>", "<ul><li>{}</li></ul>", "<h3>{}</h3>", "<p>{}</p>", "<blockquote><p>{}</p></blockquote>", "<table><tr><td>{}</td></tr></table>", "<pre>{}</pre>", "<div>{}</div>", "<h4>{}</h4>", "<ol><li>{}</li></ol>", "<section><p>{}</p></section>"]
-    short = "Some words that are not of the story."
     other = "Readers who liked this also looked at our shop, where many things are cheaper this week than they were, or so we have heard. "
-    noise = itertools.cycle([short, other.strip(), other[:70], (other * 2).strip()])
-    for k, ((a, z), nav, head, foot) in enumerate(itertools.product(articles, navs, heads, feet)):
-        blocks, body = ["A title of the page"], ["<h1>A title of the page</h1>"]
-        for j in range(24 if k % 5 == 0 else 2 + k % 7):
-            text = (lorem * (1 + (k + j) % 3)).strip() if (k + j) % 4 and k % 5 else "A short line."
-            blocks.append(text)
-            body.append(forms[0 if k % 5 == 0 else (k + j) % len(forms)].format(text))
-        inside = extras[k % len(extras)].format(*[next(noise)] * 2) if k % 4 == 1 else ""
-        around = [extras[(k + j) % len(extras)].format(*[next(noise)] * 2) for j in range(2 + k % 3)]
-        links = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("home", "news", "sport", "about"))
-        page = f"<!DOCTYPE html><html><head><title>A title of the page</title><style>p{{}}</style></head><body>{nav.format(links)}{head.format('Our site')}{around[0]}{a}{''.join(body)}{inside}{z}{''.join(around[1:])}{foot.format('&copy; our site')}</body></html>"
-        yield page, blocks
-
-
-@lru_cache(maxsize=1)
-def train() -> Model:
-    """Weights by logistic regression, child potentials by smoothed counts; a node is content if the article's marks enclose it or it encloses only content."""
-    x, y, pairs = [], [], np.ones((2, 2))
-    for page, content in labelled_pages():
-        t = parse(page)
-        wanted = set(content)
-        direct: dict[int, set[bool]] = {}
-        for i, text in t.blocks:
-            direct.setdefault(i, set()).add(text in wanted)
-        below = [set(direct.get(i, set())) for i in range(len(t.tag))]
-        for i in range(len(t.tag) - 1, 0, -1):
-            below[t.parent[i]] |= below[i]
-        # without text: as its parent
-        label = []
-        for i in range(len(t.tag)):
-            own = direct.get(i)
-            mixed = below[i]
-            label.append(int(own == {True} if own else mixed == {True} or (mixed == {True, False} and t.tag[i] not in ("html", "body") and _encloses(t, i, label)) if mixed else bool(i and label[t.parent[i]])))
-        for i, f in enumerate(active(t)):
-            v = np.zeros(len(FEATURES))
-            v[f] = 1
-            x.append(v)
-            y.append(label[i])
-            if i:
-                pairs[label[t.parent[i]], label[i]] += 1
-    x, y = np.array(x), np.array(y, float)
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
-    ridge = np.diag(np.append(np.full(x.shape[1], RIDGE), 1e-6))
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve(x1.T @ (x1 * (p * (1 - p) + 1e-9)[:, None]) + ridge, x1.T @ (p - y) + ridge @ w)
-        w -= step
-    w, b = w[:-1], w[-1]
-    given = pairs[:, 1] / pairs.sum(1)
-    return Model(w.tolist(), float(b), float(y.mean()), (float(given[0]), float(given[1])))
-
-
-def _encloses(t: Tree, i: int, label: list[int]) -> bool:
-    """Whether a node of mixed text is an article with something foreign inside."""
-    return t.tag[i] in ("article", "main") or any(_HINT.get(w) == "content" for w in re.split(r"[^a-z]+", t.hints[i]))
+
+    def noise() -> str:
+        return r.choice(["Some words that are not of the story.", other.strip(), other[:70], (other * 2).strip(), "Offer"])
+
+    def extra() -> str:
+        return r.choice(EXTRAS).format(*[noise(), noise()])
+
+    for a, z in wrappers:
+        for _ in range(each):
+            alike, bare = r.random() < 0.3, r.random() < 0.25
+            texts, body = [], []
+            if r.random() < 0.8:
+                texts.append("A title of the page")
+                body.append("<h1>A title of the page</h1>")
+            for _ in range(r.choice([1, 2, 3, 4, 6, 9, 24])):
+                text = "A short line." if r.random() < 0.3 and texts else (lorem * r.randint(1, 3)).strip()
+                form = "<p>{}</p>" if alike else r.choice(FORMS)
+                body.append(form.format(text))
+                texts.append(f"See this {text}" if "See" in form else text)
+            if not bare and r.random() < 0.3:
+                body.insert(r.randint(1, len(body)), extra())
+            if bare and r.random() < 0.3:
+                body = texts = [(lorem * r.randint(1, 4)).strip()]
+            links = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("home", "news", "sport", "about"))
+            around = [extra() for _ in range(0 if bare else r.randint(0, 4))]
+            cut = r.randint(0, len(around))
+            nav, head, foot = ("", "", "") if bare else (r.choice(NAVS).format(links, words=noise()), r.choice(HEADS).format(r.choice(["Our site", noise()])), r.choice(FEET).format(r.choice(["&copy; our site", noise()])))
+            yield f"<!DOCTYPE html><html><head><title>A title of the page</title><style>p{{}}</style></head><body>{nav}{head}{''.join(around[:cut])}{a}{''.join(body)}{z}{''.join(around[cut:])}{foot}</body></html>", texts
+
+
+class Forest:
+    """Labelled trees as arrays, by depth, for the likelihood and its gradient."""
+
+    def __init__(self, pages: Iterator[tuple[str, list[str]]]):
+        parent, depth, on, rows = [], [], [], []
+        for page, story in pages:
+            t, wanted = parse(page), set(story)
+            features = active(t)
+            label = [x is not None and x in wanted for x in t.text]
+            for i in range(len(label) - 1, 0, -1):
+                label[t.parent[i]] |= label[i]
+            at: dict[int, int] = {}
+            for i, f in enumerate(features):
+                if f is not None:
+                    at[i] = len(parent)
+                    parent.append(at[t.parent[i]] if i else -1)
+                    depth.append(depth[parent[-1]] + 1 if i else 0)
+                    on.append(label[i])
+                    rows.append(f)
+        self.parent, self.y = np.array(parent), np.array(on, float)
+        self.x = np.zeros((len(rows), len(FEATURES)))
+        for i, f in enumerate(rows):
+            self.x[i, f] = 1
+        levels = np.array(depth)
+        self.levels = [np.flatnonzero(levels == k) for k in range(1, levels.max() + 1)]
+        self.child = np.flatnonzero(self.parent >= 0)
+
+    def gradient(self, w: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the log likelihood, a node: observed less expected features and label pairs."""
+        e = np.exp(tie)
+        odds, sent = self.x @ w, np.zeros(len(self.y))
+        for at in reversed(self.levels):
+            b = np.exp(np.clip(odds[at], -60, 60))
+            sent[at] = np.log((e[1, 0] + e[1, 1] * b) / (e[0, 0] + e[0, 1] * b))
+            np.add.at(odds, self.parent[at], sent[at])
+        below, above = odds.copy(), np.zeros(len(odds))
+        for at in self.levels:
+            above[at] = odds[self.parent[at]] - sent[at]
+            c = np.exp(np.clip(above[at], -60, 60))
+            odds[at] += np.log((e[0, 1] + e[1, 1] * c) / (e[0, 0] + e[1, 0] * c))
+        p = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+        b, c = np.exp(np.clip(below[self.child], -60, 60)), np.exp(np.clip(above[self.child], -60, 60))
+        joint = np.stack([np.stack([e[0, 0] + 0 * b, e[0, 1] * b]), np.stack([e[1, 0] * c, e[1, 1] * b * c])])
+        joint /= joint.sum((0, 1))
+        y, q = self.y[self.child], self.y[self.parent[self.child]]
+        seen = np.array([[((1 - q) * (1 - y)).sum(), ((1 - q) * y).sum()], [(q * (1 - y)).sum(), (q * y).sum()]])
+        return self.x.T @ (self.y - p) / len(p), (seen - joint.sum(2)) / len(p)
+
+
+@lru_cache(maxsize=2)
+def train(wrappers: tuple[tuple[str, str], ...] = tuple(WRAPPERS)) -> Model:
+    """All potentials together, by gradient steps with a rate of their own for each (Adam)."""
+    forest = Forest(labelled_pages(wrappers))
+    theta = np.zeros(len(FEATURES) + 4)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for k in range(1, STEPS + 1):
+        gw, gt = forest.gradient(theta[:-4], theta[-4:].reshape(2, 2))
+        g = np.concatenate([gw, gt.ravel()]) - RIDGE * theta
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        theta += RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+    return Model(theta[:-4].tolist(), theta[-4:].reshape(2, 2).tolist())
 
 
 def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html", out: str = "text") -> DataFrame:
-    """``pages`` without ``html_col``, with the main text in ``out``; null and empty pages give an empty text. Every row gives one."""
+    """``pages`` without ``html_col``, with the main text in ``out``.
+
+    Every row gives one, repeated rows and null ids too. Null and empty pages and pages without a story give an empty text;
+    a text without tags is all story. Other columns are kept, one named as ``out`` is replaced. Pages are read whole, however
+    long or deep; what follows a script, style or comment that never ends is part of it.
+    """
     model = model or train()
     names = [n for n in pages.columns if n not in (html_col, out)]
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from oracle import SF, connect, same
 
-from stereolith.llm import decontaminate, html_text, language_id, license_scan, lm_score, packing, queries, topk_search, toxicity, warc
+from stereolith.llm import decontaminate, language_id, license_scan, lm_score, packing, queries, topk_search, toxicity, warc
 
 ODD = [(None, "null id"), (900, None), (901, ""), (902, "  \n"), (903, "long " * 30_000), (904, "same text"), (904, "same text"), (905, "same text")]
 
@@ -207,26 +207,6 @@ def test_top_k_against_all_pairs(spark, monkeypatch):
     assert topk_search.top_k(df.where("false"), df.where("false")).count() == 0
 
 
-def test_html(spark):
-    model = html_text.train()
-    pages = list(html_text.labelled_pages())
-    assert sum(model.text(p) == "\n\n".join(b) for p, b in pages) > 0.9 * len(pages)
-    rows = [(1, None), (2, ""), (3, "plain words"), (4, "<article><h1>Title</h1><p>" + "Some &eacute;  long\n sentence of the story. " * 9 + "</p><script>if (a < b) { '</p>' }</script></article><div class=ad>buy this now</div>"), (5, "<" * 2000), (5, "<p>" * 3000 + "x")]
-    got = html_text.extract(spark.createDataFrame([(i, "u", h, 1) for i, h in rows], "page_id long, url string, html string, text int")).collect()
-    assert len(got) == len(rows)
-    by = {x["page_id"]: x["text"] for x in got}
-    assert by[1] == by[2] == "" and by[4] == "Title\n\n" + " ".join(["Some é long sentence of the story."] * 9)
-
-
-def test_html_extracts_the_articles_of_the_tables(spark):
-    import html as entities
-
-    for x, y in zip(spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").collect(), queries.QUERIES["op8_html_text"](spark, SF).orderBy("page_id").collect(), strict=True):
-        inside = re.search("<article>(.*?)</article>", x["html"], re.S)[1]
-        blocks = [" ".join(entities.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", inside)]
-        assert y["text"] == "\n\n".join(b for b in blocks if b) and y["n_chars"] == len(y["text"])
-
-
 def test_registered_lm_scores_use_trigrams(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
