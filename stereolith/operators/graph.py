@@ -13,6 +13,8 @@ from stereolith.plans.scratch import Scratch
 
 #: Edges a task, where a round's result is written.
 EDGES_A_TASK = 250_000
+#: Rows of a node from which it is a hub, and the most hubs (what is broadcast): with more rows the first number grows.
+HUB, HUBS = 500, 100_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,13 +36,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": nodes[on], "b": nodes[label[on]]})
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One half round. A hub's rows are pre-aggregated to its minimum, then meet it in a join that can be split."""
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+    """One half round. A node's rows are pre-aggregated to its minimum and then meet it; those of hubs in many parts."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = both.join(low, "u")
+    hub = max(HUB, 2 * rows // HUBS)
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), F.floor(F.col("n") / hub).alias("k"))
+    # at most HUBS nodes have that many rows
+    hubs = F.broadcast(low.where("k > 0").select("u", "k"))
+    dealt = both.join(hubs, "u", "left").select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("k") + 1), F.lit(0)).alias("part"))
+    met = dealt.join(low.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), "k")).alias("part")), ["u", "part"])
     if large:
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -60,7 +66,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = given.where("a > b").mapInArrow(_forest, "a long, b long")
     before = None
     for _ in range(max_rounds):
-        turn = _star(_star(now, True), False).distinct()
+        # an edge gives one edge at most in a half round, and each node one of its own
+        rows = before[0] if before else now.count()
+        turn = _star(_star(now, True, rows), False, 2 * rows).distinct()
         if before:
             turn = turn.coalesce(max(8, before[0] // EDGES_A_TASK))
         now = scratch.table(turn, "edges")

@@ -13,13 +13,24 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that go to Python at a time at most, so that a task's memory doesn't grow with the length of texts.
+MOST_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession, most: int = MOST_BYTES) -> None:
+    """Bounds the session's Arrow batches by bytes, where they aren't yet; rows are only dealt differently."""
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES))
+    if not 0 < now <= most:
+        spark.conf.set(BATCH_BYTES, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; only where the session names none (tests) is a local one made and set."""
+    """The session's shared folder; only where a local session names none (tests) is one made and set."""
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"{KEY} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stereolith-")
         spark.conf.set(KEY, found)
     return found.rstrip("/")
@@ -38,6 +49,7 @@ class Scratch:
     """A folder of tables for one run of one job; ``drop`` removes tables that no returned frame reads."""
 
     def __init__(self, spark: SparkSession, job: str):
+        small_batches(spark)
         self.spark = spark
         self.root = qualified(spark, f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}")
         self.made: list[str] = []
@@ -47,16 +59,10 @@ class Scratch:
         self.made.append(at)
         return at
 
-    def table(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
-        """``df``, written and read again; ``batch`` rows at most go to Python at a time while it is written."""
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, written and read again."""
         at = self.path(name)
-        before = self.spark.conf.get(BATCH)
-        try:
-            if batch:
-                self.spark.conf.set(BATCH, str(batch))
-            df.write.parquet(at)
-        finally:
-            self.spark.conf.set(BATCH, before)
+        df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, keep: tuple[str, ...] = ()) -> None:
