@@ -8,8 +8,9 @@ A document's tokens are the distinct hashes (64 bits) of its 5-word shingles. Th
 2. **Matrix.** For each group the union of its members' prefix tokens is stored, one (token, group) row each. The
    prefix of n tokens is the floor(0.2 n) + 1 first in one global order (by hash, but tokens that a first pass found in
    several groups' prefixes last); documents that reach the threshold share a prefix token, whatever that order is.
-3. **Bound.** Groups that share tokens are counted. For two single documents, the count plus what lies behind
-   the prefixes bounds the overlap; pairs that can't reach the threshold are never opened.
+3. **Bound.** Tokens that two groups share are counted. The count, with the tokens in long lists and what lies behind the
+   longest prefixes, bounds the overlap of any two of their documents; pairs that can't reach the threshold, or whose
+   documents differ too much in size, are never opened.
 4. **Open.** A qualifying pair is compared on whole token sets: first the groups' leaders, then, if those are
    not linked, the groups' different members.
 
@@ -39,12 +40,12 @@ FREQUENT = 1_000_000
 COMMON = 4
 #: Groups of a token up to which its pairs are all made.
 LONG = 8
-#: Rows that go to Python at a time.
-BATCH = 2_500
 #: Documents and tokens of a block of a cell, and columns of a matrix at a time.
-CELL_ROWS, CELL_TOKENS, COLUMNS = 1024, 1_000_000, 4096
+CELL_ROWS, CELL_TOKENS, COLUMNS, STRIP = 1024, 400_000, 1024, 256
 #: Bytes of text that are grouped at a time.
-RUN = 8_000_000
+RUN = 4_000_000
+#: Rows of a long list that meet its pivot in one place.
+SPLIT = 1_000
 
 _ROWS = "doc_id long, n_shingles long, leader long, variant long, token long"
 
@@ -194,8 +195,11 @@ def _cells(long_lists: DataFrame, docs: DataFrame, own: DataFrame, scratch: Scra
     few cells, and two groups that share a long list are in one together. A cell of many documents is cut into blocks,
     and each two blocks meet in a task of their own.
     """
-    pivot = long_lists.groupBy("token").agg(F.min_by("leader", F.xxhash64("leader")).alias("pivot"))
-    star = scratch.table(long_lists.join(pivot, "token").select("pivot", "leader").distinct(), "stars")
+    parts = F.ceil(F.col("groups") / SPLIT)
+    pivot = long_lists.groupBy("token", "groups").agg(F.min_by("leader", F.xxhash64("leader")).alias("pivot"))
+    pivot = pivot.select("token", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    star = long_lists.withColumn("part", F.pmod(F.xxhash64("leader"), parts)).join(pivot, ["token", "part"])
+    star = scratch.table(star.select("pivot", "leader").distinct(), "stars")
     several = own.where("leader <> doc_id and variant is not null").groupBy("leader", "variant").agg(F.min("doc_id").alias("doc_id"))
     several = scratch.table(several.join(star.select("leader").distinct(), "leader", "left_semi").select("leader", "doc_id"), "members")
     inside = star.select("pivot", F.col("leader").alias("doc_id")).unionByName(star.join(several, "leader").select("pivot", "doc_id"))
@@ -205,7 +209,7 @@ def _cells(long_lists: DataFrame, docs: DataFrame, own: DataFrame, scratch: Scra
     block = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("k")).cast("int")
     parted = inside.join(blocks, "pivot").withColumn("i", block).select("pivot", "doc_id", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
     parted = parted.select("doc_id", "pivot", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-    sets = scratch.table(docs.where("doc_id is not null").join(inside.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens binary"), "sets", BATCH)
+    sets = scratch.table(docs.where("doc_id is not null").join(inside.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens binary"), "sets")
     found = parted.join(sets, "doc_id").groupBy("pivot", "i", "j").applyInArrow(_cell, "a long, b long").distinct()
     tied = several.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     return scratch.table(found.unionByName(tied), "cell-links")
@@ -221,8 +225,8 @@ def _open(pairs: DataFrame, docs: DataFrame, own: DataFrame, scratch: Scratch) -
     ends = pairs.select(F.explode(F.array("a", "b")).alias("leader")).distinct()
     members = scratch.table(several.join(ends, "leader", "left_semi").groupBy("leader", "variant").agg(F.min("doc_id").alias("doc_id")).select("leader", "doc_id"), "members")
     need = scratch.table(both.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select("doc_id")).distinct(), "need")
-    sets = scratch.table(docs.where("doc_id is not null").join(need, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens binary"), "sets", BATCH)
-    done = scratch.table(compare(both, sets).where("ok").select("a", "b").distinct(), "linked", BATCH)
+    sets = scratch.table(docs.where("doc_id is not null").join(need, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens binary"), "sets")
+    done = scratch.table(compare(both, sets).where("ok").select("a", "b").distinct(), "linked")
     if not members.limit(1).count():
         return done
     left = pairs.distinct().join(done, ["a", "b"], "left_anti")
@@ -233,40 +237,42 @@ def _open(pairs: DataFrame, docs: DataFrame, own: DataFrame, scratch: Scratch) -
     spread = many.select("a", "b", F.explode(F.array(F.struct("p", "q"), F.struct(F.col("a").alias("p"), "q"), F.struct("p", F.col("b").alias("q")))).alias("s")).select("a", "b", "s.p", "s.q").where("p <> a or q <> b").distinct()
     spread = scratch.table(spread, "spread")
     met = compare(spread.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), sets).where("ok").select(F.col("a").alias("p"), F.col("b").alias("q")).distinct()
-    return done.unionByName(scratch.table(spread.join(met, ["p", "q"]).select("a", "b").distinct(), "opened", BATCH))
+    return done.unionByName(scratch.table(spread.join(met, ["p", "q"]).select("a", "b").distinct(), "opened"))
 
 
 def _cell(key: tuple, rows: pa.Table) -> pa.Table:
     """Links within one cell (or between two of its blocks) by a matrix product over the tokens that several documents have.
 
-    Of each set of linked documents a tree is returned, not every link.
+    Of each set of linked documents a tree is returned, not every link. The matrices are made and read in strips.
     """
-    column = rows.column("tokens").combine_chunks()
     ids = rows.column("doc_id").to_numpy()
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in (column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)]
-    size = np.array([len(x) for x in sets])
-    token, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), size)
-    keep = df[at] > 1
-    name = (np.cumsum(df > 1) - 1)[at[keep]]
-    row = row[keep]
-    order = np.argsort(name, kind="stable")
-    name, row = name[order], row[order]
-    inter = np.zeros((len(sets), len(sets)), np.float32)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in rows.column("tokens").chunks for x in chunk]
+    n, size = len(sets), np.array([len(x) for x in sets])
+    token = np.concatenate(sets)
+    order = np.argsort(token, kind="stable")
+    token = token[order]
+    new = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
+    several = ~new
+    several[:-1] |= ~new[1:]
+    row = np.repeat(np.arange(n, dtype=np.int32), size)[order][several]
+    name = np.cumsum(new[several], dtype=np.int32) - 1
+    del token, order, new, several
+    inter = np.zeros((n, n), np.float32)
     for low in range(0, int(name[-1]) + 1 if len(name) else 0, COLUMNS):
         a, b = np.searchsorted(name, [low, low + COLUMNS])
-        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x = np.zeros((n, COLUMNS), np.float32)
         x[row[a:b], name[a:b] - low] = 1
-        inter += x @ x.T
-    ok = linked(inter.astype(np.int64), size[:, None], size[None, :])
-    label = np.arange(len(sets))
+        for k in range(0, n, STRIP):
+            inter[k : k + STRIP] += x[k : k + STRIP] @ x.T
+    strips = [(k, linked(inter[k : k + STRIP].astype(np.int64), size[k : k + STRIP, None], size[None, :])) for k in range(0, n, STRIP)]
+    label = np.arange(n)
     while True:
-        low = np.where(ok, label[None, :], len(sets)).min(1)
+        low = np.concatenate([np.where(ok, label[None, :], n).min(1) for _, ok in strips])
         low = np.minimum(low, label)[np.minimum(low, label)]
         if (low == label).all():
             break
         label = low
-    on = np.flatnonzero(label != np.arange(len(sets)))
+    on = np.flatnonzero(label != np.arange(n))
     return pa.table({"a": ids[on], "b": ids[label[on]]})
 
 
@@ -280,36 +286,34 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = scratch.table(docs.mapInArrow(_groups(), _ROWS).groupBy("token").agg(F.count("*").alias("groups")).where(F.col("groups") >= COMMON), "common", BATCH)
+    first = scratch.table(docs.mapInArrow(_groups(), _ROWS).groupBy("token").agg(F.count("*").alias("groups")).where(F.col("groups") >= COMMON), "common")
     most = first.orderBy(F.desc("groups"), "token").limit(FREQUENT).select("token").toArrow()["token"].to_numpy()[::-1].view(np.uint64)
     by_value = np.argsort(most)
     late = spark.sparkContext.broadcast((most[by_value], by_value.astype(np.int32)))
-    rows = scratch.table(docs.mapInArrow(_groups(late), _ROWS), "groups", BATCH)
+    rows = scratch.table(docs.mapInArrow(_groups(late), _ROWS), "groups")
+    late.unpersist()
     own = rows.where("token is null").select("doc_id", "n_shingles", "leader", "variant")
     matrix = rows.where("token is not null").select("token", "leader")
 
     shared = scratch.table(matrix.groupBy("token").agg(F.count("*").alias("groups"), F.min("leader").alias("a"), F.max("leader").alias("b")).where("a < b"), "shared")
     lists = scratch.table(matrix.join(shared.where("groups > 2").select("token", "groups"), "token"), "lists")
-    long_lists = lists.where(F.col("groups") > LONG).select("token", "leader")
+    long_lists = lists.where(F.col("groups") > LONG).select("token", "leader", "groups")
 
-    # a single document's tokens (null: a group of several, or an id of several texts) and those of them in long lists
-    info = own.where("leader is not null and n_shingles > 0").groupBy("leader").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
-    info = info.join(long_lists.groupBy("leader").agg(F.count("*").alias("long")), "leader", "left").select("leader", F.when(F.col("rows") == 1, F.col("n")).alias("n"), F.coalesce("long", F.lit(0)).alias("long"))
+    # the least and most tokens of a group's documents and the number of its tokens in long lists
+    info = own.where("leader is not null and n_shingles > 0").groupBy("leader").agg(F.min("n_shingles").alias("n"), F.max("n_shingles").alias("most"))
+    info = info.join(long_lists.groupBy("leader").agg(F.count("*").alias("long")), "leader", "left").select("leader", "n", "most", F.coalesce("long", F.lit(0)).alias("long"))
     info = scratch.table(info, "info")
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(info.select(F.col("leader").alias("a"), "n", F.col("long").alias("k")), "a", "left")
-        pairs = pairs.join(info.select(F.col("leader").alias("b"), F.col("n").alias("m"), F.col("long").alias("l")), "b", "left")
-        return pairs.where(F.coalesce(100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"), F.lit(True)) | F.col("n").isNull() | F.col("m").isNull())
-
-    # pairs of short lists, counted; one is kept if the count, the long lists and what lies behind the prefixes can reach
+    # pairs of short lists, counted; one is opened if the count, the long lists and what lies behind the prefixes can reach
     short = lists.where(F.col("groups") <= LONG).select("token", "leader")
     met = shared.where("groups = 2").select("a", "b").unionByName(short.alias("l").join(short.alias("r"), "token").where("l.leader < r.leader").select(F.col("l.leader").alias("a"), F.col("r.leader").alias("b")))
-    behind = lambda c: F.floor((F.col(c) * PERCENT + 99) / 100) - 1
-    reach = (100 + PERCENT) * (F.col("c") + F.least("k", "l") + F.greatest(behind("n"), behind("m"))) >= PERCENT * (F.col("n") + F.col("m"))
     counts = scratch.table(met.groupBy("a", "b").agg(F.count("*").alias("c")), "counts")
-    pairs = sized(counts).where(reach | F.col("n").isNull() | F.col("m").isNull())
-    pairs = scratch.table(pairs.select("a", "b"), "pairs")
+    side = lambda end, n, most, long: info.select(F.col("leader").alias(end), F.col("n").alias(n), F.col("most").alias(most), F.col("long").alias(long))
+    sized = counts.join(side("a", "n", "n1", "k"), "a").join(side("b", "m", "m1", "l"), "b")
+    behind = lambda c: F.floor((F.col(c) * PERCENT + 99) / 100) - 1
+    reach = (100 + PERCENT) * (F.col("c") + F.least("k", "l") + F.greatest(behind("n1"), behind("m1"))) >= PERCENT * (F.col("n") + F.col("m"))
+    alike = (100 * F.col("m1") >= PERCENT * F.col("n")) & (100 * F.col("n1") >= PERCENT * F.col("m"))
+    pairs = scratch.table(sized.where(reach & alike).select("a", "b"), "pairs")
     links = _open(pairs, docs, own, scratch)
     if long_lists.limit(1).count():
         links = links.unionByName(_cells(long_lists, docs, own, scratch))

@@ -212,5 +212,5 @@ def captures(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, with_block: bool = False) -> DataFrame:
     """``pages`` written to archives in the shared folder, read back and assembled."""
     scratch = Scratch(pages.sparkSession, "warc")
-    manifest = scratch.table(write_archives(pages, scratch.path("archives")), "manifest", batch=1_000)
+    manifest = scratch.table(write_archives(pages, scratch.path("archives")), "manifest")
     return captures(scratch.table(read_records(manifest, with_block), "records"))
