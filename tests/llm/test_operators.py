@@ -39,8 +39,41 @@ def test_toxicity_learns_and_takes_odd_rows(spark):
     assert len(got) == 50 + len(ODD) and all(0 <= x["score"] <= 1 for x in got)
     assert all((x["score"] >= 0.5) == (x["doc_id"] % 5 == 0) for x in got[:50])
     assert toxicity.score(frame(spark, []), model).count() == 0
-    empty = toxicity.train(labelled.where("false"))
-    assert toxicity.score(frame(spark, ODD), empty).count() == len(ODD)
+    # nothing is toxic without a row that is labelled so
+    for none in ("false", "y = 0"):
+        model = toxicity.train(labelled.where(none))
+        assert {x["score"] for x in toxicity.score(frame(spark, [*rows[:9], *ODD]), model).collect()} == {0.0}
+
+
+def test_ftrl_against_a_plain_version():
+    r = random.Random(6)
+    data = [(sorted(r.sample(range(40), r.randint(0, 12))), r.randint(0, 1)) for _ in range(150)]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if i != "bias" and abs(z[i]) <= toxicity.L1:
+            return 0.0
+        pull = 0.0 if i == "bias" else toxicity.L1 * np.sign(z[i])
+        return -(z[i] - pull) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for f, y in data:
+            w = {i: weight(i) for i in [*f, "bias"]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in w:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    w, bias = toxicity.ftrl([np.array(f, np.uint32) for f, _ in data], np.array([y for _, y in data], float), 40, 3)
+    assert np.allclose(w, [weight(i) for i in range(40)], atol=1e-3) and abs(bias - weight("bias")) < 1e-3 and 0 < np.count_nonzero(w) < 40
+
+
+def test_toxicity_features_are_ngrams_and_skipgrams():
+    import pyarrow as pa
+
+    row, f = toxicity.features(pa.array(["Aa bb cc dd", "aa BB", None, "bb cc, 12"]))
+    sets = [set(f[row == k].tolist()) for k in range(4)]
+    # 4 words, 3 pairs, 2 triples, 2 and 1 skipped pairs; two texts share what they have in common
+    assert [len(x) for x in sets] == [12, 3, 0, 3] and sets[1] < sets[0] and sets[3] < sets[0]
 
 
 def test_language_id_learns_and_takes_odd_rows(spark):
