@@ -1,28 +1,30 @@
 """Language identification by a string kernel.
 
 The kernel of two texts is the blended-spectrum presence kernel: the number of byte n-grams (n = 1, 2, 3, hashed into
-``BUCKETS``) that both hold, over the root of the product of their own numbers. Nyström landmarks (up to ``LANDMARKS``
-training texts, spread over the languages) turn it into features Z = K(x, landmarks) K(landmarks, landmarks)^(-1/2), and
+``BUCKETS``) that both hold, over the root of the product of their own numbers. Nyström landmarks (about ``LANDMARKS``
+training texts, as many of each language) turn it into features Z = K(x, landmarks) K(landmarks, landmarks)^(-1/2), and
 one-versus-rest kernel ridge regression is solved from Z'Z and Z'Y, which Spark sums over at most about ``TRAIN_ROWS`` training
 rows. Scoring is two matrix products per run of rows, on whole texts.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stereolith.llm import text as T
+from stereolith.plans.scratch import small_batches
 
 ORDERS = (1, 2, 3)
 BUCKETS = 4096
 LANDMARKS = 256
+#: Languages from which landmarks grow to one each; beyond, the model would be no small table and training stops with an error.
+MOST_LANGUAGES = 1024
 TRAIN_ROWS = 8192
 RIDGE = 1e-3
 UNKNOWN = "und"
@@ -33,7 +35,6 @@ FIT, FIT_OF = 0.75, 0.95
 _plain = np.full(256, 32, np.uint8)
 _plain[97:123] = np.arange(97, 123)
 _plain[128:] = np.arange(128, 256)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def presence(column: pa.Array) -> np.ndarray:
@@ -116,32 +117,46 @@ def _fit(marks: np.ndarray, langs: np.ndarray, languages: list[str]) -> tuple[np
 
 
 def lettered(column: pa.Array) -> np.ndarray:
-    """Whether each row has a letter."""
+    """Whether each row has a letter (a character of Unicode's categories L; numerals such as one half or a circled one are none)."""
     w = T.words(column, T.ALPHA)
     out = np.diff(w.first) > 0
     buf, off = T.text_bytes(column)
     ascii_letter = np.concatenate([[0], np.cumsum((buf[:-8] >= 97) & (buf[:-8] <= 122))])
     for i in np.flatnonzero(out & (ascii_letter[off[1:]] == ascii_letter[off[:-1]])):
-        out[i] = _LETTER.search(column[int(i)].as_py()) is not None
+        out[i] = any(map(str.isalpha, column[int(i)].as_py()))
     return out
 
 
+def _hash(salt: str) -> Column:
+    return F.xxhash64(F.col("doc_id").cast("string"), F.lit(salt))
+
+
 def _sampled(df: DataFrame, per_class: DataFrame, most: int, salt: str) -> DataFrame:
     """About ``most`` rows of each language (all, if fewer), by hash of the id: no window over a language's rows."""
-    share = F.xxhash64(F.col("doc_id").cast("string"), F.lit(salt)).bitwiseAND(F.lit((1 << 31) - 1)) / (1 << 31)
+    share = _hash(salt).bitwiseAND(F.lit((1 << 31) - 1)) / (1 << 31)
     return df.join(F.broadcast(per_class), "lang").where(share * F.col("rows") < most)
 
 
 def train(labelled: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRAIN_ROWS) -> Model:
-    """``labelled``: ``doc_id, text, lang``; rows with a null or empty text or a null language are left out."""
+    """``labelled``: ``doc_id, text, lang``; rows with a null or empty text or a null language are left out.
+
+    Every language has the same number of landmarks (one at least, all its rows if it has fewer), those of least hash of the id;
+    repeated rows are rows of their own. The model grows with the number of languages, not of rows.
+    """
     spark = labelled.sparkSession
+    small_batches(spark)
     rows = labelled.where("lang is not null and length(text) > 0").select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy("lang").limit(landmarks)
-    languages = sorted(r["lang"] for r in counts.collect())
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    languages = sorted(r["lang"] for r in counts.limit(MOST_LANGUAGES + 1).collect())
     if not languages:
         return Model([], *(np.zeros((0, 0), np.float32),) * 6)
-    base = _sampled(rows, counts, max(1, landmarks // len(languages)), "landmark")
-    found = base.select("doc_id", "lang", "text").mapInArrow(_as_presence, "doc_id long, lang string, p binary").orderBy("lang", "doc_id", "p").limit(2 * landmarks).collect()
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    each = max(1, landmarks // len(languages))
+    # twice as many by chance, then the first of them: a language's rows never meet in one place
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(_hash("landmark"), "doc_id", "text"))
+    base = _sampled(rows, counts, 2 * each + 8, "landmark").withColumn("turn", first).where(F.col("turn") <= each)
+    found = sorted(base.select("doc_id", "lang", "text").mapInArrow(_as_presence, "doc_id long, lang string, p binary").collect(), key=lambda r: (r["lang"], r["doc_id"], r["p"]))
     marks = np.array([np.unpackbits(np.frombuffer(r["p"], np.uint8)) for r in found], np.float32)
     norms = np.sqrt(np.maximum(marks.sum(1), 1))
     k = marks @ marks.T / norms[:, None] / norms
@@ -186,9 +201,13 @@ def _as_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", fits_out: str | None = None) -> DataFrame:
     """``docs`` with the predicted language and its score (0 to 1); null texts and texts without a letter get ``und`` and 0.
 
+    Texts are read whole. Every row gives one, repeated rows and null ids too; of equal scores the first language by name is taken.
+    Other columns are kept, those named as a result are replaced. A model of no languages calls everything ``und``.
+
     ``fits_out``: whether the text is of its language at all, as letter junk and languages not learned are not.
     """
     names = docs.columns
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     out = [(lang_out, "string"), (score_out, "double"), *([(fits_out, "boolean")] if fits_out else [])]
     kept = [k for k, n in enumerate(names) if n not in [o for o, _ in out]]

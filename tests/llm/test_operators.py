@@ -85,13 +85,50 @@ def test_language_id_learns_and_takes_odd_rows(spark):
     model = language_id.train(language_id.train_rows_of(df))
     got = {x["doc_id"]: x for x in language_id.identify(df, model).collect()}
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows)
-    odd = language_id.identify(frame(spark, [*ODD, (1, "123 ?! …")]), model).collect()
-    assert len(odd) == len(ODD) + 1
-    assert {x["lang_pred"] for x in odd if x["doc_id"] in (900, 901, 902, 1)} == {"und"}
+    none = [(k, t) for k, t in enumerate(["123 ?! …", "½ ²³ ① Ⅷ", "一²"[1:], "\u0301 €"])]
+    odd = language_id.identify(frame(spark, [*ODD, *none, (4, "½ é"), (5, "一")]), model).collect()
+    assert len(odd) == len(ODD) + 6
+    assert {x["doc_id"] for x in odd if x["lang_pred"] == "und"} == {900, 901, 902, 0, 1, 2, 3}
+    assert all(x["score"] == 0 for x in odd if x["lang_pred"] == "und")
     none = language_id.train(df.where("false"))
     assert {x["lang_pred"] for x in language_id.identify(df, none).collect()} == {"und"}
 
 
+def test_languages_are_all_kept(spark):
+    rows = [(k % 40, f"{chr(97 + k % 20) * 3} {chr(98 + k % 20) * 4} {chr(97 + k // 20) * 5}", f"l{k % 300:03d}") for k in range(900)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [f"l{k:03d}" for k in range(300)] and len(model.landmarks) == 300
+
+
+def test_kernel_ridge_against_a_plain_version(spark):
+    r = random.Random(9)
+    texts = [(" ".join("".join(r.choices(parts, k=2)) for _ in range(r.randint(1, 6))), lang) for _ in range(12) for lang, parts in (("aa", ["ka", "tö"]), ("bb", ["sch", "un"]), ("cc", ["io", "l'"]))]
+    model = language_id.train(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string"), landmarks=10_000)
+    assert len(model.landmarks) == len(texts)
+
+    def grams(t):
+        b = re.sub(rb"[^a-z\x80-\xff]", b" ", t.lower().encode())
+        return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1) if n == 1 or b"  " not in b[i : i + 2]}
+
+    def kernel(x, y):
+        return np.array([[len(p & q) / np.sqrt(len(p) * len(q)) for q in map(grams, y)] for p in map(grams, x)])
+
+    names = [t for t, _ in sorted(texts)]
+    values, vectors = np.linalg.eigh(kernel(names, names))
+    keep = values > 1e-4 * values[-1]
+    z = lambda x: kernel(x, names) @ (vectors[:, keep] / np.sqrt(values[keep]))
+    own = z([t for t, _ in texts])
+    y = np.array([[1.0 if lang == k else -1.0 for k in ("aa", "bb", "cc")] for _, lang in texts])
+    w = np.linalg.solve(own.T @ own + language_id.RIDGE * np.trace(own.T @ own) / own.shape[1] * np.eye(own.shape[1]), own.T @ y)
+    new = ["kakatö", "schun l'io", "zzz", "unsch kaka io"]
+    want = z(new) @ w
+    got = {x["text"]: x for x in language_id.identify(spark.createDataFrame([(i, t) for i, t in enumerate(new)], "doc_id long, text string"), model).collect()}
+    for t, f in zip(new, want, strict=True):
+        assert abs(got[t]["score"] - min(1, max(0, (f.max() + 1) / 2))) < 0.02
+        if np.sort(f)[-1] - np.sort(f)[-2] > 0.05:
+            assert got[t]["lang_pred"] == ("aa", "bb", "cc")[f.argmax()]
+
+
 def shingles(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
