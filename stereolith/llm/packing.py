@@ -2,8 +2,10 @@
 
 Tokenising is a map over whole texts; only documents longer than a sequence are cut. Pieces are dealt by hash over shards of
 about ``SHARD_TOKENS``, however long or alike the documents are, and each shard is packed best-fit decreasing: a
-segment tree over the remaining capacities finds the tightest open bin in logarithmic time. What a shard fills badly, its
-few last bins, is emptied again and packed together with that of other shards, level by level, until one shard is left.
+segment tree over the remaining capacities finds the tightest open bin in logarithmic time. Bins that stay loosely filled are
+emptied, and their pieces are dealt anew over shards of the same size and packed again. Levels follow one another as long as each
+leaves less than ``SHRINK`` of the tokens it was given in loose bins: where lengths fit each other, that is the last bins of each
+shard, and one shard is soon left; where they don't (pieces of over half a sequence alone), more mixing would gain nothing.
 """
 
 from __future__ import annotations
@@ -26,9 +28,8 @@ from stereolith.plans.scratch import Scratch
 CAPACITY = 4096
 END = 1
 SHARD_TOKENS = 1 << 19
-MERGE = 64
-#: Share of a sequence left empty from which it is packed again on the next level.
-LOOSE = 0.02
+#: Share of a sequence left empty from which it is loose, and the share of a level's tokens in such up to which a next one follows.
+LOOSE, SHRINK = 0.02, 0.5
 
 #: Texts with other characters go through the tokenizer whole.
 _RARE = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\\|")
@@ -156,41 +157,40 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return place, offset, np.array(left, np.int64)
 
 
-def _packer(capacity: int, level: int, last: bool):
+def _packer(capacity: int, level: int):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "uid"], ascending=[False, True], kind="stable")
         b, at, left = best_fit(rows["length"].to_numpy(), capacity)
         rows["sequence_id"] = (level << 56) + (rows["shard"].to_numpy() << 24) + b
         rows["offset"] = at
-        rows["loose"] = (not last) & (left[b] > LOOSE * capacity)
+        rows["loose"] = left[b] > LOOSE * capacity
         return rows
 
     return pack
 
 
 def assign(pieces_df: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """``pieces_df`` (with ``doc_id, piece, length``; other columns are kept) with ``sequence_id`` and ``offset``."""
+    """``pieces_df`` (with ``doc_id, piece, length``; other columns are kept) with ``sequence_id`` and ``offset``.
+
+    A row is a piece of its own, repeated rows and null ids too. No task holds more than a shard, whatever the lengths are.
+    """
     scratch = Scratch(pieces_df.sparkSession, "packing")
     now = scratch.table(pieces_df.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    names = now.dtypes
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in names), "shard long, sequence_id long, offset long, loose boolean"])
     tokens = now.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, -(-tokens // shard_tokens))
-    now = now.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
-    fields = now.drop("shard")
-    done = None
-    level = 0
+    done, level = None, 0
     while True:
-        last = shards == 1
-
-        schema = ", ".join([*(f"`{n}` {t}" for n, t in fields.dtypes), "shard long, sequence_id long, offset long, loose boolean"])
-        packed = scratch.table(now.groupBy("shard").applyInPandas(_packer(capacity, level, last), schema), f"level{level}")
-        part = packed.where("not loose").drop("loose", "shard")
+        shards = max(1, -(-tokens // shard_tokens))
+        dealt = now.select(*(n for n, _ in names), F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)).alias("shard"))
+        packed = scratch.table(dealt.groupBy("shard").applyInPandas(_packer(capacity, level), schema), f"level{level}")
+        left = packed.where("loose").agg(F.sum("length")).first()[0] or 0
+        last = shards == 1 or not left or left > SHRINK * tokens
+        part = (packed if last else packed.where("not loose")).drop("loose", "shard")
         done = part if done is None else done.unionByName(part)
         if last:
-            break
-        shards = max(1, -(-shards // MERGE))
-        now = packed.where("loose").select(*fields.columns, F.pmod(F.floor(F.col("shard") / F.lit(MERGE)), F.lit(shards)).cast("long").alias("shard"))
-        level += 1
-    return done.drop("uid")
+            return done.drop("uid")
+        now, tokens, level = packed.where("loose"), left, level + 1
 
 
 def sequences(packed: DataFrame) -> DataFrame:

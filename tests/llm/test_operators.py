@@ -232,6 +232,38 @@ def test_packing_is_whole(spark):
     assert packing.assign(packing.pieces(frame(spark, []), path)).count() == 0
 
 
+def test_packing_of_pieces_that_fit_nowhere_stays_in_shards(spark, monkeypatch):
+    sizes = []
+    plain = packing._packer
+
+    def packer(capacity, level):
+        sizes.append(level)
+        return plain(capacity, level)
+
+    monkeypatch.setattr(packing, "_packer", packer)
+    big = spark.range(2000).selectExpr("id as doc_id", "0 as piece", "cast(3000 as long) as length")
+    out = packing.assign(big, shard_tokens=60_000)
+    assert out.select("sequence_id").distinct().count() == out.count() == 2000 and sizes == [0]
+    # mixed lengths: further levels, ending near the least number of sequences
+    mixed = spark.range(6000).selectExpr("id as doc_id", "0 as piece", "cast(1 + pmod(xxhash64(id), 2500) as long) as length")
+    out = packing.assign(mixed, shard_tokens=60_000).toPandas()
+    used = out.groupby("sequence_id")["length"].sum()
+    assert used.max() <= 4096 and len(out) == 6000 and len(used) <= 1.02 * -(-used.sum() // 4096) and max(sizes) >= 1
+
+
+def test_ids_are_those_of_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.word_bpe()
+    whole, fast = Tokenizer.from_file(path), packing.tokenizer(path)
+    r = random.Random(8)
+    some = ["a", "B", "é", "ß", "İ", "ǅ", "²", "½", "1", "_", "'", "'s", "'LL", "’", "-", ".", " ", "  ", "\n", "\r\n", "\t", "\xa0", "\u200b", "\u0301", "Ω", "一", "😀", "\x00", "\x85", "<|", "|>", "<|endoftext|>", "ﬁ", "\u2028", "¡", "\xad"]
+    texts = ["".join(r.choices(some, k=r.randint(0, 12))) for _ in range(4000)]
+    texts += [x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t in texts:
+        assert np.frombuffer(fast.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t[:200]
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://a/x?y", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "no\r\nurl", None), (5, "http://b", ""), (7, "http://c", "\r\n\r\nWARC/1.1"), (7, "http://c", "\r\n\r\nWARC/1.1"), (None, "http://d", "<p>é</p>"), (-4, "http://[bad", "x" * 100_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, path int")
