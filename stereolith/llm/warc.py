@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from stereolith.plans.scratch import Scratch
 
 ARCHIVE_BYTES = 32_000_000
+#: Bytes of archives that a reading task takes, where there are more archives than cores.
+READ_BYTES = 256_000_000
+#: Pages of one payload that meet its first page in one place, and the most payloads with more pages (what is broadcast).
+SPLIT, HOT = 1_000, 100_000
 DATE = "2024-01-01T00:00:00Z"
 CHUNK = 1 << 20
 _KINDS = {"response": 1, "request": 2, "metadata": 3}
@@ -111,8 +115,13 @@ def write_archives(pages: DataFrame, root: str, most: int = ARCHIVE_BYTES) -> Da
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    met = rows.join(first, "digest", "left").select("page_id", "url", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("first"))
+    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    split = max(SPLIT, pages.count() // HOT)
+    first = first.select("digest", "first", F.floor(F.col("n") / split).alias("k"))
+    hot = F.broadcast(first.where("k > 0").select("digest", "k"))
+    dealt = rows.join(hot, "digest", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("k") + 1), F.lit(0)))
+    first = first.select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), "k")).alias("part"))
+    met = dealt.join(first, ["digest", "part"], "left").select("page_id", "url", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("first"))
     return met.mapInArrow(_writer(root, most), "path string, bytes long, records long")
 
 
@@ -159,7 +168,7 @@ def _reader(with_block: bool, at_once: int = 8_000_000):
             else:
                 length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
         refers = page_of(f["warc-refers-to"]) if "warc-refers-to" in f else None
-        return path, k, ident, kind, page_of(ident), f.get("warc-target-uri"), f.get("warc-date"), f.get("warc-concurrent-to"), refers, digest, length, list(f.items()) if with_block else None, block if with_block else None
+        return path, k, ident, kind, page_of(ident), f.get("warc-target-uri"), f.get("warc-date"), f.get("warc-concurrent-to"), refers, digest, length, list(f.items()), block if with_block or kind not in ("response", "revisit") else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -185,8 +194,10 @@ def _reader(with_block: bool, at_once: int = 8_000_000):
 
 
 def read_records(manifest: DataFrame, with_block: bool = True) -> DataFrame:
-    """The records of the archives that ``manifest`` names in ``path``; without ``with_block``, ``fields`` and ``block`` are null."""
-    return manifest.select("path").repartition("path").mapInArrow(_reader(with_block), RECORD)
+    """The records of the archives that ``manifest`` (``path, bytes``) names; without ``with_block``, ``block`` is null for responses and revisits."""
+    count, size = manifest.agg(F.count("*"), F.sum("bytes")).first()
+    tasks = max(1, min(count, max(4 * manifest.sparkSession.sparkContext.defaultParallelism, (size or 0) // READ_BYTES)))
+    return manifest.select("path").repartitionByRange(tasks, "path").mapInArrow(_reader(with_block), RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:

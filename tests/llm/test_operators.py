@@ -277,9 +277,24 @@ def test_warc_round_trip(spark):
         assert x["request"] is not None and x["metadata"] is not None
         if x["response"]["type"] == "response":
             assert bytes(x["response"]["block"]).endswith(html.encode())
+        assert bytes(x["request"]["block"]).startswith(b"GET ") and dict(x["metadata"]["fields"])["warc-type"] == "metadata"
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_of_one_payload_in_many_pages_and_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SPLIT", 10)
+    pages = spark.range(400).selectExpr("id as page_id", "concat('http://h/', id) as url", "if(id % 3 = 0, '', if(id % 3 = 1, 'same', concat('own ', id))) as html").repartition(3)
+    scratch = warc.Scratch(spark, "test")
+    manifest = scratch.table(warc.write_archives(pages, scratch.path("archives"), most=4_000), "manifest")
+    records = warc.read_records(manifest)
+    assert manifest.count() > 8 and records.rdd.getNumPartitions() == min(manifest.count(), 32)
+    got = {x["page_id"]: x["response"] for x in warc.captures(records).collect()}
+    assert len(got) == 400
+    for i, x in got.items():
+        first = i % 3 if i % 3 < 2 else i
+        assert (x["type"], x["refers_to"]) == (("response", None) if i == first else ("revisit", first))
+
+
 def test_license_places(spark):
     rows = [*ODD, (1, "Under the MIT License. cc by nc cc-by-nc; under the mit licenses"), (2, "Permission is hereby granted, free of charge, to any person"), (3, "APACHE LICENSE, version 2 apache license version 2")]
     got = {x["doc_id"]: x for x in license_scan.digest(license_scan.scan(frame(spark, rows))).collect()}
