@@ -134,25 +134,24 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("small", [1_000_000, 0])
-def test_decontamination_against_all_pairs(spark, small):
+def test_decontamination_against_all_pairs(spark):
     r = random.Random(7)
     words = [f"w{k}" for k in range(500)]
-    items = [(i, " ".join(r.choices(words, k=r.choice([3, 12, 30, 90])))) for i in range(40)] + [(90, None), (None, "a b c d e"), (91, "")]
+    items = [(i, " ".join(r.choices(words, k=r.choice([3, 5, 6, 8, 11, 12, 20, 22, 30, 90])))) for i in range(120)] + [(90 + 100, None), (None, "a b c d e"), (191, "")]
     docs = []
-    for i in range(80):
+    for i in range(240):
         w = r.choices(words, k=r.choice([5, 60, 2000]))
         if i % 2:
-            p = items[r.randrange(40)][1].split()
+            p = items[r.randrange(120)][1].split()
             if i % 4 == 3 and len(p) > 20:
                 p[r.randrange(len(p))] = "other"
             at = r.randrange(len(w))
             w[at:at] = [x.upper() for x in p]
         docs.append((i, " , ".join(w)))
-    docs += [*ODD, (95, items[0][1])]
+    docs += [*ODD, (995, items[0][1])]
     want = sorted((d, i) for d, t in docs for i, s in items if d is not None and i is not None and shingles(s) and 100 * len(shingles(t) & shingles(s)) >= 80 * len(shingles(s)))
     it = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contaminated(frame(spark, docs).repartition(5), it, small=small)
+    got = decontaminate.contaminated(frame(spark, docs).repartition(5), it)
     assert sorted((x["doc_id"], x["item_id"]) for x in got.collect()) == sorted(set(want))
     kept = decontaminate.clean(frame(spark, docs), it)
     assert sorted(str(x["doc_id"]) for x in kept.collect()) == sorted(str(d) for d, _ in docs if d not in {x for x, _ in want})
