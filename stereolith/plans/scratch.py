@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Bytes of rows that go to Python at a time at most, so that a task's memory doesn't grow with the length of texts.
+#: Bytes of rows that go to Python at a time at most, and of a row group, so that a task's memory doesn't grow with the length of texts.
 MOST_BYTES = 8 << 20
 
 
@@ -62,7 +62,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """``df``, written and read again."""
         at = self.path(name)
-        df.write.parquet(at)
+        df.write.option("parquet.block.size", MOST_BYTES).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, keep: tuple[str, ...] = ()) -> None:
