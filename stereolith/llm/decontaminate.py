@@ -50,6 +50,7 @@ def _least(group: np.ndarray, h: np.ndarray, c: int) -> tuple[np.ndarray, np.nda
     return group[new], h[new]
 
 
+@T.tidy
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(item_id, class, shingle, signs): an item's distinct shingles, and whether each is of its signature."""
     for batch in batches:
@@ -94,6 +95,7 @@ def _shingles(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[
 def _signatures(held, classes: list[int]):
     """(doc_id, class, key) rows: marked hashes of the signatures of documents' segments."""
 
+    @T.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, g, row, place, hit in _shingles(batches, held.value):
             rows, kinds, keys = [], [], []
@@ -123,6 +125,7 @@ def _signatures(held, classes: list[int]):
 def _held(held):
     """(doc_id, shingle) rows: documents' marked shingles."""
 
+    @T.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, g, row, _, hit in _shingles(batches, held.value):
             found = np.unique(np.rec.fromarrays([row[hit], g[hit]], names="r,k"))

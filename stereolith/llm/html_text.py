@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stereolith.llm import text as T
+
 # fixed values: element names of HTML
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -417,6 +419,7 @@ def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html"
     model = model or train()
     names = [n for n in pages.columns if n not in (html_col, out)]
 
+    @T.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [model.text(x.as_py()) for x in batch.column(len(names))]

@@ -43,7 +43,7 @@ LONG = 8
 #: Documents and tokens of a block of a cell, and columns of a matrix at a time.
 CELL_ROWS, CELL_TOKENS, COLUMNS, STRIP = 1024, 400_000, 1024, 256
 #: Bytes of text that are grouped at a time.
-RUN = 4_000_000
+RUN = 2_000_000
 #: Rows of a long list that meet its pivot in one place.
 SPLIT = 1_000
 
@@ -160,9 +160,10 @@ def _groups(frequent=None):
             none = pa.nulls(int(new.sum()), pa.int64())
             yield pa.record_batch({"doc_id": none, "n_shingles": none, "leader": real[group[new]], "variant": none, "token": _signed(t[new])})
 
-    return run
+    return T.tidy(run)
 
 
+@T.tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, token, first in shingle_sets(batch.column(1)):
@@ -170,6 +171,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"doc_id": batch.column(0).slice(a, len(first) - 1), "tokens": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, off.buffers()[1], pa.py_buffer(token)]).cast(pa.binary())})
 
 
+@T.tidy
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column(2), batch.column(3)
@@ -257,7 +259,7 @@ def _cell(key: tuple, rows: pa.Table) -> pa.Table:
     row = np.repeat(np.arange(n, dtype=np.int32), size)[order][several]
     name = np.cumsum(new[several], dtype=np.int32) - 1
     del token, order, new, several
-    inter = np.zeros((n, n), np.float32)
+    inter, x = np.zeros((n, n), np.float32), None
     for low in range(0, int(name[-1]) + 1 if len(name) else 0, COLUMNS):
         a, b = np.searchsorted(name, [low, low + COLUMNS])
         x = np.zeros((n, COLUMNS), np.float32)
@@ -273,6 +275,9 @@ def _cell(key: tuple, rows: pa.Table) -> pa.Table:
             break
         label = low
     on = np.flatnonzero(label != np.arange(n))
+    if n > STRIP:
+        del inter, strips, x
+        T.give_back()
     return pa.table({"a": ids[on], "b": ids[label[on]]})
 
 

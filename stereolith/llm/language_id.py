@@ -166,6 +166,7 @@ def train(labelled: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRA
     fit = _fit(marks, np.array([r["lang"] for r in found]), languages)
     half = spark.sparkContext.broadcast(Model(languages, marks, norms, root, np.zeros((0, 0)), *fit))
 
+    @T.tidy
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = half.value
         size = m.root.shape[1]
@@ -192,6 +193,7 @@ def train(labelled: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRA
     return Model(languages, marks, norms, root, weights.astype(np.float32), *fit)
 
 
+@T.tidy
 def _as_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bits = [np.packbits(presence(batch.column(2).slice(i, 1))[0]).tobytes() for i in range(batch.num_rows)]
@@ -212,6 +214,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
     out = [(lang_out, "string"), (score_out, "double"), *([(fits_out, "boolean")] if fits_out else [])]
     kept = [k for k, n in enumerate(names) if n not in [o for o, _ in out]]
 
+    @T.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, s, fits = held.value.predict(batch.column(names.index(text_col)))

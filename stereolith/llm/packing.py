@@ -34,7 +34,7 @@ LOOSE, SHRINK = 0.02, 0.5
 #: Texts with other characters go through the tokenizer whole.
 _RARE = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\\|")
 _PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_CACHE = 600_000
+_CACHE = 200_000
 
 
 class Parts(dict):
@@ -88,6 +88,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     A null text counts as empty and gives one piece of the end id alone. Every row gives pieces, repeated and null ids too.
     """
 
+    @T.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = tokenizer(tokenizer_path)
         end = np.array([END], "<u4").tobytes()

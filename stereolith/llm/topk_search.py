@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stereolith.llm import text as T
 from stereolith.plans.scratch import Scratch
 
 BLOCK = 4096
@@ -27,6 +28,7 @@ SALTS = 32
 def _packed(size: int, scale: int):
     """Rows (vec_id, embedding) to blocks (dim, ids, values): finite vectors as floor(scale * x), little-endian 64-bit."""
 
+    @T.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, tuple[list, list]] = {}
 
@@ -93,6 +95,7 @@ def block_top(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, queries: np
 
 
 def _search(k: int):
+    @T.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, ids, v, qids, qv in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -100,6 +100,7 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, size: int, epochs: int = EPOCHS)
     return w, -bz / ((BETA + bn**0.5) / ALPHA + L2)
 
 
+@T.tidy
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (order, y, text) with a row's distinct coordinates in place of the text."""
     for batch in batches:
@@ -109,6 +110,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"order": batch.column(0).slice(a, b - a), "y": batch.column(1).slice(a, b - a), "f": pa.array([f[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())})
 
 
+@T.tidy
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order, y, rows = [], [], []
     for batch in batches:
@@ -152,6 +154,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @T.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value.table()
         for batch in batches:

@@ -21,6 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stereolith.llm import text as T
 from stereolith.plans.scratch import Scratch
 
 ARCHIVE_BYTES = 32_000_000
@@ -82,6 +83,7 @@ def transaction(page_id: int | None, url: str | None, payload: bytes, first: int
 
 
 def _writer(root: str, most: int):
+    @T.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
         store.create_dir(base, recursive=True)
@@ -170,6 +172,7 @@ def _reader(with_block: bool, at_once: int = 8_000_000):
         refers = page_of(f["warc-refers-to"]) if "warc-refers-to" in f else None
         return path, k, ident, kind, page_of(ident), f.get("warc-target-uri"), f.get("warc-date"), f.get("warc-concurrent-to"), refers, digest, length, list(f.items()), block if with_block or kind not in ("response", "revisit") else None
 
+    @T.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
