@@ -1,14 +1,21 @@
 """Stupid-backoff scores of whole documents under the corpus's own n-gram counts.
 
-Documents are dealt by hash into blocks. Each block explodes its texts into n-grams of all orders and, as the combine step of
+Rows are dealt over blocks of about ``BLOCK_BYTES``, repeated rows too. Each block explodes its texts into n-grams and, as the combine step of
 a shuffle, sends each distinct n-gram once, with its count in the block, to the partition of the count table that its hash
 falls in. There counts are summed over all blocks, and the total of each n-gram that other blocks hold too is joined
-back to the blocks that asked, as bits over the n-grams they sent, whose order both sides know. A block then scores its positions and sums them per document. Rows between stages are runs
-of hashes as binary columns, so a shuffled n-gram costs a few bytes rather than a row, and a frequent n-gram is one entry a
-block, not one a place.
+back to the blocks that asked, as bits over the n-grams they sent, whose order both sides know. A block then scores its positions
+and sums them per document.
+
+The table is filled order by order (1 and 2 together): from 3 on, an n-gram is sent only if both (n-1)-grams in it are counted
+``MIN_COUNT`` times or more, for else it can't be either. This changes no score, as the others back off.
 
 S(w | context) = c(context w) / c(context) if the n-gram is counted ``MIN_COUNT`` times or more, else ``BACKOFF`` * S(w | shorter context);
-at the end of the chain c(w) / N.
+at the end of the chain c(w) / N. The texts scored are the corpus itself: an n-gram counted once is counted at the very place that is
+scored and tells nothing of it, so ``MIN_COUNT`` is 2.
+
+Rows between stages are runs of hashes as binary columns, so a shuffled n-gram costs a few bytes rather than a row, and a frequent
+n-gram is one entry a block, not one a place. There are as many rows as (block, part) pairs with an n-gram, thus never more than rows of single
+n-grams would be.
 """
 
 from __future__ import annotations
@@ -18,12 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stereolith.llm import text as T
+from stereolith.plans.scratch import small_batches
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2
 #: Bytes of text a block holds about, and n-grams a part of the count table.
@@ -67,6 +76,7 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
+@T.tidy
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.record_batch({"n": pa.array([sum(len(T.words(batch.column(0).slice(a, b - a), T.ALNUM).h) for a, b in T.runs(batch.column(0)))], pa.int64())})
@@ -84,68 +94,112 @@ def _spans(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     return [(p, int(a), int(b)) for p, (a, b) in enumerate(zip([0, *cut], [*cut, len(keys)], strict=True))]
 
 
-def _ask(order: int, parts: int):
-    """(block, part, keys, counts): a block's distinct n-grams by part of the hash range. n-grams of all orders share one key space."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.uint64)]
-        for batch in rows.column("text").chunks:
-            for a, b in T.runs(batch):
-                found += [g for g, _ in _grams(batch.slice(a, b - a), order)[1]]
-        keys, counts = _counted(np.concatenate(found))
+def _runs(docs: pa.Table) -> list[pa.Array]:
+    return [batch.slice(a, b - a) for batch in docs.column("text").chunks for a, b in T.runs(batch)]
+
+
+class Block:
+    """A block's n-grams and how often each is counted, as far as totals are known."""
+
+    def __init__(self, docs: pa.Table, order: int, min_count: int, parts: int):
+        self.min_count, self.parts = min_count, parts
+        found = [_grams(x, order) for x in _runs(docs)]
+        self.words, self.grams = [w for w, _ in found], [g for _, g in found]
+        #: By run and order, the count of the n-gram that starts at each word; 0 where none is counted.
+        self.count = [[] for _ in found]
+
+    def level(self, orders: list[int], replies: pa.Table | None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams of these orders that may be counted often enough, ascending, and their counts; with ``replies``, in the whole corpus."""
+        used = []
+        for k, grams in enumerate(self.grams):
+            for n in orders:
+                g, at = grams[n - 1]
+                if n > 2 and self.min_count > 1:
+                    below = self.count[k][n - 2] >= self.min_count
+                    on = below[at] & below[at + 1]
+                    g, at = g[on], at[on]
+                used.append((k, g, at))
+        keys, counts = _counted(np.concatenate([np.zeros(0, np.uint64), *(g for _, g, _ in used)]))
+        if replies is not None:
+            spans = _spans(keys, self.parts)
+            for p, more, totals in zip(*(replies.column(c).to_pylist() for c in ("part", "more", "totals")), strict=True):
+                _, a, b = spans[p]
+                counts[a:b][np.unpackbits(np.frombuffer(more, np.uint8))[: b - a].astype(bool)] = unpack_counts(totals)
+            for k, g, at in used:
+                own = np.zeros(len(self.words[k].h), np.int64)
+                own[at] = counts[np.searchsorted(keys, g)]
+                self.count[k].append(own)
+        return keys, counts
+
+
+def _levels(order: int) -> list[list[int]]:
+    return [[1, 2][:order], *([n] for n in range(3, order + 1))]
+
+
+def _ask(order: int, level: int, min_count: int, parts: int):
+    """(block, level, part, keys, counts): a block's distinct n-grams of a level by part of the hash range. Orders share one key space."""
+
+    def run(key: tuple, docs: pa.Table, replies: pa.Table | None = None) -> pa.Table:
+        levels = _levels(order)
+        block = Block(docs, levels[level][-1], min_count, parts)
+        for k in range(level):
+            block.level(levels[k], replies.filter(pa.compute.equal(replies.column("level"), k)))
+        keys, counts = block.level(levels[level], None)
+        name = docs.column("block")[0].as_py() if len(docs) else 0
+        del block
         spans = [(p, a, b) for p, a, b in _spans(keys, parts) if b > a]
-        return pa.table(
+        out = pa.table(
             {
-                "block": pa.array([key[0].as_py()] * len(spans), pa.int64()),
+                "block": pa.array([name] * len(spans), pa.int64()),
+                "level": pa.array([level] * len(spans), pa.int32()),
                 "part": pa.array([p for p, _, _ in spans], pa.int64()),
                 "keys": pa.array([pack(keys[a:b]) for _, a, b in spans], pa.binary()),
                 "counts": pa.array([pack_counts(counts[a:b]) for _, a, b in spans], pa.binary()),
             }
         )
+        T.give_back()
+        return out
 
-    return run
+    if level:
+        return lambda key, docs, replies: run(key, docs, replies)
+    return lambda key, docs: run(key, docs)
 
 
 def _sum(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """(block, part, more, totals): which of the keys that a block sent have a total above its own count, as bits, and those totals."""
+    """(block, level, part, more, totals): which of the keys that a block sent have a total above its own count, as bits, and those totals."""
     keys = [unpack(x) for x in rows["keys"]]
     counts = [unpack_counts(x) for x in rows["counts"]]
     names, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts)).astype(np.int64)
     out, begin = [], 0
-    for block, k, c in zip(rows["block"], keys, counts, strict=True):
+    for block, level, k, c in zip(rows["block"], rows["level"], keys, counts, strict=True):
         t = total[at[begin : begin + len(k)]]
         begin += len(k)
         more = t > c
         if more.any():
-            out.append((block, key[0], np.packbits(more).tobytes(), pack_counts(t[more])))
-    return pd.DataFrame(out, columns=["block", "part", "more", "totals"])
+            out.append((block, level, key[0], np.packbits(more).tobytes(), pack_counts(t[more])))
+    return pd.DataFrame(out, columns=["block", "level", "part", "more", "totals"])
 
 
 def _score(order: int, backoff: float, min_count: int, tokens: int, parts: int):
     def run(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
-        column = docs.column("text").combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        runs = [(a, b, *_grams(column.slice(a, b - a), order)) for a, b in T.runs(column)]
-        keys, counts = _counted(np.concatenate([np.zeros(0, np.uint64), *[g for _, _, _, gs in runs for g, _ in gs]]))
-        spans = _spans(keys, parts)
-        for p, more, totals in zip(*(replies.column(n).to_pylist() for n in ("part", "more", "totals")), strict=True):
-            _, a, b = spans[p]
-            counts[a:b][np.unpackbits(np.frombuffer(more, np.uint8))[: b - a].astype(bool)] = unpack_counts(totals)
-        n_words, score = np.zeros(len(column), np.int64), np.zeros(len(column))
-        for a, b, w, gs in runs:
-            value = [counts[np.searchsorted(keys, g)] for g, _ in gs]
-            s = np.log(np.maximum(value[0], 1) / max(tokens, 1))
+        block = Block(docs, order, min_count, parts)
+        for k, orders in enumerate(_levels(order)):
+            block.level(orders, replies.filter(pa.compute.equal(replies.column("level"), k)))
+        n_words, score = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for w, grams, count in zip(block.words, block.grams, block.count, strict=True):
+            s = np.log(np.maximum(count[0], 1) / max(tokens, 1))
             for n in range(2, order + 1):
                 # places of n-grams, by their first word; the score belongs to their last
-                at = gs[n - 1][1]
-                context = value[n - 2][np.searchsorted(gs[n - 2][1], at)]
-                own = value[n - 1]
-                last = at + n - 1
-                s[last] = np.where(own >= min_count, np.log(own / np.maximum(context, 1)), np.log(backoff) + s[last])
-            score[a:b] = np.bincount(w.row, s, b - a) if len(s) else 0
-            n_words[a:b] = np.diff(w.first)
-        return pa.table({"doc_id": docs.column("doc_id"), "n_words": n_words, "score": score})
+                at = grams[n - 1][1]
+                own, context, last = count[n - 1][at], count[n - 2][at], at + n - 1
+                s[last] = np.where(own >= min_count, np.log(np.maximum(own, 1) / np.maximum(context, 1)), np.log(backoff) + s[last])
+            rows = len(w.first) - 1
+            score.append(np.bincount(w.row, s, rows) if len(s) else np.zeros(rows))
+            n_words.append(np.diff(w.first))
+        del block
+        T.give_back()
+        return pa.table({"doc_id": docs.column("doc_id"), "n_words": np.concatenate(n_words), "score": np.concatenate(score)})
 
     return run
 
@@ -153,15 +207,21 @@ def _score(order: int, backoff: float, min_count: int, tokens: int, parts: int):
 def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
     """``doc_id, n_words, score``: the sum of log S over a document's words (digits, letters a-z and non-ASCII, lower-cased).
 
-    Texts that are null or hold no word have 0 words and score 0. Repeated rows count as often as they stand, null ids too.
+    Texts that are null or hold no word have 0 words and score 0. Repeated rows count as often as they stand, null ids too. Texts
+    are read whole; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     blocks = max(1, -(-(size[0] or 0) // BLOCK_BYTES))
-    parts = max(1, -(-(size[0] or 0) * order // (5 * PART_GRAMS)))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text")
-    asked = dealt.groupBy("block").applyInArrow(_ask(order, parts), "block long, part long, keys binary, counts binary")
-    replies = asked.groupBy("part").applyInPandas(_sum, "block long, part long, more binary, totals binary")
+    parts = max(1, -(-(size[0] or 0) * 2 // (5 * PART_GRAMS)))
     tokens = docs.select("text").mapInArrow(_words, "n long").agg(F.sum("n")).first()[0] or 0
-    met = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, backoff, min_count, tokens, parts), "doc_id long, n_words long, score double")
-    return met
+    # by the place of a row in the table: equal rows are spread like all others
+    dealt = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"), "doc_id", "text")
+    asks, replies = "block long, level int, part long, keys binary, counts binary", None
+    for level in range(len(_levels(order))):
+        ask = _ask(order, level, min_count, parts)
+        asked = dealt.groupBy("block").applyInArrow(ask, asks) if replies is None else dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(ask, asks)
+        told = asked.groupBy("part").applyInPandas(_sum, "block long, level int, part long, more binary, totals binary")
+        replies = told if replies is None else replies.unionByName(told)
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, backoff, min_count, tokens, parts), "doc_id long, n_words long, score double")
