@@ -160,13 +160,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     # what the candidates' documents would have to hold, and what they hold
     need = pairs.join(whole, "item_id")
     marks = docs.sparkSession.sparkContext.broadcast(_marks(whole.select(F.col("shingle").alias("h"))))
-    holds = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_held(marks), "doc_id long, shingle long")
+    # written, so that Spark knows its size: where it is small, texts don't move
+    among = scratch.table(pairs.select("doc_id").distinct(), "among")
+    holds = docs.join(among, "doc_id", "left_semi").mapInArrow(_held(marks), "doc_id long, shingle long")
     met = need.join(holds, ["doc_id", "shingle"], "left_semi").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
     out = met.join(size, "item_id").where(100 * F.col("shared") >= PERCENT * F.col("item_shingles"))
     return out.select("doc_id", "item_id", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item; rows with a null id stay."""
-    bad = contaminated(docs, items).select("doc_id").distinct()
+    """The rows of ``docs`` that hold no item; rows with a null id stay. The ids that go are written first: where they are few, texts don't move."""
+    bad = Scratch(docs.sparkSession, "contaminated").table(contaminated(docs, items).select("doc_id").distinct(), "ids")
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

@@ -326,8 +326,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = own.groupBy("doc_id").agg(F.min("leader").alias("a"), F.max("leader").alias("z")).where("a < z").select("doc_id", "a")
     if (several := scratch.table(several, "several")).limit(1).count():
         links = links.unionByName(own.join(several, "doc_id").select("a", F.col("leader").alias("b")).where("a <> b"))
+    # and a group's smallest id, so that a class is named by its smallest
+    low = own.groupBy("leader").agg(F.min("doc_id").alias("b")).where("b < leader")
+    links = links.unionByName(low.select(F.col("leader").alias("a"), "b"))
     comp = scratch.table(connected_components(links), "classes")
-    lead = own.join(comp.withColumnRenamed("node", "leader"), "leader", "left").select("doc_id", "n_shingles", F.coalesce("component", "leader").alias("root"))
-    low = lead.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     scratch.drop(keep=("groups", "classes"))
-    return lead.join(low, "root", "left").select("doc_id", "n_shingles", "component_id")
+    return own.join(comp.withColumnRenamed("node", "leader"), "leader", "left").select("doc_id", "n_shingles", F.coalesce("component", "leader").alias("component_id"))
