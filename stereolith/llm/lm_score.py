@@ -13,19 +13,21 @@ S(w | context) = c(context w) / c(context) if the n-gram is counted ``MIN_COUNT`
 at the end of the chain c(w) / N. The texts scored are the corpus itself: an n-gram counted once is counted at the very place that is
 scored and tells nothing of it, so ``MIN_COUNT`` is 2.
 
-Rows between stages are runs of hashes as binary columns, so a shuffled n-gram costs a few bytes rather than a row, and a frequent
+Rows between stages are runs of texts, compressed, and of hashes as binary columns, so a shuffled n-gram costs a few bytes rather than a row, and a frequent
 n-gram is one entry a block, not one a place. There are as many rows as (block, part) pairs with an n-gram, thus never more than rows of single
 n-grams would be.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,17 +55,23 @@ def _grams(column: pa.Array, order: int) -> tuple[T.Words, list[tuple[np.ndarray
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as differences: six bytes each if all fit, else eight; the first byte tells."""
+    """Ascending 64-bit keys as differences: six bytes each if all fit, else eight; their top bytes by a Huffman code where that is shorter."""
     d = np.diff(keys, prepend=np.uint64(0))
     size = 6 if not len(d) or int(d.max()) < 1 << 48 else 8
-    return bytes([size]) + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+    flat = d.astype("<u8").view(np.uint8).reshape(-1, 8)
+    top, low = flat[:, size - 1].tobytes(), flat[:, : size - 1].tobytes()
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+    short = coder.compress(top) + coder.flush()
+    coded = len(short) < len(top)
+    return bytes([size, coded]) + len(low).to_bytes(4, "little") + low + (short if coded else top)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    size = data[0]
-    flat = np.frombuffer(data, np.uint8, offset=1).reshape(-1, size)
-    wide = np.zeros((len(flat), 8), np.uint8)
-    wide[:, :size] = flat
+    size, coded, end = data[0], data[1], 6 + int.from_bytes(data[2:6], "little")
+    low = np.frombuffer(data[6:end], np.uint8).reshape(-1, size - 1)
+    wide = np.zeros((len(low), 8), np.uint8)
+    wide[:, : size - 1] = low
+    wide[:, size - 1] = np.frombuffer(zlib.decompress(data[end:], -15) if coded else data[end:], np.uint8)
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
@@ -94,6 +102,35 @@ def _spans(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     return [(p, int(a), int(b)) for p, (a, b) in enumerate(zip([0, *cut], [*cut, len(keys)], strict=True))]
 
 
+def _deal(blocks: int):
+    """(block, docs): rows dealt by their place in the table, equal ones like all others; those of a batch for one block as compressed Arrow."""
+
+    @T.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            place = np.arange(seen, seen + batch.num_rows, dtype=np.uint64) + np.uint64(task << 40)
+            seen += batch.num_rows
+            block = (T.mix(place) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            names, first = np.unique(block[order], return_index=True)
+            batch, out = batch.take(pa.array(order)), []
+            for a, b in zip(first, [*first[1:], len(order)], strict=True):
+                sink = pa.BufferOutputStream()
+                # a copy of the rows alone, without what the slice is cut from
+                part = pa.table(batch.slice(a, b - a)).take(pa.array(np.arange(b - a)))
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                    to.write_table(part)
+                out.append(sink.getvalue().to_pybytes())
+            yield pa.record_batch({"block": names, "docs": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _rows(dealt: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for chunk in dealt.column("docs").chunks for x in chunk])
+
+
 def _runs(docs: pa.Table) -> list[pa.Array]:
     return [batch.slice(a, b - a) for batch in docs.column("text").chunks for a, b in T.runs(batch)]
 
@@ -141,11 +178,11 @@ def _ask(order: int, level: int, min_count: int, parts: int):
 
     def run(key: tuple, docs: pa.Table, replies: pa.Table | None = None) -> pa.Table:
         levels = _levels(order)
-        block = Block(docs, levels[level][-1], min_count, parts)
+        block = Block(_rows(docs), levels[level][-1], min_count, parts)
         for k in range(level):
             block.level(levels[k], replies.filter(pa.compute.equal(replies.column("level"), k)))
         keys, counts = block.level(levels[level], None)
-        name = docs.column("block")[0].as_py() if len(docs) else 0
+        name = docs.column("block")[0].as_py()
         del block
         spans = [(p, a, b) for p, a, b in _spans(keys, parts) if b > a]
         out = pa.table(
@@ -183,6 +220,7 @@ def _sum(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def _score(order: int, backoff: float, min_count: int, tokens: int, parts: int):
     def run(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
+        docs = _rows(docs)
         block = Block(docs, order, min_count, parts)
         for k, orders in enumerate(_levels(order)):
             block.level(orders, replies.filter(pa.compute.equal(replies.column("level"), k)))
@@ -216,8 +254,7 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_co
     blocks = max(1, -(-(size[0] or 0) // BLOCK_BYTES))
     parts = max(1, -(-(size[0] or 0) * 2 // (5 * PART_GRAMS)))
     tokens = docs.select("text").mapInArrow(_words, "n long").agg(F.sum("n")).first()[0] or 0
-    # by the place of a row in the table: equal rows are spread like all others
-    dealt = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"), "doc_id", "text")
+    dealt = docs.mapInArrow(_deal(blocks), "block long, docs binary")
     asks, replies = "block long, level int, part long, keys binary, counts binary", None
     for level in range(len(_levels(order))):
         ask = _ask(order, level, min_count, parts)
