@@ -1,11 +1,11 @@
 """Exact top-k search by inner product, by no-random-access aggregation over sorted lists.
 
-Vectors are packed into blocks of ``BLOCK`` rows and queries into blocks of ``QUERIES``; a (block, query block) pair is one
-row of a join on the query block and a salt, so each task holds one block of either kind. Within a pair, a block has one
-sorted list per dimension. For each query the lists are read from their better ends in steps; what has been seen of
-a vector gives its lower bound (unseen components at their worst) and its upper bound (unseen components at the lists'
-current values). Reading stops when few vectors have an upper bound that reaches the k-th lower bound; those alone are
-scored in full. Each block returns k rows a query and a windowed limit, applied before and after the shuffle, picks k of all.
+Vectors are packed into blocks of ``BLOCK`` rows, which stay where they are: queries travel, as a broadcast of at most ``QUERY_BYTES``,
+in as many rounds as they need. A task makes one sorted list per dimension of each block of its own. For each query the lists are
+read from their better ends in steps; what has been seen of a vector gives its lower bound (unseen components at their worst) and its
+upper bound (unseen components at the lists' current values). Reading stops when all but a few vectors have an upper bound below
+the k-th lower bound, and below the k-th score of the task's earlier blocks; the scores of those few are resolved. Each task returns
+k rows a query, and a windowed limit picks k of all.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ from stereolith.plans.scratch import Scratch
 
 BLOCK = 4096
 QUERIES = 256
-SALTS = 32
+#: Bytes of queries that are broadcast at a time.
+QUERY_BYTES = 32_000_000
+#: Components beyond are held at it, and scores at the ends of 64 bits; up to ``EXACT`` sums of products are whole in a double.
+MOST, EXACT, LONG = 2.0**62, 2**53, 2**63 - 1
 
 
 def _packed(size: int, scale: int):
@@ -44,7 +47,8 @@ def _packed(size: int, scale: int):
             length = np.asarray(rows.value_lengths())
             flat = rows.flatten()
             ok = np.asarray(flat.is_valid()) & np.isfinite(flat.fill_null(0).to_numpy(zero_copy_only=False).astype(float))
-            flat = np.floor(scale * np.where(ok, flat.fill_null(0).to_numpy(zero_copy_only=False).astype(float), 0)).astype(np.int64)
+            with np.errstate(over="ignore"):
+                flat = np.floor(scale * np.where(ok, flat.fill_null(0).to_numpy(zero_copy_only=False).astype(float), 0)).clip(-MOST, MOST).astype(np.int64)
             first = np.concatenate([[0], np.cumsum(length)])
             bad = np.concatenate([[0], np.cumsum(~ok)])
             good = bad[first[1:]] == bad[first[:-1]]
@@ -65,44 +69,72 @@ def _packed(size: int, scale: int):
     return run
 
 
-def block_top(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, vec ids, scores) of each query's best k in a block, ties to smaller ids, the query itself left out."""
-    n, dims = v.shape
-    order = np.argsort(v, axis=0, kind="stable")
-    ranked = np.take_along_axis(v, order, 0).astype(float)
-    for name, q in zip(query_ids.tolist(), queries, strict=True):
-        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        used = np.concatenate([up, down])
-        worst = np.concatenate([ranked[0, up] * q[up], ranked[-1, down] * q[down]])
-        gain, seen = np.zeros(n), np.zeros((n, len(used)), bool)
-        own = ids == name
-        at, left = 0, np.flatnonzero(~own)
-        step = max(64, n // 16)
-        while at < n and len(left) > max(4 * k, n // 32):
-            to = min(n, at + step)
-            who = np.concatenate([order[n - to : n - at, up][::-1], order[at:to, down]], 1)
-            what = np.concatenate([ranked[n - to : n - at, up][::-1] * q[up], ranked[at:to, down] * q[down]], 1)
-            gain += np.bincount(who.ravel(), (what - worst).ravel(), n)
-            seen[who, np.arange(len(used))] = True
-            room = what[-1] - worst
-            lower = gain[left]
-            bar = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) > k else -np.inf
-            left = left[lower + (~seen[left]) @ room >= bar]
-            at, step = to, 2 * step
-        score = v[left] @ q
-        best = np.lexsort((ids[left], -score))[:k]
-        yield name, ids[left][best], score[best]
-
-
-def _search(k: int):
+class Lists:
+    """A block's vectors and their components in order, one list a dimension."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray):
+        self.ids, self.v = ids, v
+        self.most = int(np.abs(v).max(initial=0))
+        self.order = np.argsort(v, axis=0, kind="stable").astype(np.int32)
+        self.ranked = np.take_along_axis(v, self.order, 0).astype(float)
+
+    def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if self.most * int(np.abs(q).max(initial=0)) * max(1, len(q)) <= LONG:
+            return self.v[at] @ q
+        whole = self.v[at].astype(object) @ q.astype(object)
+        return np.array([max(-LONG - 1, min(LONG, int(x))) for x in whole], np.int64)
+
+    def best(self, name: int, q: np.ndarray, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(vec ids, scores) of the best k, ties to smaller ids, the query's own id and scores below ``bar`` left out."""
+        n, order, ranked = len(self.ids), self.order, self.ranked
+        left = np.flatnonzero(self.ids != name)
+        if self.most * int(np.abs(q).max(initial=0)) * max(1, len(q)) < EXACT:
+            up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+            used = np.concatenate([up, down])
+            worst = np.concatenate([ranked[0, up] * q[up], ranked[-1, down] * q[down]])
+            gain, seen = np.zeros(n), np.zeros((n, len(used)), bool)
+            at, step, floor = 0, max(64, n // 16), worst.sum()
+            while at < n and len(left) > max(4 * k, n // 32):
+                to = min(n, at + step)
+                who = np.concatenate([order[n - to : n - at, up][::-1], order[at:to, down]], 1)
+                what = np.concatenate([ranked[n - to : n - at, up][::-1] * q[up], ranked[at:to, down] * q[down]], 1)
+                gain += np.bincount(who.ravel(), (what - worst).ravel(), n)
+                seen[who, np.arange(len(used))] = True
+                lower = gain[left]
+                least = bar - floor
+                if len(lower) > k:
+                    least = max(least, np.partition(lower, len(lower) - k)[len(lower) - k])
+                left = left[lower + (~seen[left]) @ (what[-1] - worst) >= least]
+                at, step = to, 2 * step
+        score = self.scores(left, q)
+        first = np.lexsort((self.ids[left], -score.astype(float) if self.most < 2**20 else [-int(x) for x in score]))[:k]
+        return self.ids[left][first], score[first]
+
+
+def _search(k: int, held):
     @T.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = [(dim, np.frombuffer(i, "<i8"), np.frombuffer(v, "<i8").reshape(len(i) // 8, dim)) for dim, i, v in held.value]
+        #: By query, the best so far: ids and scores, the k-th last.
+        found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for dim, ids, v, qids, qv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, qids = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
-                v, qv = np.frombuffer(v, "<i8").reshape(len(ids), dim), np.frombuffer(qv, "<i8").reshape(len(qids), dim)
-                for name, who, score in block_top(ids, v, qids, qv, k):
-                    yield pa.record_batch({"query_id": np.full(len(who), name), "vec_id": who, "score": score.astype(np.int64)})
+            for dim, ids, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.frombuffer(ids, "<i8")
+                lists = Lists(ids, np.frombuffer(v, "<i8").reshape(len(ids), dim))
+                for b, (size, names, vectors) in enumerate(queries):
+                    if size != dim:
+                        continue
+                    for j, (name, q) in enumerate(zip(names.tolist(), vectors, strict=True)):
+                        have = found.get((b, j))
+                        bar = float(have[1][-1]) if have and len(have[1]) == k else -np.inf
+                        who, score = lists.best(name, q, k, bar)
+                        if have:
+                            who, score = np.concatenate([have[0], who]), np.concatenate([have[1], score])
+                            first = sorted(range(len(who)), key=lambda i: (-int(score[i]), int(who[i])))[:k]
+                            who, score = who[first], score[first]
+                        found[b, j] = who, score
+        for (b, j), (who, score) in found.items():
+            yield pa.record_batch({"query": pa.array([(b << 20) + j] * len(who), pa.int64()), "query_id": pa.array([int(queries[b][1][j])] * len(who), pa.int64()), "vec_id": who, "score": score})
 
     return run
 
@@ -112,18 +144,31 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
     Components become floor(scale * x). Vectors (and queries) that are null or hold null or non-finite components, and rows with
     a null id, take no part; a query meets vectors of its own length. Rows that repeat an id are rows of their own, and
-    a query never meets rows of its own id.
+    a query never meets rows of its own id. Components beyond 2^62 are held at it, and scores at the ends of 64 bits. Other columns are ignored.
     """
-    scratch = Scratch(vectors.sparkSession, "topk")
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "topk")
     schema = "dim int, ids binary, v binary"
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    asked = pick(queries).mapInArrow(_packed(QUERIES, scale), schema).withColumn("qb", F.monotonically_increasing_id())
-    asked = scratch.table(asked.select(F.col("dim"), F.col("ids").alias("qids"), F.col("v").alias("qv"), "qb"), "queries")
+    asked = scratch.table(pick(queries).mapInArrow(_packed(QUERIES, scale), schema).withColumn("qb", F.monotonically_increasing_id()), "queries")
     blocks = scratch.table(pick(vectors).mapInArrow(_packed(BLOCK, scale), schema).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    right = asked.withColumn("salt", salts)
-    left = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
-    met = left.join(right, ["dim", "salt"]).repartition("block", "qb").select("dim", "ids", "v", "qids", "qv")
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # a small table's blocks are dealt over the cores; more blocks than that stay in the tasks that read them
+    parts = min(blocks.count(), 2 * spark.sparkContext.defaultParallelism)
+    if blocks.rdd.getNumPartitions() < parts:
+        blocks = blocks.repartitionByRange(parts, "block")
+    rounds, size = [[]], 0
+    for qb, n in asked.select("qb", F.length("ids") + F.length("v")).orderBy("qb").collect():
+        if rounds[-1] and size + n > QUERY_BYTES:
+            rounds.append([])
+            size = 0
+        rounds[-1].append(qb)
+        size += n
+    found = None
+    for turn in rounds:
+        held = spark.sparkContext.broadcast([(r["dim"], bytes(r["ids"]), bytes(r["v"])) for r in asked.where(F.col("qb").isin(turn)).orderBy("qb").collect()] if turn else [])
+        part = scratch.table(blocks.select("dim", "ids", "v").mapInArrow(_search(k, held), "query long, query_id long, vec_id long, score long").withColumn("round", F.lit(len(scratch.made))), "found")
+        held.unpersist()
+        found = part if found is None else found.unionByName(part)
+    # rows that repeat a query's id are queries of their own
+    order = Window.partitionBy("round", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

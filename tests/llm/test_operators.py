@@ -304,9 +304,11 @@ def test_license_places(spark):
     assert license_scan.digest(license_scan.scan(frame(spark, []))).count() == 0
 
 
-def test_top_k_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("most", [32_000_000, 100])
+def test_top_k_against_all_pairs(spark, monkeypatch, most):
     monkeypatch.setattr(topk_search, "BLOCK", 150)
     monkeypatch.setattr(topk_search, "QUERIES", 3)
+    monkeypatch.setattr(topk_search, "QUERY_BYTES", most)
     r = np.random.default_rng(5)
     v = np.round(r.normal(size=(700, 6)), 1)
     v[100:400] = v[100]
@@ -321,3 +323,8 @@ def test_top_k_against_all_pairs(spark, monkeypatch):
         want += [(i, n + 1, int(j), int(s[j])) for n, j in enumerate(best)]
     assert got == want
     assert topk_search.top_k(df.where("false"), df.where("false")).count() == 0
+    # a repeated query is answered twice; huge components are exact or held at the ends of 64 bits
+    few = spark.createDataFrame([(1, [3.0e15, 1.0]), (1, [3.0e15, 1.0]), (2, [1.0e300, 0.0]), (3, [-2.0e3, 1.0]), (4, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk_search.top_k(few, few.where("vec_id in (1, 4)"), 2).collect())
+    a, b = 3 * 10**15 * 1024, 2**62
+    assert got == sorted([*[(1, 1, 2, 2**63 - 1), (1, 2, 4, min(2**63 - 1, a * 1024))] * 2, (4, 1, 2, 2**63 - 1 if b * 1024 > 2**63 - 1 else b * 1024), (4, 2, 1, a * 1024)])
