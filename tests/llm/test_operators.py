@@ -302,6 +302,12 @@ def test_license_places(spark):
     assert got[3]["n_base"] == 2 and got[3]["last_word"] == 4
     assert got[900]["n_words"] == 0 and got[903]["n_words"] == 30_000 and got[900]["score"] == 0.0
     assert license_scan.digest(license_scan.scan(frame(spark, []))).count() == 0
+    # every notice is found by its label, whatever words are rare; more anchors change nothing
+    whole = [(k, f"x {t.text.upper()} y") for k, t in enumerate(license_scan.TEMPLATES)]
+    for anchors in (1, 2, 4):
+        got = {x["doc_id"]: x for x in license_scan.digest(license_scan.scan(frame(spark, [*whole, *ODD]), anchors=anchors)).collect()}
+        assert all(t.label in got[k]["labels"].split(",") and got[k]["score"] == 1.0 for k, t in enumerate(license_scan.TEMPLATES))
+    assert len({t.label for t in license_scan.TEMPLATES}) >= 20
 
 
 @pytest.mark.parametrize("most", [32_000_000, 100])
