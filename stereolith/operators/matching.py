@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,11 +47,23 @@ def hamming_distance(a: Column, b: Column) -> Column:
     return sum((F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in range(1, 4)), F.bit_count(word(a, 0).bitwiseXOR(word(b, 0))))
 
 
+def is_binary(descriptors: DataFrame) -> bool:
+    """Whether the descriptors are bytes, whose distance is the number of differing bits, and not numbers."""
+    return dict(descriptors.dtypes)["descr"] == "binary"
+
+
+def bits(rows: Iterable[bytes]) -> np.ndarray:
+    """Descriptors of bytes as rows of zeros and ones."""
+    rows = list(rows)
+    return np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+
+
 def match_ratio_small(descriptors: DataFrame, pairs: DataFrame, ratio: float, max_dist: float) -> DataFrame:
-    """One-way ratio matches by a join of keypoints: for small frames and as the twin of the form by frames."""
+    """One-way ratio matches by a join of keypoints: for small frames and as the twin of the form by frames. Binary descriptors (32 bytes) are compared by differing bits."""
+    distance = hamming_distance if is_binary(descriptors) else l2_distance
     a = descriptors.select(F.col("frame_idx").alias("frame_a"), F.col("kp_idx").alias("kp_a"), F.col("descr").alias("da"))
     b = descriptors.select(F.col("frame_idx").alias("frame_b"), F.col("kp_idx").alias("kp_b"), F.col("descr").alias("db"))
-    d = pairs.join(a, "frame_a").join(b, "frame_b").select("frame_a", "kp_a", "frame_b", "kp_b", l2_distance(F.col("da"), F.col("db")).alias("distance"))
+    d = pairs.join(a, "frame_a").join(b, "frame_b").select("frame_a", "kp_a", "frame_b", "kp_b", distance(F.col("da"), F.col("db")).cast("double").alias("distance"))
     w = Window.partitionBy("frame_a", "frame_b", "kp_a").orderBy("distance", "kp_b")
     back = Window.partitionBy("frame_a", "frame_b", "kp_b").orderBy("distance", "kp_a")
     d = d.withColumns({"_r": F.row_number().over(w), "_d2": F.lead("distance").over(w), "_m": F.row_number().over(back)})
@@ -85,8 +97,10 @@ def _pair_matcher(ratio: float, max_dist: float, mutual: bool):
         for rows in batches:
             out = []
             for r in rows.itertuples(index=False):
-                x, y = np.stack(r.da).astype(float), np.stack(r.db).astype(float)
-                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
+                binary = isinstance(r.da[0], (bytes, bytearray))
+                x, y = (bits(r.da), bits(r.db)) if binary else (np.stack(r.da).astype(float), np.stack(r.db).astype(float))
+                d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0).astype(float)
+                d = d if binary else np.sqrt(d)
                 found = _ratio_rows(r.ka, r.kb, d, ratio, max_dist)
                 if mutual and min(len(x), len(y)) >= 2:
                     back = _ratio_rows(r.kb, r.ka, d.T, ratio, max_dist)
@@ -100,7 +114,7 @@ def _pair_matcher(ratio: float, max_dist: float, mutual: bool):
 def match(descriptors: DataFrame, pairs: DataFrame, ratio: float, max_dist: float, mutual: bool = False) -> DataFrame:
     """Ratio matches of frame pairs, one way or agreeing both ways (one way if either frame has fewer than two keypoints).
 
-    Frames travel as one row each and meet in joins on the frame, where skew (hub frames) can be split; distances are matrix
+    Descriptors are arrays of numbers (Euclidean distance) or bytes (differing bits). Frames travel as one row each and meet in joins on the frame, where skew (hub frames) can be split; distances are matrix
     products of a pair. No row per distance is ever made.
     """
     f = packed_frames(descriptors)

@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stereolith.operators.matching import bits, is_binary
+
 
 def train_vocabulary(descriptors: DataFrame, k: int | None = None, sample: int = 20_000, seed: int = 0) -> DataFrame | None:
     """(word, centroid) by k-means over at most ``sample`` descriptors (smallest md5 of seed and key); None with fewer than k.
 
-    k defaults to 40 sqrt(frames), within 400..1500.
+    k defaults to 40 sqrt(frames), within 400..1500. Binary descriptors are clustered by their bytes as numbers, and their centroids
+    are rounded to bytes.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -21,10 +24,14 @@ def train_vocabulary(descriptors: DataFrame, k: int | None = None, sample: int =
     if k is None:
         k = int(min(1500, max(400, 40 * descriptors.select("frame_idx").distinct().count() ** 0.5)))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), "frame_idx", "kp_idx"))
-    some = descriptors.orderBy(key, "frame_idx", "kp_idx").limit(sample).select(array_to_vector(F.col("descr").cast("array<double>")).alias("features")).persist()
+    binary = is_binary(descriptors)
+    numbers = F.transform(F.sequence(F.lit(1), F.octet_length("descr")), lambda i: F.conv(F.hex(F.substr("descr", i, F.lit(1))), 16, 10)) if binary else F.col("descr")
+    some = descriptors.orderBy(key, "frame_idx", "kp_idx").limit(sample).select(array_to_vector(numbers.cast("array<double>")).alias("features")).persist()
     if some.count() < k:
         return None
     centers = KMeans(k=k, seed=seed + 1, maxIter=20).fit(some).clusterCenters()
+    if binary:
+        return descriptors.sparkSession.createDataFrame([(i, bytearray(np.clip(np.rint(c), 0, 255).astype(np.uint8).tobytes())) for i, c in enumerate(centers)], "word int, centroid binary")
     return descriptors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "word int, centroid array<float>")
 
 
@@ -32,7 +39,8 @@ def _assigner(words: np.ndarray, centers: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c2 = (centers**2).sum(1)
         for batch in batches:
-            x = np.array(batch.column(2).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            rows = batch.column(2).to_pylist()
+            x = bits(rows) if rows and isinstance(rows[0], bytes) else np.array(rows, np.float64).reshape(batch.num_rows, -1)
             best = (c2[None, :] - 2 * x @ centers.T).argmin(1) if len(x) else np.zeros(0, int)
             yield pa.record_batch({"frame_idx": batch.column(0), "kp_idx": batch.column(1), "word": words[best].astype(np.int32)})
 
@@ -40,11 +48,11 @@ def _assigner(words: np.ndarray, centers: np.ndarray):
 
 
 def assign_words(descriptors: DataFrame, vocab: DataFrame, most: int = 4_000) -> DataFrame:
-    """(frame_idx, kp_idx, word): the nearest centroid, lowest word on ties. A vocabulary has ``most`` words at most, so it travels whole."""
+    """(frame_idx, kp_idx, word): the nearest centroid (of bytes, by differing bits), lowest word on ties. A vocabulary has ``most`` words at most, so it travels whole."""
     rows = vocab.orderBy("word").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a vocabulary of more than {most} words")
-    words, centers = np.array([r["word"] for r in rows]), np.array([r["centroid"] for r in rows], np.float64)
+    words, centers = np.array([r["word"] for r in rows]), bits(bytes(r["centroid"]) for r in rows) if rows and dict(vocab.dtypes)["centroid"] == "binary" else np.array([r["centroid"] for r in rows], np.float64)
     return descriptors.select("frame_idx", "kp_idx", "descr").mapInArrow(_assigner(words, centers), "frame_idx int, kp_idx int, word int")
 
 
@@ -70,13 +78,15 @@ def similarity(query: DataFrame, index: DataFrame, skip_recent: int, least: floa
     return met.where(F.col("score") >= least).select("frame_a", "frame_b", "score")
 
 
-def suppress_near(candidates: DataFrame, gap: int, k: int, pool: int = 1000) -> DataFrame:
+def suppress_near(candidates: DataFrame, gap: int, k: int) -> DataFrame:
     """(frame_a, frame_b, score): best first, one is kept if its index differs by more than ``gap`` from all kept, up to k.
 
-    A query's ``pool`` best are looked at, which is the bound of a row; fewer than k of them kept with more left raises no row.
+    A kept frame excludes 2 gap + 1 indices, itself included, so the best k (2 gap + 1) different frames of a query decide all. Of a
+    repeated pair the best score counts.
     """
     top = Window.partitionBy("frame_a").orderBy(F.desc("score"), "frame_b")
-    some = candidates.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= pool)
+    once = candidates.groupBy("frame_a", "frame_b").agg(F.max("score").alias("score"))
+    some = once.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k * (2 * int(gap) + 1))
     rows = some.groupBy("frame_a").agg(F.sort_array(F.collect_list(F.struct("_r", "frame_b", "score"))).alias("c"))
     start = F.slice("c", 1, 0)
     kept = F.aggregate("c", start, lambda acc, x: F.when((F.size(acc) < k) & ~F.exists(acc, lambda y: F.abs(y["frame_b"] - x["frame_b"]) <= gap), F.concat(acc, F.array(x))).otherwise(acc))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from stereolith.operators import dense as D
 from stereolith.operators import geometry as G
+from stereolith.operators import matching as M
 from stereolith.operators import reports as P
 from stereolith.operators import sampling as S
 from stereolith.plans.map_queries import CEN, rounded
 from stereolith.plans.registry import register
+from stereolith.plans.scratch import Scratch
 from stereolith.sources import listing as L
 from stereolith.sources.fixtures import table as t
 from stereolith.sources.fixtures import twin
@@ -328,3 +331,50 @@ def rp3_refine_triggers(spark, d):
     n = t(spark, d, "fx_obs").groupBy("frame_idx").agg(F.count("*").alias("n"))
     log = n.select("frame_idx", F.row_number().over(w).alias("frames"), F.sum("n").over(w).alias("points"), (F.col("frame_idx") * 7 % 60).alias("keyframes"))
     return P.refine_triggers(log).select("frame_idx", "refine")
+
+
+# images of 8 x 8 pixels, made of the 64 numbers of an embedding
+_PIXELS = ("px", "select cast(vec_id as int) as frame_idx, list_transform(embedding, lambda x: cast(floor(abs(x::double) * 1000) as int) % 256) as p from embeddings")
+
+
+def images(spark, d, channels):
+    value = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000).cast("int") % 256)
+    data = F.unhex(F.array_join(F.transform(value, lambda v: F.concat(*[F.lpad(F.hex((v + 85 * c) % 256), 2, "0") for c in range(channels)])), ""))
+    return t(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("frame_idx"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(channels).alias("nChannels"), data.alias("data"))
+
+
+@register(
+    twin(
+        """select frame_idx, round(var_pop(z) + 1e-5, 4) as sharpness from (select frame_idx, unnest(list_transform(range(0, 64), lambda i:
+  p[case when i // 8 = 0 then i + 9 else i - 7 end] + p[case when i // 8 = 7 then i - 7 else i + 9 end]
+  + p[case when i % 8 = 0 then i + 2 else i end] + p[case when i % 8 = 7 then i else i + 2 end] - 4 * p[i + 1])) as z from px) group by 1""",
+        _PIXELS,
+    )
+)
+def fs4_sharpness(spark, d):
+    # variances of whole numbers over 64 pixels often end in a 5, where engines round apart
+    return rounded(M.sharpness(images(spark, d, 1)).withColumn("sharpness", F.col("sharpness") + 1e-5), "sharpness", digits=4)
+
+
+@register(
+    twin(
+        """select frame_idx, k as kp_idx, (v + 170) % 256 as r, (v + 85) % 256 as g, v as b from (
+  select frame_idx, k, p[8 * least(greatest(cast(round((frame_idx * 3 + k * 29) % 90 / 10e0 - 0.37e0) as int), 0), 7) + least(greatest(cast(round((frame_idx * 7 + k * 13) % 90 / 10e0 - 0.42e0) as int), 0), 7) + 1] as v
+  from px, (select unnest(range(0, 3))::int as k))""",
+        _PIXELS,
+    )
+)
+def ma13_sample_colors(spark, d):
+    at = lambda a, b, less: (F.col("frame_idx") * a + F.col("kp_idx") * b) % 90 / F.lit(10.0) - less
+    frames = images(spark, d, 3)
+    points = frames.select("frame_idx", F.explode(F.array(*map(F.lit, range(3)))).alias("kp_idx"))
+    return M.sample_colors(points.withColumns({"u": at(7, 13, 0.42), "v": at(3, 29, 0.37)}), frames)
+
+
+@register(twin("select count(*) as points, sum(r)::bigint as r, sum(g)::bigint as g, sum(b)::bigint as b, round(sum(x::float::double), 2) as x, round(sum(y::float::double), 2) as y, round(sum(z::float::double), 2) as z from fx_dense"))
+def io5_write_ply(spark, d):
+    at = Scratch(spark, "ply").path("cloud.ply")
+    fs.FileSystem.from_uri(at)[0].create_dir(fs.FileSystem.from_uri(at.rsplit("/", 1)[0])[1], recursive=True)
+    L.write_ply(t(spark, d, "fx_dense"), at)
+    v = L.read_ply(spark, at)
+    return rounded(v.agg(F.count("*").alias("points"), *[F.sum(c).cast("long").alias(c) for c in "rgb"], *[F.sum(F.col(c).cast("double")).alias(c) for c in "xyz"]), "x", "y", "z", digits=2)

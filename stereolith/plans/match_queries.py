@@ -66,6 +66,21 @@ def ma4_match_ratio_small(spark, d):
     return rounded(M.match_ratio_small(t(spark, d, "fx_kps"), frame_pairs(spark, d), RATIO, MOST), "distance", digits=5)
 
 
+# 32 bytes a part, of which 60 of every 128 bits carry a digest: what a signed literal of the twin can hold
+_BITS = ("bts", "select cast(p_partkey % 50 as int) as frame_idx, cast(p_partkey as int) as kp_idx, cast('0x' || substr(md5(p_name), 1, 15) as bigint) as lo, cast('0x' || substr(md5(p_name), 17, 15) as bigint) as hi from part")
+_BIT_DIST = ("bdst", "select a.frame_idx as frame_a, a.kp_idx as kp_a, b.frame_idx as frame_b, b.kp_idx as kp_b, bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) + 0e0 as distance from bts a join bts b on b.frame_idx = a.frame_idx + 1")
+
+
+def binary_kps(spark, d):
+    half = lambda at: F.concat(F.lit("0"), F.substring(F.md5("p_name"), at, 15))
+    return t(spark, d, "part").select((F.col("p_partkey") % 50).cast("int").alias("frame_idx"), F.col("p_partkey").cast("int").alias("kp_idx"), F.unhex(F.concat(half(1), half(17), F.repeat(F.lit("0"), 32))).alias("descr"))
+
+
+@register(twin(f"select frame_a, kp_a, frame_b, kp_b, distance from (select *, row_number() over w as r, lead(distance) over w as d2 from bdst window w as (partition by frame_a, frame_b, kp_a order by distance, kp_b)) where r = 1 and distance < {RATIO}e0 * d2 and distance < 60e0", _BITS, _BIT_DIST))
+def ma4_match_hamming(spark, d):
+    return M.match(binary_kps(spark, d), M.neighbour_pairs(binary_kps(spark, d).select("frame_idx").distinct(), 1), RATIO, 60.0)
+
+
 @register(twin("select frame_a, kp_a, frame_b, kp_b, round(distance, 5) as distance from one join two using (frame_a, kp_a, frame_b, kp_b)", _PAIRS, _DIST, _ONE, _TWO))
 def ma5_match_mutual(spark, d):
     return rounded(M.match(t(spark, d, "fx_kps"), frame_pairs(spark, d), RATIO, MOST, mutual=True), "distance", digits=5)

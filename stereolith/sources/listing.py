@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,11 +106,31 @@ def ply_parts(cloud: DataFrame) -> tuple[bytes, DataFrame]:
 
 
 def write_ply(cloud: DataFrame, path: str) -> None:
-    """A table of ``path/header`` and ``path/body``: the file is the header and then the bodies in any order."""
+    """The cloud as one binary PLY file at ``path`` (a URI or a local path), its parts streamed one after another in any order.
+
+    A file is for a viewer: give it a cloud that ``dense.cap_points`` has bounded.
+    """
     head, body = ply_parts(cloud)
-    spark = cloud.sparkSession
-    spark.createDataFrame([(bytearray(head),)], "body binary").write.parquet(f"{path}/header")
-    body.write.parquet(f"{path}/body")
+    store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    with store.open_output_stream(at) as out:
+        out.write(head)
+        for row in body.select("body").toLocalIterator():
+            out.write(bytes(row["body"]))
+
+
+def read_ply(spark: SparkSession, path: str) -> DataFrame:
+    """The vertices of files that ``write_ply`` made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                head, _, body = data.partition(b"end_header\n")
+                names = [x.split()[2] for x in head.decode().splitlines() if x.startswith("property")]
+                rows = np.frombuffer(body, [(n, "<f4" if n in "xyz" else "u1") for n in names])
+                none = np.zeros(len(rows), np.int32)
+                yield pa.record_batch({**{c: rows[c].astype(np.float32) for c in "xyz"}, **{c: rows[n].astype(np.int32) if n in names else pa.array(none, mask=none == 0) for c, n in (("r", "red"), ("g", "green"), ("b", "blue"))}})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "x float, y float, z float, r int, g int, b int")
 
 
 def pending_pairs(pairs: DataFrame, done: DataFrame, fingerprint: str) -> DataFrame:
