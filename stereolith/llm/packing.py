@@ -34,7 +34,7 @@ LOOSE, SHRINK = 0.02, 0.5
 #: Texts with other characters go through the tokenizer whole.
 _RARE = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\\|")
 _PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_CACHE = 200_000
+_CACHE = 350_000
 
 
 class Parts(dict):
