@@ -28,6 +28,8 @@ from stereolith.plans.scratch import Scratch
 
 SHINGLE = 5
 PERCENT = 80
+#: Bytes of text that are shingled at a time, at most: the arrays of a run take some twenty times as much.
+RUN = 1_000_000
 #: Size classes by their exponent; items of the first are signed by all their shingles.
 CLASSES = range(4, 13)
 
@@ -83,7 +85,7 @@ def _marked(h: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 def _shingles(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, shingles in order, row, place, marked) of runs of documents that hold a marked shingle."""
-    for batch in (b.slice(at, end - at) for b in batches for at, end in T.runs(b.column(1))):
+    for batch in (b.slice(at, end - at) for b in batches for at, end in T.runs(b.column(1), RUN)):
         w = T.words(batch.column(1), T.ALNUM)
         g, first = T.grams(w.h, w.first, SHINGLE, short=True)
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
