@@ -182,13 +182,21 @@ def visibility_score(keypoints: DataFrame, width: int, height: int, levels: int
     return rows.groupBy("frame_idx", "dim").agg(F.count("*").alias("n")).groupBy("frame_idx").agg(F.sum(F.col("n") * F.col("dim") * F.col("dim")).cast("long").alias("score"))
 
 
-def next_frames(candidates: DataFrame, registered: DataFrame, visible: DataFrame, width: int, height: int, near: int = 3) -> DataFrame:
-    """(frame_idx, score, rank): candidates within ``near`` of a registered frame, by the score of their visible keypoints."""
+def next_frames(candidates: DataFrame, registered: DataFrame, visible: DataFrame, width: int, height: int, near: int = 3, seeds: tuple[int, ...] = ()) -> DataFrame:
+    """(frame_idx, score, rank): candidates within ``near`` of a registered frame, by the score of their visible keypoints.
+
+    If there is none, all candidates by their distance to the nearest of ``seeds`` (the frames of the first pair), with score 0.
+    """
+    candidates = candidates.select("frame_idx")
     offsets = registered.select(F.explode(F.sequence(F.col("frame_idx") - near, F.col("frame_idx") + near)).alias("frame_idx")).distinct()
-    some = candidates.select("frame_idx").join(offsets, "frame_idx", "left_semi")
+    some = candidates.join(offsets, "frame_idx", "left_semi")
     s = visibility_score(visible.join(some, "frame_idx", "left_semi"), width, height)
-    met = some.join(s, "frame_idx", "left").select("frame_idx", F.coalesce("score", F.lit(0)).cast("long").alias("score"))
-    return met.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "frame_idx")))
+    met = some.join(s, "frame_idx", "left").select("frame_idx", F.coalesce("score", F.lit(0)).cast("long").alias("score"), F.lit(0).alias("_way"))
+    if seeds:
+        none = some.agg(F.count("*").alias("_n")).where("_n = 0")
+        way = F.array_min(F.array(*[F.abs(F.col("frame_idx") - s) for s in seeds]))
+        met = met.unionByName(candidates.crossJoin(F.broadcast(none)).select("frame_idx", F.lit(0).cast("long").alias("score"), way.cast("int").alias("_way")))
+    return met.withColumn("rank", F.row_number().over(Window.orderBy("_way", F.desc("score"), "frame_idx"))).drop("_way")
 
 
 def nearest_registered(frames: DataFrame) -> DataFrame:

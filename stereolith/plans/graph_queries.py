@@ -72,23 +72,6 @@ def cv4_keyframe_decision(spark, d):
     return C.keyframe_decision(pairs, poses, G.scene_scale(poses))
 
 
-_MANY = "select distinct point_id, f as frame_idx from (select point_id, unnest([frame_idx, frame_idx + 1, case when point_id % 5 = 0 then frame_idx + 2 else frame_idx + 1 end]) as f from fx_obs where frame_idx % 3 = 0) where f <= 45"
-
-
-@register(
-    twin(
-        """select distinct frame_b as frame_idx from (select a.frame_idx as frame_a, b.frame_idx as frame_b, count(*) as n from m a join m b on a.point_id = b.point_id and a.frame_idx < b.frame_idx where a.frame_idx in (select * from recent) and b.frame_idx in (select * from recent) group by 1, 2)
-join (select frame_idx as frame_a, count(*) as sa from m group by 1) using (frame_a) join (select frame_idx as frame_b, count(*) as sb from m group by 1) using (frame_b) where n::double / least(sa, sb) > 0.8e0""",
-        ("m", _MANY), ("recent", "select frame_idx from (select frame_idx, row_number() over (order by frame_idx desc) as r from (select distinct frame_idx from m)) where r between 2 and 10"),
-    )
-)
-def cv5_cull_keyframes(spark, d):
-    obs = t(spark, d, "fx_obs").where("frame_idx % 3 = 0")
-    f = F.col("frame_idx")
-    many = obs.select("point_id", F.explode(F.array(f, f + 1, F.when(F.col("point_id") % 5 == 0, f + 2).otherwise(f + 1))).alias("frame_idx")).where("frame_idx <= 45").distinct()
-    return C.cull_keyframes(many, many.select("frame_idx").distinct())
-
-
 # every frame stands for three keyframes that see the same points
 _THREE = "select distinct point_id, f as frame_idx from (select point_id, unnest([frame_idx * 3, frame_idx * 3 + 1, case when point_id % 5 = 0 then frame_idx * 3 + 2 else frame_idx * 3 + 1 end]) as f from fx_obs)"
 
@@ -100,7 +83,7 @@ join (select frame_idx as frame_a, count(*) as sa from m group by 1) using (fram
         ("m", _THREE), ("recent", "select frame_idx from (select frame_idx, row_number() over (order by frame_idx desc) as r from (select distinct frame_idx from m)) where r between 2 and 10"),
     )
 )
-def cv5_cull_keyframes_whole(spark, d):
+def cv5_cull_keyframes(spark, d):
     f = F.col("frame_idx") * 3
     many = t(spark, d, "fx_obs").select("point_id", F.explode(F.array(f, f + 1, F.when(F.col("point_id") % 5 == 0, f + 2).otherwise(f + 1))).alias("frame_idx")).distinct()
     return C.cull_keyframes(many, many.select("frame_idx").distinct())
@@ -139,42 +122,34 @@ def recursive(sql: str) -> str:
         twin(
             """select cast(node as int) as frame_idx, component, size, coalesce(component <> main and size >= 2 and size <= greatest(2, cast(trunc(0.1e0*most) as int)) and size < mid, false) as odd
 from comp join (select component, count(*) as size from comp group by 1) using (component), (select component as main, count(*) as most from comp group by 1 order by 2 desc, 1 limit 1), (select median(size) as mid from (select count(*) as size from comp group by component) where size >= 2)""",
-            COV, ("edge", "select frame_a::bigint as a, frame_b::bigint as b from cov where n >= 8 and (frame_b - frame_a = 1 and frame_a % 9 > 1 or frame_a < 50 and frame_b < 50)"), *_components("edge"),
+            COV, ("edge", "select frame_a::bigint as a, frame_b::bigint as b from cov where n >= 8"), *_components("edge"),
         )
     )
 )
 def cv8_anomaly_blocks(spark, d):
-    some = covis(spark, d).where("frame_b - frame_a = 1 and frame_a % 9 > 1 or frame_a < 50 and frame_b < 50")
-    return C.anomaly_blocks(some, 8).withColumn("odd", F.coalesce("odd", F.lit(False)))
-
-
-# no twin, as for tr1_build_tracks_whole
-@register()
-def cv8_anomaly_blocks_whole(spark, d):
     return C.anomaly_blocks(covis(spark, d), 8).withColumn("odd", F.coalesce("odd", F.lit(False)))
 
 
 EA = ("ea", "select e.frame_a, e.frame_b, degrees(acos(greatest(-1e0, least(1e0, (" + " + ".join(f"e.r{i}{j}*({' + '.join(f'b.r{i}{k}*a.r{j}{k}' for k in range(3))})" for i in range(3) for j in range(3)) + " - 1) / 2)))) as angle from fx_rot_edges e join fx_poses a on a.frame_idx = e.frame_a join fx_poses b on b.frame_idx = e.frame_b")
 
 
-@register(twin("select frame_idx, count(*) as edges, round(min(angle), 4) as least from (select frame_a as frame_idx, angle from ea where frame_a % 2 = 0 union all select frame_b, angle from ea where frame_a % 2 = 0) group by 1 having count(*) >= 1 and min(angle) > 5", EA))
+# every frame stands for two, of which one has the edge before it and the other the edge behind it
+@register(twin("select frame_idx, count(*) as edges, round(min(angle), 4) as least from (select frame_a * 2 as frame_idx, angle from ea union all select frame_b * 2 + 1, angle from ea) group by 1 having count(*) >= 1 and min(angle) > 5", EA))
 def cv9_pose_outliers(spark, d):
-    return rounded(C.pose_outliers(t(spark, d, "fx_rot_edges").where("frame_a % 2 = 0"), t(spark, d, "fx_poses"), 5.0, least_edges=1), "least", digits=4)
+    f, poses = F.col("frame_idx") * 2, t(spark, d, "fx_poses")
+    edges = t(spark, d, "fx_rot_edges").withColumns({"frame_a": F.col("frame_a") * 2, "frame_b": F.col("frame_b") * 2 + 1})
+    both = poses.withColumn("frame_idx", F.explode(F.array(f, f + 1)))
+    return rounded(C.pose_outliers(edges, both, 5.0, least_edges=1), "least", digits=4)
 
 
-@register(twin("select frame_idx, count(*) as edges, round(min(angle), 4) as least from (select frame_a as frame_idx, angle from ea union all select frame_b, angle from ea) group by 1 having count(*) >= 1 and min(angle) > 5", EA))
-def cv9_pose_outliers_whole(spark, d):
-    return rounded(C.pose_outliers(t(spark, d, "fx_rot_edges"), t(spark, d, "fx_poses"), 5.0, least_edges=1), "least", digits=4)
+# nine frames in a row, then a gap of eight
+_GAPS = "select frame_idx + cast(floor(frame_idx / 9) as int) * 7 as frame_idx from fx_poses"
 
 
-@register(twin("select frame_idx as frame_a, nxt as frame_b from (select frame_idx, lead(frame_idx) over (order by frame_idx) as nxt from fx_poses where frame_idx % 9 < 2) where nxt - frame_idx <= 6"))
+@register(twin("select frame_idx as frame_a, nxt as frame_b from (select frame_idx, lead(frame_idx) over (order by frame_idx) as nxt from g) where nxt - frame_idx <= 6", ("g", _GAPS)))
 def cv10_rotation_edges(spark, d):
-    return C.rotation_edges(t(spark, d, "fx_poses").where("frame_idx % 9 < 2"))
-
-
-@register(twin("select frame_idx as frame_a, nxt as frame_b from (select frame_idx, lead(frame_idx) over (order by frame_idx) as nxt from fx_poses) where nxt - frame_idx <= 6"))
-def cv10_rotation_edges_whole(spark, d):
-    return C.rotation_edges(t(spark, d, "fx_poses"))
+    f = F.col("frame_idx")
+    return C.rotation_edges(t(spark, d, "fx_poses").withColumn("frame_idx", f + F.floor(f / 9).cast("int") * 7))
 
 
 @register(recursive(twin("select frame_a, frame_b, round(angle, 3) + 0e0 as angle from ea where angle <= 5 and frame_a in (select node from comp where component = (select component from comp group by 1 order by count(*) desc, 1 limit 1))", EA, ("edge", "select frame_a::bigint as a, frame_b::bigint as b from ea where angle <= 5"), *_components("edge"))))

@@ -155,17 +155,11 @@ def ma12_select_seed_pair(spark, d):
     return M.select_seed_pair(m).select("frame_a", "frame_b", "score", "round")
 
 
-_NODES = ("edge", "select frame_a::bigint * 4294967296 + kp_a as a, frame_b::bigint * 4294967296 + kp_b as b from fx_matches where frame_a <= 12 and frame_b <= 12")
+_NODES = ("edge", "select frame_a::bigint * 4294967296 + kp_a as a, frame_b::bigint * 4294967296 + kp_b as b from fx_matches")
 
 
 @register(recursive(twin("select component as point_id, cast(node // 4294967296 as int) as frame_idx, cast(node % 4294967296 as bigint) as kp_idx from comp where component not in (select component from comp group by component, node // 4294967296 having count(*) > 1)", _NODES, *_components("edge"))))
 def tr1_build_tracks(spark, d):
-    return K.build_tracks(t(spark, d, "fx_matches").where("frame_a <= 12 and frame_b <= 12"))
-
-
-# over all frames the transitive closure of a twin is too slow; tests/test_whole.py holds it against plain union-find
-@register()
-def tr1_build_tracks_whole(spark, d):
     return K.build_tracks(t(spark, d, "fx_matches"))
 
 
@@ -251,11 +245,22 @@ def tr13_reassign_observations(spark, d):
     return K.reassign_observations(t(spark, d, "fx_obs"), t(spark, d, "fx_points"), t(spark, d, "fx_poses"), 12.0)
 
 
-@register()
+@register(
+    recursive(
+        twin(
+            "select point_id, arg_max(who, r) as kp_idx from walk group by 1",
+            ("rk", "select point_id, kp_idx, embedding as descr, row_number() over (partition by point_id order by frame_idx, kp_idx) as r from fx_obs, (select count(*) as n from embeddings) join embeddings on vec_id = kp_idx % n"),
+            ("walk(point_id, r, who, now, age)", """select point_id, r, kp_idx, descr, 0 from rk where r = 1
+  union all select point_id, r, case when fresh then kp_idx else who end, case when fresh then descr else now end, case when fresh then 0 else age + 1 end from (
+    select k.*, w.who, w.now, w.age, k.r <= 3 or w.age > 5 or sqrt(list_sum(list_transform(range(1, len(k.descr) + 1), lambda i: power(k.descr[i]::double - w.now[i]::double, 2)))) >= 1.08e0 as fresh
+    from walk w join rk k on k.point_id = w.point_id and k.r = w.r + 1)"""),
+        )
+    )
+)
 def tr17_representative_descriptor(spark, d):
-    e = t(spark, d, "embeddings").select((F.col("vec_id") % 64).alias("j"), F.col("embedding").alias("descr")).where("vec_id < 64")
-    o = t(spark, d, "fx_obs").withColumn("j", F.col("kp_idx") % 64).join(F.broadcast(e), "j")
-    return K.representative_descriptor(o, 0.9)
+    e = t(spark, d, "embeddings")
+    o = t(spark, d, "fx_obs").crossJoin(F.broadcast(e.agg(F.count("*").alias("n")))).withColumn("vec_id", F.col("kp_idx") % F.col("n"))
+    return K.representative_descriptor(o.join(e.select("vec_id", F.col("embedding").alias("descr")), "vec_id"), 0.9)
 
 
 @register()

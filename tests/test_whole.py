@@ -34,7 +34,7 @@ def test_tracks_of_all_frames(spark):
     comp = joined([((r[0] << 32) + r[1], (r[2] << 32) + r[3]) for r in m])
     twice = {c for (c, _), n in Counter((c, x >> 32) for x, c in comp.items()).items() if n > 1}
     want = sorted((c, x >> 32, x & (1 << 32) - 1) for x, c in comp.items() if c not in twice)
-    got = sorted(tuple(r[n] for n in ("point_id", "frame_idx", "kp_idx")) for r in queries.QUERIES["tr1_build_tracks_whole"](spark, SF).collect())
+    got = sorted(tuple(r[n] for n in ("point_id", "frame_idx", "kp_idx")) for r in queries.QUERIES["tr1_build_tracks"](spark, SF).collect())
     assert got == want and max(r[1] for r in got) > 12
 
 
@@ -42,22 +42,50 @@ def test_blocks_of_all_edges(spark):
     edges = queries.QUERIES["cv1_covisibility"](spark, SF).where("n >= 8").collect()
     comp = joined([(r["frame_a"], r["frame_b"]) for r in edges])
     size = Counter(comp.values())
-    got = {r["frame_idx"]: (r["component"], r["size"]) for r in queries.QUERIES["cv8_anomaly_blocks_whole"](spark, SF).collect()}
+    got = {r["frame_idx"]: (r["component"], r["size"]) for r in queries.QUERIES["cv8_anomaly_blocks"](spark, SF).collect()}
     assert got == {x: (c, size[c]) for x, c in comp.items()}
 
 
-@pytest.mark.parametrize("name", ["cv5_cull_keyframes_whole", "cv9_pose_outliers_whole", "cv10_rotation_edges_whole", "tr10_project_candidates_whole"])
+@pytest.mark.parametrize("name", ["tr1_build_tracks", "tr17_representative_descriptor", "cv5_cull_keyframes", "cv8_anomaly_blocks", "cv9_pose_outliers", "cv10_rotation_edges", "tr10_project_candidates_whole"])
 def test_twin_over_all_frames(spark, name):
     df = queries.QUERIES[name](spark, SF)
-    # with both of its edges no frame is off in all of them, so cv9 has no row here
-    assert df.count() or name == "cv9_pose_outliers_whole"
+    assert df.count()
     same(df, queries.SQL[name], connect(SF))
 
 
+def test_next_frames_go_by_the_seeds_where_none_is_near(spark):
+    from stereolith.operators.covis import next_frames
+
+    frames = lambda *ids: spark.createDataFrame([(i,) for i in ids], "frame_idx int")
+    seen = spark.createDataFrame([(41, 10.0, 10.0), (42, 10.0, 10.0), (42, 900.0, 500.0)], "frame_idx int, u double, v double")
+    order = lambda reg, **k: [(r["frame_idx"], r["score"]) for r in next_frames(frames(41, 42, 70, 95), reg, seen, 1280, 720, **k).orderBy("rank").collect()]
+    near = order(frames(40), seeds=(60, 90))
+    assert [x[0] for x in near] == [42, 41] and near == order(frames(40))
+    assert order(frames(1), seeds=(60, 90)) == [(95, 0), (70, 0), (42, 0), (41, 0)]
+    assert order(frames(1)) == []
+
+
+def test_descriptors_of_bytes_stand_for_points(spark):
+    from stereolith.operators.tracks import representative_descriptor
+
+    byte = lambda *ones: bytearray(ones + (0,) * (32 - len(ones)))
+    rows = [(7, f, 100 + f, byte(d)) for f, d in enumerate([0, 1, 3, 3, 255, 255, 255])] + [(8, 0, 5, byte(1))]
+    got = representative_descriptor(spark.createDataFrame(rows, "point_id long, frame_idx int, kp_idx long, descr binary"), 5.0)
+    assert sorted(map(tuple, got.collect())) == [(7, 104), (8, 5)]
+
+
 def test_free_keypoints_of_all_frames(spark):
     rows = queries.QUERIES["tr10_assign_candidates"](spark, SF).collect()
+    offers = sorted(queries.QUERIES["tr10_project_candidates_whole"](spark, SF).collect(), key=lambda r: (r["frame_idx"], r["point_id"], r["distance"], r["kp_idx"]))
+    points, kps, want = set(), set(), []
+    for r in offers:
+        f = r["frame_idx"]
+        if (f, r["point_id"]) not in points and (f, r["kp_idx"]) not in kps:
+            points.add((f, r["point_id"]))
+            kps.add((f, r["kp_idx"]))
+            want.append((f, r["point_id"], r["kp_idx"]))
     assert any(r["frame_idx"] % 10 for r in rows)
-    assert len({(r["frame_idx"], r["kp_idx"]) for r in rows}) == len({(r["frame_idx"], r["point_id"]) for r in rows}) == len(rows)
+    assert sorted((r["frame_idx"], r["point_id"], r["kp_idx"]) for r in rows) == sorted(want)
 
 
 def test_refinement_takes_all_frames(spark):
