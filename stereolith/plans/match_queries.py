@@ -9,7 +9,7 @@ from stereolith.operators import matching as M
 from stereolith.operators import quality as Q
 from stereolith.operators import register as X
 from stereolith.operators import tracks as K
-from stereolith.plans.graph_queries import _components, recursive
+from stereolith.plans.graph_queries import BOTH, COV, _components, covis, recursive
 from stereolith.plans.map_queries import RES, rounded
 from stereolith.plans.registry import register
 from stereolith.sources.fixtures import table as t
@@ -315,6 +315,18 @@ def rg2_correspondences(spark, d):
     return rounded(rounded(out, "u", digits=5), "x")
 
 
+@register(
+    twin(
+        """select frame_a as frame_idx, frame_b as f from (select *, row_number() over (partition by frame_a order by n desc, frame_b) as r from bothw where frame_a % 5 = 0 and frame_b % 5 <> 0) where r <= 20
+union all select frame_idx, f from fx_poses, (select frame_idx as f from fx_poses where frame_idx % 5 <> 0 order by 1 desc limit 20) where frame_idx % 5 = 0 and frame_idx not in (select frame_a from bothw where frame_b % 5 <> 0)""",
+        COV, BOTH,
+    )
+)
+def rg2_choose_neighbours(spark, d):
+    _, _, poses, lost = _lost(spark, d)
+    return X.choose_neighbours(lost, covis(spark, d), poses.where("frame_idx % 5 <> 0"))
+
+
 @register()
 def rg1_resect(spark, d):
     return X.resect(correspondences(spark, d))

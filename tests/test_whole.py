@@ -88,6 +88,47 @@ def test_free_keypoints_of_all_frames(spark):
     assert sorted((r["frame_idx"], r["point_id"], r["kp_idx"]) for r in rows) == sorted(want)
 
 
+def test_neighbours_of_lost_frames(spark):
+    from stereolith.operators import register as X
+
+    make = lambda rows, kind: spark.createDataFrame(rows, kind)
+    posed = make([(i,) for i in range(8)], "frame_idx int")
+    lost = make([(10,), (11,)], "frame_idx int")
+    covis = make([(1, 10, 5), (2, 10, 9), (3, 10, 9), (10, 11, 50), (4, 5, 70)], "frame_a int, frame_b int, n long")
+    similar = make([(10, 6, 0.5), (11, 0, 0.4), (11, 1, 0.05)], "frame_a int, frame_b int, score double")
+    near = X.choose_neighbours(lost, covis, posed, similar, most=2)
+    assert sorted(map(tuple, near.collect())) == [(10, 2), (10, 3), (10, 6), (11, 0), (11, 6), (11, 7)]
+    # frame 10 meets three points by way of its neighbour 2; frame 11 none by its own, but two by way of frame 5
+    obs = make([(100 + k, 2, k) for k in range(3)] + [(200 + k, 5, k) for k in range(2)], "point_id long, frame_idx int, kp_idx long")
+    points = make([(100 + k, 1.0, 2.0, 3.0) for k in range(3)] + [(200 + k, 1.0, 2.0, 3.0) for k in range(2)], "point_id long, x double, y double, z double")
+    matches = make([(2, k, 10, 20 + k) for k in range(3)] + [(5, k, 11, 30 + k) for k in range(2)] + [(5, 0, 10, 29)], "frame_a int, kp_a long, frame_b int, kp_b long")
+    kps = make([(10, 20 + k, 0.0, 0.0) for k in range(10)] + [(11, 30 + k, 0.0, 0.0) for k in range(2)], "frame_idx int, kp_idx long, u double, v double")
+    found = lambda df: sorted((r["frame_idx"], r["kp_idx"], r["point_id"]) for r in df.collect())
+    ten, eleven = [(10, 20 + k, 100 + k) for k in range(3)], [(11, 30 + k, 200 + k) for k in range(2)]
+    assert found(X.neighbour_correspondences(matches, obs, points, lost, kps, near, posed, enough=3)) == ten + eleven
+    # under ``enough`` frame 10 takes the last frames too, as these give it one more
+    assert found(X.neighbour_correspondences(matches, obs, points, lost, kps, near, posed, enough=4)) == ten + [(10, 29, 200)] + eleven
+    assert found(X.neighbour_correspondences(matches, obs, points, lost, kps, near, posed, enough=3, last=2)) == ten
+
+
+def test_merged_points_of_one_place(spark):
+    from stereolith.operators import tracks as K
+
+    poses = t(spark, SF, "fx_poses").where("frame_idx in (40, 50, 60)")
+    p = spark.createDataFrame([(1, 0.0, 0.0, 12.0), (2, 0.001, 0.0, 12.0), (3, 1.0, 1.0, 12.0), (4, 1.05, 1.0, 12.0), (5, -1.0, 0.0, 12.0)], "point_id long, x double, y double, z double")
+    from stereolith.operators.geometry import in_camera
+
+    x, y, z = in_camera()
+    who = spark.createDataFrame([(1, 40), (1, 50), (2, 60), (3, 40), (4, 50), (4, 60), (5, 40)], "point_id long, frame_idx int")
+    obs = who.join(p, "point_id").join(poses, "frame_idx").select("point_id", "frame_idx", "point_id", (1000 * x / z + 640).alias("u"), (1000 * y / z + 360).alias("v"))
+    obs = obs.toDF("point_id", "frame_idx", "kp_idx", "u", "v")
+    got = {r["point_id"]: (r["into"], round(r["x"], 6)) for r in K.merge_points(p, obs, poses, 0.06).collect()}
+    # 1 and 2 are one place; the mean of 3 and 4 lies over 1 pixel off in all frames, so at a tight limit they stay apart
+    assert got[1] == got[2] == (1, round(0.001 / 3, 6)) and got[5] == (5, -1.0) and got[3] == got[4] == (4, round((1.0 + 2 * 1.05) / 3, 6))
+    tight = {r["point_id"]: (r["into"], round(r["x"], 6)) for r in K.merge_points(p, obs, poses, 0.06, pixels=0.5).collect()}
+    assert tight[3] == (3, 1.0) and tight[4] == (4, 1.05) and tight[1] == tight[2] == got[1]
+
+
 def test_refinement_takes_all_frames(spark):
     from stereolith.plans import match_queries as m
 
