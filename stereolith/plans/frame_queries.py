@@ -193,10 +193,10 @@ def io3_exif_focal(spark, d):
     return rounded(L.exif_focal(p).select("id", "exif_focal", "start_focal"), "exif_focal", "start_focal", digits=4)
 
 
-@register(twin("select g.frame_idx, " + ", ".join(f"round(case when g.frame_idx % 6 <> 0 then p.{c} end, 6) + 0e0 as {c}" for c in G.POSE) + " from (select cast(unnest(range(1, 151)) as int) as frame_idx) g left join (select * from fx_poses where frame_idx < 90) p on p.frame_idx = g.frame_idx"))
+@register(twin("select g.frame_idx, " + ", ".join(f"round(case when g.frame_idx % 6 <> 0 then p.{c} end, 6) + 0e0 as {c}" for c in G.POSE) + " from (select distinct unnest([frame_idx, frame_idx + 50]) as frame_idx from fx_poses) g left join fx_poses p on p.frame_idx = g.frame_idx"))
 def io4_pose_rows(spark, d):
-    p = t(spark, d, "fx_poses").where("frame_idx < 90").withColumn("t1", F.when(F.col("frame_idx") % 6 == 0, float("nan")).otherwise(F.col("t1")))
-    return rounded(L.pose_rows(p, spark.range(1, 151).select(F.col("id").cast("int").alias("frame_idx"))), *G.POSE)
+    p = t(spark, d, "fx_poses").withColumn("t1", F.when(F.col("frame_idx") % 6 == 0, float("nan")).otherwise(F.col("t1")))
+    return rounded(L.pose_rows(p, p.select(F.explode(F.array(F.col("frame_idx"), F.col("frame_idx") + 50)).alias("frame_idx")).distinct()), *G.POSE)
 
 
 _Q = ("quat", """select frame_idx, t0, t1, t2, (r21-r12)/s/n as qx, (r02-r20)/s/n as qy, (r10-r01)/s/n as qz, s/4/n as qw from (select *, sqrt(power((r21-r12)/s,2)+power((r02-r20)/s,2)+power((r10-r01)/s,2)+s*s/16)+1e-12 as n from (select *, sqrt(r00+r11+r22+1)*2 as s from fx_poses))""")

@@ -124,18 +124,14 @@ def ma8_shortlist_pairs(spark, d):
     return M.shortlist_pairs(spark.sql(_SHORT, cov=covisibility(t(spark, d, "fx_obs"))), top=30)
 
 
-def _few_matches(spark, d):
-    return t(spark, d, "fx_matches").where("frame_b = frame_a + 1")
-
-
 @register()
 def ma9_verify_pairs(spark, d):
-    return M.verify_pairs(_few_matches(spark, d), min_inliers=8, tries=300).groupBy("frame_a", "frame_b", "model").agg(F.count("*").alias("matches"), F.sum(F.col("inlier").cast("long")).alias("inliers"))
+    return M.verify_pairs(t(spark, d, "fx_matches"), min_inliers=8, tries=300).groupBy("frame_a", "frame_b", "model").agg(F.count("*").alias("matches"), F.sum(F.col("inlier").cast("long")).alias("inliers"))
 
 
 @register()
 def ma10_relative_rotation(spark, d):
-    return M.relative_rotation(_few_matches(spark, d), tries=300).select("frame_a", "frame_b", "n")
+    return M.relative_rotation(t(spark, d, "fx_matches"), tries=300).select("frame_a", "frame_b", "n")
 
 
 _TRI = """select m.frame_a, m.frame_b, a.depth as depth_a, b.depth as depth_b, cast((m.kp_a * 7 + m.kp_b) % 50 as double) / 10 as angle from {m} m
