@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stereolith.llm import decontaminate, html_text, jaccard_join, language_id, license_scan, lm_score, packing, topk_search, toxicity, warc
+from stereolith.llm import decontaminate, html_text, jaccard_join, language_id, license_scan, lm_score, merkle, packing, ranked_search, substring_dedup, topk_search, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -161,3 +161,49 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(language_id.train_rows_of(docs))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedupe(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL["op11_substring_dedup"] = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select r, unnest(range(1, len(w) - 33)) as k from d where len(w) >= 35),
+s as (select r, k, sha256(array_to_string(w[k : k + 34], ' ')) as h from p join d using (r)),
+many as (select r, k from s where h in (select h from s group by h having count(*) > 1)),
+gone as (select distinct r, unnest(range(k, k + 35)) as k from many),
+g as (select r, list(k order by k) as ks from gone group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(ks), 0) as bigint) as n_removed,
+  sha256(array_to_string(case when ks is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(ks, i)), lambda i: w[i]) end, ' ')) as kept_sha256
+from d left join g using (r)
+"""
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_merkle"] = merkle.oracle()
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_ranked_search"] = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+i as (select row_number() over () as i, item_id, t from (select distinct item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from benchmark)),
+g as (select cast(count(*) filter (where len(t) > 0) as bigint) as N, cast(sum(len(t)) as bigint) as L from d),
+m as (select r, 75 + (25 * cast(len(t) as bigint) * N) // L as m from d cross join g where len(t) > 0),
+tf as (select r, term, count(*) as tf from (select r, unnest(t) as term from d) group by 1, 2),
+w as (select term, cast(floor(1000 * ln(cast(2 * N + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w from tf cross join g group by term, N),
+q as (select i, term, count(*) as times from (select i, unnest(t) as term from i) group by 1, 2),
+s as (select q.i, tf.r, cast(sum(q.times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * m.m))) as bigint) as score
+  from q join w using (term) join tf using (term) join m using (r) group by 1, 2),
+k as (select i, d.doc_id, score, row_number() over (partition by i order by score desc, d.doc_id nulls last) as rank from s join d using (r) where score > 0)
+select item_id, cast(rank as integer) as rank, k.doc_id, score from k join i using (i) where rank <= 20
+"""

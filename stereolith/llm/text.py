@@ -100,9 +100,9 @@ def text_bytes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     return buf, off - off[0]
 
 
-def words(column: pa.Array, kind: np.ndarray) -> Words:
-    """Words of ``kind`` (a table of 256 booleans) of the A-Z-lower-cased rows."""
-    buf, off = text_bytes(column)
+def words(column: pa.Array, kind: np.ndarray, lower: bool = True) -> Words:
+    """Words of ``kind`` (a table of 256 booleans) of the rows, A-Z lower-cased unless told otherwise."""
+    buf, off = text_bytes(column, lower)
     n = len(buf) - 8
     first = np.zeros(len(off), np.int64)
     if not n:
