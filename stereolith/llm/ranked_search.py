@@ -106,6 +106,8 @@ class Tree:
             on, cut = np.flatnonzero(self.term == t), np.append(np.flatnonzero(differs <= t), rows)
             self.until[on] = cut[np.searchsorted(cut, self.row[on], "right")]
         self.end = np.searchsorted(self.row, self.until)
+        # the rows whose vectors end at a node: up to its first child's, or all of a leaf's
+        self.ends = np.where(self.end == np.arange(len(self.row)) + 1, self.until, np.append(self.row, rows)[1:])
 
     def roots(self) -> np.ndarray:
         out, k = [], 0
@@ -114,9 +116,9 @@ class Tree:
             k = int(self.end[k])
         return np.array(out, np.int64)
 
-    def bounds(self, nodes: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The highest score that any document below each node can have: by the largest tf of each term and the least m there."""
-        at = np.stack([self.row[nodes], self.until[nodes]], 1).ravel()
+    def bounds(self, low: int, top: int, w: np.ndarray, own: bool = False) -> np.ndarray:
+        """The highest score that any document below each node (or ending there) can have: by the largest tf of each term and the least m."""
+        at = np.stack([self.row[low:top], (self.ends if own else self.until)[low:top]], 1).ravel()
         tf = np.maximum.reduceat(np.vstack([self.tf, np.zeros((1, self.tf.shape[1]), self.tf.dtype)]), at, axis=0)[::2]
         return part(tf, np.minimum.reduceat(np.append(self.m, 0), at)[::2][:, None]) @ w
 
@@ -128,19 +130,19 @@ def search(tf: np.ndarray, m: np.ndarray, w: np.ndarray, doc: np.ndarray, known:
     """Adds the best documents of one batch to ``best``; returns how many were scored in full."""
     tree, scored = Tree(tf, m), 0
     roots = tree.roots()
-    high = tree.bounds(roots, w)
+    every = tree.bounds(0, len(tree.row), w)
+    high = every[roots]
     for r in np.argsort(-high, kind="stable"):
         if high[r] < best.least:
             break
         k, low, top = int(roots[r]), int(roots[r]), int(tree.end[roots[r]])
-        bound = tree.bounds(np.arange(low, top), w).tolist()
+        bound, own = every[low:top].tolist(), tree.bounds(low, top, w, own=True).tolist()
         while k < top:
-            end = int(tree.end[k])
             if bound[k - low] < best.least:
-                k = end
+                k = int(tree.end[k])
                 continue
-            rows = slice(int(tree.row[k]), int(tree.until[k]) if end == k + 1 else int(tree.row[k + 1]))
-            if rows.start < rows.stop:
+            rows = slice(int(tree.row[k]), int(tree.ends[k]))
+            if rows.start < rows.stop and own[k - low] >= best.least:
                 at = tree.order[rows]
                 best.add(tree.scores(rows, w), doc[at], known[at])
                 scored += len(at)
