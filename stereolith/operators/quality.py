@@ -121,11 +121,11 @@ def cap_observations(new_obs: DataFrame, obs: DataFrame, most: int = 10) -> Data
 def inlier_weights(res: DataFrame, by: str, rounds: int = 3, prior: float = 0.7) -> DataFrame:
     """Weights of squared residuals ``r2`` per group under a Gaussian and a uniform, after ``rounds`` of expectation and maximisation."""
     w = Window.partitionBy(by)
-    now = res.withColumns({"_s": F.greatest(F.median("r2").over(w) / 2, F.lit(1e-12)), "_p": F.lit(prior), "_u": 1 / F.greatest(F.max("r2").over(w), F.lit(1e-12))})
+    now = res.withColumns({"_s": F.greatest(F.median("r2").over(w) / 2, F.lit(1e-6)), "_p": F.lit(prior), "_u": 1 / F.greatest(F.max("r2").over(w), F.lit(1.0))})
     for _ in range(rounds):
-        gauss = F.col("_p") * F.exp(-F.col("r2") / (2 * F.col("_s"))) / (2 * F.lit(3.141592653589793) * F.col("_s"))
-        now = now.withColumn("_g", gauss).withColumn("w", F.col("_g") / (F.col("_g") + (1 - F.col("_p")) * F.col("_u")))
-        now = now.withColumns({"_s": F.greatest(F.sum(F.col("w") * F.col("r2")).over(w) / F.greatest(2 * F.sum("w").over(w), F.lit(1e-12)), F.lit(1e-12)), "_p": F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.avg("w").over(w)))})
+        now = now.withColumn("_g", F.col("_p") * F.exp(-F.col("r2") / (2 * F.col("_s"))))
+        now = now.withColumn("w", F.col("_g") / (F.col("_g") + (1 - F.col("_p")) * F.col("_u") + 1e-30))
+        now = now.withColumns({"_s": F.greatest(F.sum(F.col("w") * F.col("r2")).over(w) / F.greatest(F.sum("w").over(w), F.lit(1e-6)), F.lit(1e-6)), "_p": F.greatest(F.lit(1e-3), F.avg("w").over(w))})
     return now.withColumn("w", F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.col("w")))).drop("_s", "_p", "_u", "_g")
 
 

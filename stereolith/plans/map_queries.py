@@ -235,11 +235,11 @@ def tr12_cap_observations(spark, d):
 
 
 def _em() -> list[tuple[str, str]]:
-    out = [("w0", "select frame_idx, kp_idx, err*err as r2, greatest(median(err*err) over (partition by frame_idx)/2, 1e-12) as s, 0.7e0 as p, 1/greatest(max(err*err) over (partition by frame_idx), 1e-12) as q from res")]
+    out = [("w0", "select frame_idx, kp_idx, err*err as r2, greatest(median(err*err) over (partition by frame_idx)/2, 1e-6) as s, 0.7e0 as p, 1/greatest(max(err*err) over (partition by frame_idx), 1e0) as q from res")]
     for k in range(3):
-        out.append((f"e{k}", f"select *, p*exp(-r2/(2*s))/(2*3.141592653589793e0*s) as g from w{k}"))
-        out.append((f"g{k}", f"select frame_idx, kp_idx, r2, q, g/(g+(1-p)*q) as w from e{k}"))
-        out.append((f"w{k + 1}", f"select frame_idx, kp_idx, r2, q, w, greatest(sum(w*r2) over (partition by frame_idx)/greatest(2*sum(w) over (partition by frame_idx), 1e-12), 1e-12) as s, greatest(0.01e0, least(0.99e0, avg(w) over (partition by frame_idx))) as p from g{k}"))
+        out.append((f"e{k}", f"select *, p*exp(-r2/(2*s)) as g from w{k}"))
+        out.append((f"g{k}", f"select frame_idx, kp_idx, r2, q, g/(g+(1-p)*q+1e-30) as w from e{k}"))
+        out.append((f"w{k + 1}", f"select frame_idx, kp_idx, r2, q, w, greatest(sum(w*r2) over (partition by frame_idx)/greatest(sum(w) over (partition by frame_idx), 1e-6), 1e-6) as s, greatest(1e-3, avg(w) over (partition by frame_idx)) as p from g{k}"))
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stereolith.operators import geometry as G
 from stereolith.operators import matching as M
 from stereolith.operators import quality as Q
+from stereolith.operators import refine as RF
 from stereolith.operators import register as X
 from stereolith.operators import tracks as K
 from stereolith.plans.graph_queries import BOTH, COV, _components, covis, recursive
@@ -331,10 +332,15 @@ def rg1_resect(spark, d):
 @register()
 def rg3_register_rounds(spark, d):
     obs, points, poses, lost = _lost(spark, d)
+    matches = t(spark, d, "fx_matches")
     known = poses.where("frame_idx % 5 <> 0")
     bound = obs.where("frame_idx % 5 <> 0").join(points.select("point_id"), "point_id", "left_semi")
-    done, _, _ = X.register_rounds(t(spark, d, "fx_matches"), obs, bound, points, known, poses.select("frame_idx"), rounds=2)
-    return done.select("frame_idx", "is_keyframe")
+    # frames are alike by the matches they share, of the most that any two do
+    met = matches.groupBy("frame_a", "frame_b").agg(F.count("*").alias("n"))
+    alike = met.join(F.broadcast(met.agg(F.max("n").alias("top")))).select("frame_a", "frame_b", (F.col("n") / F.col("top")).alias("score"))  # one row
+    alike = alike.unionByName(alike.select(F.col("frame_b").alias("frame_a"), F.col("frame_a").alias("frame_b"), "score"))
+    done, _, _ = X.register_rounds(matches, obs, bound, points, known, poses.select("frame_idx"), similar=alike)
+    return done.select("frame_idx", "is_keyframe", *G.POSE)
 
 
 @register(twin("select frame_idx // 10 as seq_id, frame_idx, round(t0, 5) + 0e0 as t0, round(t1, 5) + 0e0 as t1, round(t2, 5) + 0e0 as t2 from fx_poses"))
@@ -355,12 +361,14 @@ def _noisy(spark, d):
 
 @register()
 def rg5_refine_step(spark, d):
-    return X.refine_step(*_noisy(spark, d), fixed=[1, 2])[0]
+    s = RF.refine_step(*_noisy(spark, d), fixed=[1, 2], cam=G.Camera(fx=1030.0, fy=1030.0), intrinsics=("f",))
+    return s.poses.select("frame_idx", *G.POSE, F.lit(float(s.cam.fx)).alias("f"), F.lit(s.cost).alias("cost"), F.lit(s.after).alias("after"))
 
 
 @register()
 def rg6_refine_loop(spark, d):
-    return X.refine_loop(*_noisy(spark, d), fixed=[1, 2], steps=3)[2]
+    _, _, poses, cam, history = RF.refine_loop(*_noisy(spark, d), fixed=[1, 2], weightings=2, steps=3, cam=G.Camera(fx=1030.0, fy=1030.0), intrinsics=("f",))
+    return poses.select("frame_idx", *G.POSE, F.lit(float(cam.fx)).alias("f"), F.lit(history[0]["cost"]).alias("cost"), F.lit(history[-1]["after"]).alias("after"))
 
 
 _CAND = "select l_orderkey as frame_a, l_suppkey as frame_b, l_quantity as matches, l_quantity * 0.7e0 as inliers, l_linenumber * 4 as links, l_linenumber as votes, l_quantity / 3 as resected, l_quantity as rows, l_extendedprice / 30000 as scale from {lineitem}"
