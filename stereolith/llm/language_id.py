@@ -23,8 +23,9 @@ from stereolith.plans.scratch import small_batches
 ORDERS = (1, 2, 3)
 BUCKETS = 4096
 LANDMARKS = 256
-#: Languages from which landmarks grow to one each; beyond, the model would be no small table and training stops with an error.
-MOST_LANGUAGES = 1024
+#: Landmarks at most. With more languages than that, these are one each of the languages of least hash; all languages are still
+#: learned, as features come from landmarks of any language.
+MOST_LANDMARKS = 1024
 TRAIN_ROWS = 8192
 RIDGE = 1e-3
 UNKNOWN = "und"
@@ -69,9 +70,10 @@ class Model:
     norms: np.ndarray
     root: np.ndarray
     weights: np.ndarray
-    #: Languages by buckets that its landmarks hold, and the least share of them in a text that fits.
-    known: np.ndarray
+    #: Languages' rows of ``known``, the buckets that their landmarks hold, and the least share of them in a text that fits.
+    slot: np.ndarray
     least: np.ndarray
+    known: np.ndarray
 
     def features(self, column: pa.Array) -> np.ndarray:
         return self.project(presence(column))
@@ -98,14 +100,18 @@ class Model:
                 known = lettered(some)
                 names += [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
                 scores.append(np.where(known, np.clip((f.max(1) + 1) / 2, 0, 1), 0.0))
-                fits.append(known & ((p & self.known[best]).sum(1) >= self.least[best] * p.sum(1)))
+                fits.append(known & ((p & self.known[self.slot[best]]).sum(1) >= self.least[best] * p.sum(1)))
         return names, np.concatenate(scores) if scores else np.zeros(0), np.concatenate(fits) if fits else np.zeros(0, bool)
 
 
-def _fit(marks: np.ndarray, langs: np.ndarray, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets that two landmarks of a language hold (one, of fewer than three), and the least share of them that fits."""
-    known, least = np.zeros((len(languages), BUCKETS), np.uint8), np.zeros(len(languages))
-    for k, lang in enumerate(languages):
+def _fit(marks: np.ndarray, langs: np.ndarray, languages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each language's row of ``known``: buckets that two of its landmarks hold (one, of fewer than three); the least share of
+    them that fits; and ``known``. Languages without landmarks share a row of none, and any text fits them."""
+    have = np.unique(langs)
+    slot = np.minimum(np.searchsorted(have, languages), len(have) - 1)
+    slot = np.where(have[slot] == np.array(languages), slot, len(have))
+    known, least = np.zeros((len(have) + 1, BUCKETS), np.uint8), np.zeros(len(have) + 1)
+    for k, lang in enumerate(have):
         own = marks[langs == lang] > 0
         hold = own.sum(0)
         enough = 2 if len(own) > 2 else 1
@@ -113,7 +119,7 @@ def _fit(marks: np.ndarray, langs: np.ndarray, languages: list[str]) -> tuple[np
         if len(own) > 1:
             share = (own & (hold - own >= enough)).sum(1) / np.maximum(own.sum(1), 1)
             least[k] = FIT * np.quantile(share, 1 - FIT_OF)
-    return known, least
+    return slot, least[slot], known
 
 
 def lettered(column: pa.Array) -> np.ndarray:
@@ -142,20 +148,22 @@ def train(labelled: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRA
 
     Every language has the same number of landmarks (one at least, all its rows if it has fewer), those of least hash of the id;
     repeated rows are rows of their own. The model grows with the number of languages, not of rows.
+    Whether a row is held out is for the caller to say (``train_rows_of``); a null id has no fold and is not learned from.
     """
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.where("lang is not null and length(text) > 0").select("doc_id", "text", "lang")
     counts = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-    languages = sorted(r["lang"] for r in counts.limit(MOST_LANGUAGES + 1).collect())
+    languages = sorted(r["lang"] for r in counts.select("lang").collect())
     if not languages:
-        return Model([], *(np.zeros((0, 0), np.float32),) * 6)
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    each = max(1, landmarks // len(languages))
+        return Model([], *(np.zeros((0, 0), np.float32),) * 7)
+    each = max(1, min(landmarks, MOST_LANDMARKS) // len(languages))
     # twice as many by chance, then the first of them: a language's rows never meet in one place
     first = F.row_number().over(Window.partitionBy("lang").orderBy(_hash("landmark"), "doc_id", "text"))
-    base = _sampled(rows, counts, 2 * each + 8, "landmark").withColumn("turn", first).where(F.col("turn") <= each)
+    of = counts
+    if len(languages) > MOST_LANDMARKS:
+        of = counts.orderBy(F.xxhash64("lang", F.lit("landmark")), "lang").limit(MOST_LANDMARKS)
+    base = _sampled(rows, of, 2 * each + 8, "landmark").withColumn("turn", first).where(F.col("turn") <= each)
     found = sorted(base.select("doc_id", "lang", "text").mapInArrow(_as_presence, "doc_id long, lang string, p binary").collect(), key=lambda r: (r["lang"], r["doc_id"], r["p"]))
     marks = np.array([np.unpackbits(np.frombuffer(r["p"], np.uint8)) for r in found], np.float32)
     norms = np.sqrt(np.maximum(marks.sum(1), 1))

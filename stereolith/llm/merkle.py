@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
-from pyspark.sql import Window as W
 
+from stereolith.operators.ranking import ranked
 from stereolith.plans.scratch import Scratch
 
 ARITY = 8
@@ -39,24 +39,6 @@ def lowered(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def ranked(rows: DataFrame, tree: str, order: list[Column], scratch: Scratch, name: str) -> DataFrame:
-    """``rows`` with ``idx``, their place (from 0) within ``tree`` by ``order``, and ``n``, the tree's rows.
-
-    ``order`` begins with the tree. The rows are written in range partitions, so a large tree lies in many of them; offsets
-    come from counts of (partition, tree), summed over a tree's partitions.
-    """
-    spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    parted = scratch.table(rows.repartitionByRange(tasks, *order).withColumn("_part", F.spark_partition_id()), name)
-    counts = parted.groupBy(tree, "_part").agg(F.count("*").alias("_c"))
-    w = W.partitionBy(tree).orderBy("_part")
-    before = counts.withColumn("_before", F.sum("_c").over(w) - F.col("_c")).withColumn("n", F.sum("_c").over(W.partitionBy(tree)))
-    before = before.select(F.col(tree).alias("_t"), F.col("_part").alias("_p"), "_before", "n")
-    placed = parted.join(before, parted[tree].eqNullSafe(before["_t"]) & (parted["_part"] == before["_p"]))
-    place = F.row_number().over(W.partitionBy("_part", tree).orderBy(*order)) - 1
-    return placed.withColumn("idx", (F.col("_before") + place).cast("long")).drop("_part", "_before", "_t", "_p")
-
-
 def parents(nodes: DataFrame, arity: int = ARITY) -> DataFrame:
     """(tree, idx, n, h, kids) of the level above nodes (tree, idx, n, h) of trees that have more than one."""
     zero = nodes.where(F.col("idx") % arity == 0)
@@ -130,9 +112,9 @@ def manifest(rows: DataFrame, group_col: str, order_col: str, leaf_col: str, car
     rows = rows.select(F.col(group_col).alias("tree"), F.col(order_col).alias("_o"), F.col(leaf_col).alias("h"), *carry)
     # a group's name is carried as text, null apart, so that joins on it are plain; a text of "" sorts after null
     rows = rows.withColumn("tree", F.when(F.col("tree").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("tree").cast("string"))))
-    leaves = scratch.table(ranked(rows, "tree", [F.col("tree"), F.col("_o").asc_nulls_first(), F.col("h")], scratch, "parted"), "leaves")
+    leaves = scratch.table(ranked(rows, [F.col("_o").asc_nulls_first(), F.col("h")], scratch, by="tree", count="n"), "leaves")
     levels, roots = grow(leaves, scratch, "group", arity)
-    tops = ranked(roots.select(F.col("tree").alias("name"), F.col("root").alias("h"), F.lit(0).alias("tree")), "tree", [F.col("tree"), F.col("name")], scratch, "parted-roots")
+    tops = ranked(roots.select(F.col("tree").alias("name"), F.col("root").alias("h"), F.lit(0).alias("tree")), [F.col("name")], scratch, by="tree", count="n", name="parted-roots")
     tops = scratch.table(tops, "tops")
     upper, root = grow(tops, scratch, "top", arity)
     none = root.select("tree", F.array().cast(_STEPS).alias("steps"))

@@ -1,11 +1,11 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-Tokenising is a map over whole texts; only documents longer than a sequence are cut. Pieces are dealt by hash over shards of
-about ``SHARD_TOKENS``, however long or alike the documents are, and each shard is packed best-fit decreasing: a
-segment tree over the remaining capacities finds the tightest open bin in logarithmic time. Bins that stay loosely filled are
-emptied, and their pieces are dealt anew over shards of the same size and packed again. Levels follow one another as long as each
-leaves less than ``SHRINK`` of the tokens it was given in loose bins: where lengths fit each other, that is the last bins of each
-shard, and one shard is soon left; where they don't (pieces of over half a sequence alone), more mixing would gain nothing.
+Tokenising is a map over whole texts; only documents longer than a sequence are cut. Lengths are integers up to the capacity, so
+the number of pieces of each length, a table of as many rows at most, is all that best-fit decreasing needs: one small
+task plans the packing of all pieces at once. A segment tree over the remaining capacities finds the tightest open bins in logarithmic
+time; bins filled alike are one group of consecutive numbers, and a step puts pieces of one length into such a group. The
+plan is a table of these steps, whose size depends on the capacity and not on the pieces. Pieces are ranked within their length (in range
+partitions, so that no length meets in one task) and look up their bin and offset by that rank.
 """
 
 from __future__ import annotations
@@ -17,19 +17,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stereolith.llm import text as T
+from stereolith.operators.ranking import ranked
 from stereolith.plans.scratch import Scratch
 
 CAPACITY = 4096
 END = 1
-SHARD_TOKENS = 1 << 19
-#: Share of a sequence left empty from which it is loose, and the share of a level's tokens in such up to which a next one follows.
-LOOSE, SHRINK = 0.02, 0.5
 
 #: Texts with other characters go through the tokenizer whole.
 _RARE = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\\|")
@@ -112,27 +109,25 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin and offset of each length (given in decreasing order), and each bin's remaining capacity.
+class Rooms:
+    """Remaining capacities that open bins have, as a segment tree: a leaf a capacity, a node counts what is below it."""
 
-    The tree's leaves are the remaining capacities 0..capacity, a node counts the open bins below it; the tightest bin that
-    takes a length is the first occupied leaf at or after it.
-    """
-    half = 1 << int(capacity).bit_length()
-    tree = [0] * (2 * half)
-    open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-    place, offset, left = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), []
+    def __init__(self, capacity: int):
+        self.half = 1 << int(capacity).bit_length()
+        self.tree = [0] * (2 * self.half)
 
-    def add(leaf: int, n: int) -> None:
-        i = leaf + half
+    def add(self, room: int, n: int) -> None:
+        i = room + self.half
         while i:
-            tree[i] += n
+            self.tree[i] += n
             i >>= 1
 
-    def first_from(leaf: int) -> int:
-        i = leaf + half
+    def tightest(self, least: int) -> int:
+        """The smallest capacity of ``least`` or more, -1 if there is none."""
+        tree, half = self.tree, self.half
+        i = least + half
         if tree[i]:
-            return leaf
+            return least
         while i > 1 and (i & 1 or not tree[i + 1]):
             i >>= 1
         if i <= 1:
@@ -142,56 +137,81 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
             i = 2 * i if tree[2 * i] else 2 * i + 1
         return i - half
 
-    for k, n in enumerate(lengths.tolist()):
-        room = first_from(n)
-        if room < 0:
-            room, b = capacity, len(left)
-            left.append(capacity)
-        else:
-            b = open_bins[room].pop()
-            add(room, -1)
-        place[k], offset[k] = b, capacity - room
-        left[b] = room - n
-        if room > n:
-            open_bins[room - n].append(b)
-            add(room - n, 1)
-    return place, offset, np.array(left, np.int64)
-
-
-def _packer(capacity: int, level: int):
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "uid"], ascending=[False, True], kind="stable")
-        b, at, left = best_fit(rows["length"].to_numpy(), capacity)
-        rows["sequence_id"] = (level << 56) + (rows["shard"].to_numpy() << 24) + b
-        rows["offset"] = at
-        rows["loose"] = left[b] > LOOSE * capacity
-        return rows
-
-    return pack
-
-
-def assign(pieces_df: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+
+def plan(lengths: list[int], counts: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+    """Steps (length, first, n, each, bin, offset) of best-fit decreasing over ``counts`` pieces of each length.
+
+    The pieces of a length from number ``first`` on go to the ``n`` bins from ``bin`` on, ``each`` to a bin, behind one another from
+    ``offset``. Pieces of one length fill a bin as far as they can before another is opened or chosen, as each finds the bin
+    of the last the tightest.
+    """
+    rooms, groups, steps, bins = Rooms(capacity), [[] for _ in range(capacity + 1)], [], 0
+
+    def put(length: int, first: int, at: int, n: int, each: int, room: int) -> None:
+        steps.append((length, first, n, each, at, capacity - room))
+        left = room - each * length
+        if left:
+            groups[left].append((at, n))
+            rooms.add(left, 1)
+
+    for length, count in sorted(zip(lengths, counts, strict=True), reverse=True):
+        done = 0
+        while done < count:
+            room = rooms.tightest(length)
+            if room < 0:
+                room, at, n = capacity, bins, -(-(count - done) // (capacity // length))
+                bins += n
+            else:
+                at, n = groups[room].pop()
+                rooms.add(room, -1)
+            most = room // length
+            whole = min(n, (count - done) // most)
+            if whole:
+                put(length, done, at, whole, most, room)
+                done += whole * most
+            rest = min(count - done, most) if whole < n else 0
+            if rest:
+                put(length, done, at + whole, 1, rest, room)
+                done += rest
+            if n > whole + (rest > 0):  # the others keep their room
+                groups[room].append((at + whole + (rest > 0), n - whole - (rest > 0)))
+                rooms.add(room, 1)
+    return steps
+
+
+def assign(pieces_df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces_df`` (with ``doc_id, piece, length``; other columns are kept) with ``sequence_id`` and ``offset``.
 
-    A row is a piece of its own, repeated rows and null ids too. No task holds more than a shard, whatever the lengths are.
+    The packing is that of best-fit decreasing over all pieces. A row is a piece of its own, repeated rows and null ids too;
+    pieces of one length are alike to it. No rows, no sequences.
     """
-    scratch = Scratch(pieces_df.sparkSession, "packing")
+    spark = pieces_df.sparkSession
+    scratch = Scratch(spark, "packing")
     now = scratch.table(pieces_df.withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    names = now.dtypes
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in names), "shard long, sequence_id long, offset long, loose boolean"])
-    tokens = now.agg(F.sum("length")).first()[0] or 0
-    done, level = None, 0
-    while True:
-        shards = max(1, -(-tokens // shard_tokens))
-        dealt = now.select(*(n for n, _ in names), F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)).alias("shard"))
-        packed = scratch.table(dealt.groupBy("shard").applyInPandas(_packer(capacity, level), schema), f"level{level}")
-        left = packed.where("loose").agg(F.sum("length")).first()[0] or 0
-        last = shards == 1 or not left or left > SHRINK * tokens
-        part = (packed if last else packed.where("not loose")).drop("loose", "shard")
-        done = part if done is None else done.unionByName(part)
-        if last:
-            return done.drop("uid")
-        now, tokens, level = packed.where("loose"), left, level + 1
+    counts = now.groupBy("length").agg(F.count("*").alias("n")).collect()  # a row a length, of the capacity at most
+    steps = np.array(sorted(plan([r["length"] for r in counts], [r["n"] for r in counts], capacity)), np.int64).reshape(-1, 6)
+    held = spark.sparkContext.broadcast(steps)
+    placed = ranked(now, [F.col("uid")], scratch, by="length", rank="_rank")
+    names = placed.columns
+    kept = [k for k, n in enumerate(names) if n not in ("uid", "_rank", "sequence_id", "offset")]
+
+    @T.tidy
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        bounds = np.append(np.flatnonzero(np.diff(table[:, 0], prepend=-1)), len(table))
+        for batch in batches:
+            length, rank = (batch.column(names.index(c)).to_numpy().astype(np.int64) for c in ("length", "_rank"))
+            at = np.zeros(len(rank), np.int64)
+            for n in np.unique(length):
+                on = length == n
+                low, high = bounds[np.searchsorted(table[bounds[:-1], 0], n) :][:2]
+                at[on] = low + np.searchsorted(table[low:high, 1], rank[on], "right") - 1
+            _, first, _, each, b, offset = table[at].T
+            nth = rank - first
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(b + nth // each), pa.array(offset + nth % each * length)], [*(names[k] for k in kept), "sequence_id", "offset"])
+
+    types = dict(placed.dtypes)
+    return placed.mapInArrow(place, ", ".join([*(f"`{names[k]}` {types[names[k]]}" for k in kept), "sequence_id long, offset long"]))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -100,6 +100,16 @@ def test_languages_are_all_kept(spark):
     assert model.languages == [f"l{k:03d}" for k in range(300)] and len(model.landmarks) == 300
 
 
+def test_more_languages_than_landmarks(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANDMARKS", 40)
+    rows = [(k, " ".join(chr(97 + (k * 7 + j * (1 + k // 26)) % 26) * 3 for j in range(6)), f"l{k % 90:03d}") for k in range(900)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 90 and len(model.landmarks) == 40
+    got = language_id.identify(spark.createDataFrame([*rows, (None, "x", None)], "doc_id long, text string, lang string"), model, fits_out="fits").collect()
+    assert len(got) == 901 and {x["lang_pred"] for x in got} <= set(model.languages)
+    assert len({x["lang_pred"] for x in got}) > 40
+
+
 def test_kernel_ridge_against_a_plain_version(spark):
     r = random.Random(9)
     texts = [(" ".join("".join(r.choices(parts, k=2)) for _ in range(r.randint(1, 6))), lang) for _ in range(12) for lang, parts in (("aa", ["ka", "tö"]), ("bb", ["sch", "un"]), ("cc", ["io", "l'"]))]
@@ -186,26 +196,47 @@ def test_packed_numbers():
     assert lm_score.unpack_counts(lm_score.pack_counts(np.array([1, 300, 2**40]))).tolist() == [1, 300, 2**40]
 
 
-def test_best_fit_is_tightest():
+def best_fit(lengths, size):
+    """Best-fit decreasing, a piece at a time."""
+    rooms: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(room, b) for b, room in enumerate(rooms) if room >= n]
+        if fits:
+            rooms[min(fits)[1]] -= n
+        else:
+            rooms.append(size - n)
+    return sorted(rooms)
+
+
+def test_the_plan_is_best_fit_decreasing():
     r = np.random.default_rng(0)
-    for size in (8, 100, 4096):
-        lengths = np.sort(r.integers(1, size + 1, 300))[::-1]
-        bins, offset, left = packing.best_fit(lengths, size)
-        room: list[int] = []
-        for n, b, o in zip(lengths.tolist(), bins.tolist(), offset.tolist(), strict=True):
-            fits = [x for x in room if x >= n]
-            if b == len(room):
-                assert not fits
-                room.append(size)
-            assert room[b] == min(fits, default=size) and o == size - room[b]
-            room[b] -= n
-        assert room == left.tolist()
+    for size, n, low, high in ((8, 300, 1, 8), (100, 300, 1, 100), (4096, 900, 1, 4096), (4096, 600, 1200, 2900), (64, 500, 1, 12), (10, 7, 10, 10), (4096, 500, 1, 90)):
+        lengths = r.integers(low, high + 1, n)
+        values, counts = np.unique(lengths, return_counts=True)
+        steps = packing.plan(values.tolist(), counts.tolist(), size)
+        bins: dict[int, list] = {}
+        taken: dict[int, list] = {}
+        for length, first, many, each, b, offset in steps:
+            taken.setdefault(length, []).append((first, first + many * each))
+            for k in range(many):
+                bins.setdefault(b + k, []).extend((offset + j * length, length) for j in range(each))
+        for v, c in zip(values.tolist(), counts.tolist(), strict=True):
+            spans = sorted(taken[v])
+            assert spans[0][0] == 0 and spans[-1][1] == c and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+        left = []
+        for b in bins.values():
+            end = 0
+            for o, k in sorted(b):
+                assert o == end
+                end += k
+            left.append(size - end)
+        assert sorted(left) == best_fit(lengths.tolist(), size)
 
 
 def test_packing_is_whole(spark):
     path = queries.word_bpe()
     rows = [*ODD, *[(i, f"Some text, number {i}! It's ²³ ñÉ <|endoftext|> " * (1 + i % 9)) for i in range(60)]]
-    out = packing.assign(packing.pieces(frame(spark, rows), path, capacity=256), 256, shard_tokens=600).collect()
+    out = packing.assign(packing.pieces(frame(spark, rows), path, capacity=256), 256).collect()
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -224,30 +255,35 @@ def test_packing_is_whole(spark):
         assert end <= 256
     whole = [sum((p["ids"] for p in sorted(v, key=lambda p: p["piece"])), []) for k, v in by_doc.items() if k not in (904, None)]
     assert all(w in want for w in whole) and len(whole) == len(rows) - 3
-    tokens = sum(map(len, want))
-    assert len(bins) <= -(-tokens // 256) * 1.03 + 1
+    assert len(bins) == len(best_fit([x["length"] for x in out], 256))
     seqs = packing.sequences(spark.createDataFrame([(1, 1, 0, 0, [5, 6]), (1, 2, 0, 2, [7])], "sequence_id long, doc_id long, piece int, offset long, ids array<int>")).first()
     assert seqs["ids"] == [5, 6, 7]
     assert packing.assign(packing.pieces(frame(spark, []), path)).count() == 0
 
 
-def test_packing_of_pieces_that_fit_nowhere_stays_in_shards(spark, monkeypatch):
-    sizes = []
-    plain = packing._packer
+@pytest.mark.parametrize("length", ["3000", "1 + pmod(xxhash64(id), 2500)", "if(id % 2 = 0, 2500 + pmod(xxhash64(id), 1500), 100 + pmod(xxhash64(id), 1500))", "1200 + pmod(xxhash64(id), 1700)"])
+def test_packing_is_one_best_fit_of_all(spark, length):
+    df = spark.range(0, 6000, 1, 9).selectExpr("id as doc_id", "0 as piece", f"cast({length} as long) as length", "'kept' as offset")
+    out = packing.assign(df).toPandas()
+    assert len(out) == out["doc_id"].nunique() == 6000
+    out = out.sort_values(["sequence_id", "offset"])
+    ends = out["offset"] + out["length"]
+    same = out["sequence_id"].to_numpy()[1:] == out["sequence_id"].to_numpy()[:-1]
+    assert (out["offset"].to_numpy()[1:] == np.where(same, ends.to_numpy()[:-1], 0)).all()
+    used = out.groupby("sequence_id")["length"].sum()
+    assert sorted(4096 - used) == best_fit(out["length"].tolist(), 4096)
 
-    def packer(capacity, level):
-        sizes.append(level)
-        return plain(capacity, level)
 
-    monkeypatch.setattr(packing, "_packer", packer)
-    big = spark.range(2000).selectExpr("id as doc_id", "0 as piece", "cast(3000 as long) as length")
-    out = packing.assign(big, shard_tokens=60_000)
-    assert out.select("sequence_id").distinct().count() == out.count() == 2000 and sizes == [0]
-    # mixed lengths: further levels, ending near the least number of sequences
-    mixed = spark.range(6000).selectExpr("id as doc_id", "0 as piece", "cast(1 + pmod(xxhash64(id), 2500) as long) as length")
-    out = packing.assign(mixed, shard_tokens=60_000).toPandas()
-    used = out.groupby("sequence_id")["length"].sum()
-    assert used.max() <= 4096 and len(out) == 6000 and len(used) <= 1.02 * -(-used.sum() // 4096) and max(sizes) >= 1
+def test_packed_sequences_hold_their_documents(spark):
+    path = queries.word_bpe()
+    texts = [(i, f"Text {i} " * (1 + i % 40)) for i in range(120)]
+    packed = packing.assign(packing.pieces(frame(spark, texts), path, capacity=128), 128)
+    whole = {}
+    for s in packing.sequences(packed).collect():
+        assert len(s["ids"]) <= 128
+        whole[tuple(s["ids"])] = s["doc_ids"]
+    tok = packing.tokenizer(path)
+    assert sum(len(k) for k in whole) == sum(len(tok.encode(t)) // 4 + 1 for _, t in texts)
 
 
 def test_ids_are_those_of_the_tokenizer(spark):
