@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stereolith.operators.geometry import center, scene_scale
+from stereolith.operators.ranking import ranked
 from stereolith.plans.scratch import Scratch
 from stereolith.sources.listing import even_subset
 
@@ -53,47 +54,69 @@ def voxel_downsample(cloud: DataFrame, size: float, min_views: int = 1) -> DataF
     return cells.join(F.broadcast(top)).where((F.col("views") >= min_views) | (F.col("top") < min_views)).drop("top")
 
 
-#: Distinct places of a leaf, about, and of the sample that splits a leaf off.
-LEAF, LEAF_SAMPLE = 2_000, 64
+#: Distinct places of a leaf, children of a node, quantiles that scale an axis, and places that ask a leaf at a time.
+LEAF, FAN, QUANTILES, ASKED = 2_000, 16, 256, 16_000
 
 
-def _split(p: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
-    """Boxes (low and high corners) of a k-d tree of at most ``leaves`` leaves over the sample ``p``; together they fill space."""
-    out, open_ = [], [(p, leaves, np.full(3, -np.inf), np.full(3, np.inf))]
-    while open_:
-        some, n, low, high = open_.pop()
-        axis = int(np.ptp(some, 0).argmax()) if len(some) > 1 else 0
-        values = np.unique(some[:, axis]) if len(some) else np.zeros(0)
-        if n < 2 or len(values) < 2:
-            out.append((low, high))
-            continue
-        # right of the cut: values from it on, so both sides hold some
-        cut = max(float(np.quantile(some[:, axis], (n // 2) / n, method="lower")), float(values[1]))
-        right = some[:, axis] >= cut
-        mid_high, mid_low = high.copy(), low.copy()
-        mid_high[axis] = mid_low[axis] = cut
-        open_ += [(some[~right], n // 2, low, mid_high), (some[right], n - n // 2, mid_low, high)]
-    return np.array([x for x, _ in out]), np.array([x for _, x in out])
+def morton(ranks: np.ndarray) -> np.ndarray:
+    """One number for three of 21 bits each: their bits in turn, so that near places have near numbers."""
+    code = np.zeros(len(ranks), np.int64)
+    for axis in range(3):
+        for bit in range(21):
+            code |= ((ranks[:, axis] >> bit) & 1) << (3 * bit + axis)
+    return code
 
 
-def _met(low: np.ndarray, high: np.ndarray, query: bool):
-    """Rows by leaf: of a place its own leaf; of a query all other leaves that lie nearer than its ``reach``."""
+def _coded(edges: np.ndarray):
+    """Places with their ``code``; coordinates are scaled by the quantiles ``edges`` first, so that outliers don't squeeze the rest."""
 
     def run(batches):
+        share = np.linspace(0, 1, QUANTILES + 1)
         for rows in batches:
             p = rows[["x", "y", "z"]].to_numpy(float)
-            for at in range(0, len(p), 1024):
-                some = p[at : at + 1024, None, :]
-                inside = ((some >= low) & (some < high)).all(2)
-                if query:
-                    away = np.maximum(np.maximum(low - some, some - high), 0)
-                    inside = ~inside & ((away**2).sum(2) <= (rows["reach"].to_numpy()[at : at + 1024] * (1 + 1e-9))[:, None] ** 2)
-                row, leaf = np.nonzero(inside)
-                yield rows.iloc[at + row].assign(leaf=leaf.astype(np.int64))
+            u = np.stack([np.interp(p[:, i], edges[i], share) for i in range(3)], 1)
+            yield rows.assign(code=morton((u * ((1 << 21) - 1)).astype(np.int64)))
 
     return run
 
 
+_BOX = [f"{c}{k}" for c in "xyz" for k in (0, 1)]
+
+
+def _boxes(df: DataFrame, *by) -> DataFrame:
+    return df.groupBy(*by).agg(*[f(c).alias(f"{c}{k}") for c in "xyz" for k, f in ((0, F.min), (1, F.max))])
+
+
+def _leaves_in_reach(first: DataFrame, dealt: DataFrame, scratch: Scratch) -> DataFrame:
+    """(x, y, z, reach, leaf): each place with all other leaves that lie nearer than its ``reach``.
+
+    Leaves are the lowest level of a tree of boxes, ``FAN`` children a node. Places go down in groups of one leaf and one power of two of
+    their reach, so a far outlier takes nobody along; a group has a box and its largest reach, and only what lies within that is descended.
+    Places meet the leaves of their group at the end.
+    """
+    level = scratch.table(_boxes(dealt, "leaf").withColumnRenamed("leaf", "node"), "leaves")
+    levels = [level]
+    while (levels[-1].agg(F.max("node")).first()[0] or 0) >= FAN:
+        up = levels[-1].select(F.floor(F.col("node") / FAN).cast("long").alias("node"), *_BOX)
+        levels.append(scratch.table(up.groupBy("node").agg(*[f(f"{c}{k}").alias(f"{c}{k}") for c in "xyz" for k, f in ((0, F.min), (1, F.max))]), f"level-{len(levels)}"))
+    finite = F.when((F.col("reach") > 0) & (F.col("reach") < float("inf")), F.floor(F.log2("reach"))).otherwise(F.when(F.col("reach") > 0, 4000).otherwise(-4000)).cast("int")
+    placed = first.withColumn("size", finite)
+    groups = placed.groupBy("home", "size").agg(*[f(c).alias(f"q{c}{k}") for c in "xyz" for k, f in ((0, F.min), (1, F.max))], F.max("reach").alias("most"))
+    groups = scratch.table(groups, "groups")
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(f"q{c}1"), F.col(f"q{c}0") - F.col(f"{c}1"))
+    near = (gap("x") * gap("x") + gap("y") * gap("y") + gap("z") * gap("z")) <= F.col("most") * F.col("most") * (1 + 1e-9)
+    own = groups.columns
+    top = levels[-1].select("node", *_BOX).collect()  # FAN rows at most
+    alive = groups.withColumn("t", F.explode(F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("node", *_BOX)]) for r in top]))).select(*own, "t.*").where(near).select(*own, "node")
+    for lower in reversed(levels[:-1]):
+        kids = lower.withColumn("up", F.floor(F.col("node") / FAN).cast("long"))
+        alive = alive.withColumnRenamed("node", "up").join(kids, "up").where(near).select(*own, "node")
+    pairs = scratch.table(alive.join(level, "node").where(F.col("node") != F.col("home")).select("home", "size", F.col("node").alias("leaf"), *_BOX), "pairs")
+    away = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"))
+    close = (away("x") * away("x") + away("y") * away("y") + away("z") * away("z")) <= F.col("reach") * F.col("reach") * (1 + 1e-9)
+    return placed.select("x", "y", "z", "reach", "home", "size").join(pairs, ["home", "size"]).where(close).select("x", "y", "z", "reach", "leaf")
+
+
 def _closest(q: np.ndarray, p: np.ndarray, n: np.ndarray, k: int, own: bool) -> list[list[float]]:
     """For each of ``q`` up to k ascending distances to points at the places ``p``, of which n lie at each; ``own``: q are these places, and a point is not its own neighbour."""
     out = []
@@ -113,7 +136,7 @@ def _within(k: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         p = rows[["x", "y", "z"]].to_numpy(float)
         near = _closest(p, p, rows["n"].to_numpy(), k, True)
-        return rows[["x", "y", "z"]].assign(near=pd.Series(near, rows.index, object), reach=[d[-1] if len(d) == k else np.inf for d in near])
+        return rows[["x", "y", "z", "leaf"]].rename(columns={"leaf": "home"}).assign(near=pd.Series(near, rows.index, object), reach=[d[-1] if len(d) == k else np.inf for d in near])
 
     return run
 
@@ -128,37 +151,42 @@ def _across(k: int):
     return run
 
 
-def knn_mean_distance(cloud: DataFrame, k: int = 8, cell: float | None = None, rounds: int = 12) -> DataFrame:
+def knn_mean_distance(cloud: DataFrame, k: int = 8) -> DataFrame:
     """(uid, d): exact mean distance to the k nearest other points of (uid, x, y, z); infinite with k points or fewer.
 
-    Points at one place are one row with a count. Places are dealt over the leaves of a k-d tree that a sample splits, so a dense spot
-    falls into many leaves of bounded size. A place finds k neighbours in its leaf and asks only the leaves nearer than
-    the last of these; a far outlier is one row in each of them. ``cell`` and ``rounds`` are those of the grid that this
-    replaced and are not used.
+    Points at one place are one row with a count. Places are ranked by a space-filling curve over quantile-scaled coordinates, in range
+    partitions, and cut into leaves of ``LEAF`` places each, so a dense spot falls into many leaves. A place finds k neighbours
+    in its leaf and asks only the leaves nearer than the last of these, which a tree of their boxes tells.
     """
     scratch = Scratch(cloud.sparkSession, "knn")
     xyz = ["x", "y", "z"]
     places = cloud.select(*[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in xyz]).where(" and ".join(f"{c} is not null and not isnan({c})" for c in xyz)).groupBy(*xyz).agg(F.count("*").alias("n"))
     places = scratch.table(places, "places")
-    leaves = max(1, -(-places.count() // LEAF))
-    share = F.pmod(F.xxhash64(*xyz), F.lit(max(1, LEAF // LEAF_SAMPLE))) == 0
-    sample = np.array(places.where(share).select(*xyz).collect(), float).reshape(-1, 3) if leaves > 1 else np.zeros((0, 3))
-    # in one order, whatever the partitions
-    low, high = _split(sample[np.lexsort(sample.T)], leaves)
-    dealt = scratch.table(places.mapInPandas(_met(low, high, False), "x double, y double, z double, n long, leaf long"), "dealt")
-    first = scratch.table(dealt.groupBy("leaf").applyInPandas(_within(k), "x double, y double, z double, near array<double>, reach double"), "first")
-    asked = first.select(*xyz, "reach").mapInPandas(_met(low, high, True), "x double, y double, z double, reach double, leaf long")
-    second = asked.groupBy("leaf").cogroup(dealt.groupBy("leaf")).applyInPandas(_across(k), "x double, y double, z double, near array<double>")
-    near = first.select(*xyz, "near").unionByName(second).groupBy(*xyz).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    cuts = F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)])
+    found = places.agg(*[F.percentile_approx(c, cuts, 2_000).alias(c) for c in xyz]).first()
+    edges = np.array([np.maximum.accumulate(found[c] if found[c] else [0.0] * (QUANTILES + 1)) for c in xyz])
+    coded = places.mapInPandas(_coded(edges), "x double, y double, z double, n long, code long")
+    dealt = ranked(coded, [F.col(c) for c in ("code", *xyz)], scratch).withColumn("leaf", F.floor(F.col("idx") / LEAF).cast("long")).select(*xyz, "n", "leaf")
+    dealt = scratch.table(dealt, "dealt")
+    first = scratch.table(dealt.groupBy("leaf").applyInPandas(_within(k), "x double, y double, z double, home long, near array<double>, reach double"), "first")
+    near = first.select(*xyz, "near")
+    if first.where("home > 0").limit(1).count():
+        asked = scratch.table(_leaves_in_reach(first, dealt, scratch), "asked")
+        # a leaf that very many ask answers in parts
+        parts = asked.groupBy("leaf").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+        asked = asked.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64(*xyz), F.col("parts")).cast("int")).drop("parts")
+        answers = dealt.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        second = asked.groupBy("leaf", "part").cogroup(answers.groupBy("leaf", "part")).applyInPandas(_across(k), "x double, y double, z double, near array<double>")
+        near = near.unionByName(second).groupBy(*xyz).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     d = near.select(*xyz, F.when(F.size("near") == k, F.aggregate("near", F.lit(0.0), lambda a, v: a + v) / k).otherwise(F.lit(float("inf"))).alias("d"))
     d = scratch.table(d, "d")
     keyed = cloud.select("uid", *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in xyz])
     return keyed.join(d, xyz).select("uid", "d")
 
 
-def statistical_outliers(cloud: DataFrame, k: int = 8, std: float = 2.0, cell: float | None = None) -> DataFrame:
+def statistical_outliers(cloud: DataFrame, k: int = 8, std: float = 2.0) -> DataFrame:
     """Points whose mean distance to k neighbours is below mean + std deviations of all; all of them if there are at most k."""
-    d = knn_mean_distance(cloud, k, cell)
+    d = knn_mean_distance(cloud, k)
     finite = d.where("d < double('infinity')")
     limit = finite.agg((F.avg("d") + std * F.stddev_pop("d")).alias("limit"))
     return cloud.join(d, "uid").join(F.broadcast(limit)).where(F.col("limit").isNull() | (F.col("d") < F.col("limit"))).drop("limit")

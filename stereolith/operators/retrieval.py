@@ -27,9 +27,12 @@ def train_vocabulary(descriptors: DataFrame, k: int | None = None, sample: int =
     binary = is_binary(descriptors)
     numbers = F.transform(F.sequence(F.lit(1), F.octet_length("descr")), lambda i: F.conv(F.hex(F.substr("descr", i, F.lit(1))), 16, 10)) if binary else F.col("descr")
     some = descriptors.orderBy(key, "frame_idx", "kp_idx").limit(sample).select(array_to_vector(numbers.cast("array<double>")).alias("features")).persist()
-    if some.count() < k:
-        return None
-    centers = KMeans(k=k, seed=seed + 1, maxIter=20).fit(some).clusterCenters()
+    try:
+        if some.count() < k:
+            return None
+        centers = KMeans(k=k, seed=seed + 1, maxIter=20).fit(some).clusterCenters()
+    finally:
+        some.unpersist()
     if binary:
         return descriptors.sparkSession.createDataFrame([(i, bytearray(np.clip(np.rint(c), 0, 255).astype(np.uint8).tobytes())) for i, c in enumerate(centers)], "word int, centroid binary")
     return descriptors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "word int, centroid array<float>")
@@ -69,13 +72,59 @@ def tfidf_histograms(words: DataFrame, weights: DataFrame) -> DataFrame:
     return tf.select("frame_idx", "word", (F.col("w") / F.sum("w").over(Window.partitionBy("frame_idx"))).alias("w"))
 
 
-def similarity(query: DataFrame, index: DataFrame, skip_recent: int, least: float) -> DataFrame:
-    """(frame_a, frame_b, score): cosine of histograms through shared words, of frames at least ``skip_recent`` apart."""
-    norm = lambda h, f: h.groupBy(F.col("frame_idx").alias(f)).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"n{f[-1]}"))
-    a, b = query.select(F.col("frame_idx").alias("frame_a"), "word", F.col("w").alias("wa")), index.select(F.col("frame_idx").alias("frame_b"), "word", F.col("w").alias("wb"))
-    dot = a.join(b, "word").where(F.abs(F.col("frame_a") - F.col("frame_b")) >= skip_recent).groupBy("frame_a", "frame_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    met = dot.join(norm(query, "frame_a"), "frame_a").join(norm(index, "frame_b"), "frame_b").withColumn("score", F.col("dot") / (F.col("na") * F.col("nb")))
-    return met.where(F.col("score") >= least).select("frame_a", "frame_b", "score")
+#: Frames of a block, neighbours by index, which tend to hold the same words.
+BLOCK = 64
+
+
+def similarity(query: DataFrame, index: DataFrame, skip_recent: int, least: float, block: int = BLOCK) -> DataFrame:
+    """(frame_a, frame_b, score): cosine of histograms through shared words, of frames at least ``skip_recent`` apart.
+
+    A score-bounded inverted index: a word's posting list holds blocks of frames with the largest weight of the word in each, not frames.
+    Two blocks' lists bound the score of any two of their frames; only pairs whose bound reaches ``least`` are opened, and
+    are compared by one product of their matrices.
+    """
+
+    def unit(h: DataFrame) -> DataFrame:
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("frame_idx")))
+        return h.groupBy("frame_idx", "word").agg(F.sum("w").alias("w")).select(F.floor(F.col("frame_idx") / block).cast("long").alias("b"), "frame_idx", "word", (F.col("w") / norm).alias("w"))
+
+    def tops(h: DataFrame, side: str) -> DataFrame:
+        return h.groupBy("b", "word").agg(F.max("w").alias(f"t{side}")).withColumnRenamed("b", f"b{side}")
+
+    def packed(h: DataFrame, side: str) -> DataFrame:
+        return h.groupBy(F.col("b").alias(f"b{side}")).agg(F.collect_list(F.struct(F.col("frame_idx").cast("long").alias("f"), F.col("word").cast("long").alias("k"), "w")).alias(side))
+
+    own, others = unit(query), unit(index)
+    bound = tops(own, "x").join(tops(others, "y"), "word").groupBy("bx", "by").agg(F.sum(F.col("tx") * F.col("ty")).alias("bound"))
+    open_ = bound.where(F.col("bound") >= least - 1e-9).select("bx", "by")
+    met = open_.join(packed(own, "x"), "bx").join(packed(others, "y"), "by").select("x", "y")
+    kind = dict(query.dtypes)["frame_idx"]
+    return met.mapInArrow(_products(skip_recent, least), "frame_a long, frame_b long, score double").select(F.col("frame_a").cast(kind).alias("frame_a"), F.col("frame_b").cast(kind).alias("frame_b"), "score")
+
+
+def _products(skip_recent: int, least: float):
+    """Scores of the frames of two blocks, given as lists of (frame, word, weight)."""
+
+    def parts(lists: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = lists.offsets.to_numpy()
+        rows = lists.values.slice(at[i], at[i + 1] - at[i])
+        return tuple(rows.field(k).to_numpy() for k in range(3))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (f, k, v), (g, m, w) = parts(batch.column(0), i), parts(batch.column(1), i)
+                words = np.intersect1d(k, m)
+                a, b = np.unique(f), np.unique(g)
+                x, y = np.zeros((len(a), len(words))), np.zeros((len(b), len(words)))
+                on, of = np.isin(k, words), np.isin(m, words)
+                x[np.searchsorted(a, f[on]), np.searchsorted(words, k[on])] = v[on]
+                y[np.searchsorted(b, g[of]), np.searchsorted(words, m[of])] = w[of]
+                s = x @ y.T
+                p, q = np.nonzero((s >= least) & (s > 0) & (np.abs(a[:, None] - b[None, :]) >= skip_recent))
+                yield pa.record_batch({"frame_a": a[p], "frame_b": b[q], "score": s[p, q]})
+
+    return run
 
 
 def suppress_near(candidates: DataFrame, gap: int, k: int) -> DataFrame:
