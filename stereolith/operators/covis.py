@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from stereolith.operators.geometry import POSE, T, angle_between, angle_deg, center, prefixed, relative
 from stereolith.operators.graph import connected_components
+from stereolith.operators.ranking import consecutive, nearest_marked, ranked
+from stereolith.plans.scratch import Scratch
 
 
 def covisibility(obs: DataFrame) -> DataFrame:
@@ -68,9 +70,9 @@ def cull_keyframes(obs: DataFrame, keyframes: DataFrame, share: float = 0.80, re
 
     Nothing with ``recent`` keyframes or fewer.
     """
-    w = Window.orderBy(F.desc("frame_idx"))
-    k = keyframes.select("frame_idx").withColumns({"_n": F.count("*").over(Window.partitionBy(F.lit(0))), "_r": F.row_number().over(w)})
-    some = k.where((F.col("_n") > recent) & (F.col("_r") > 1) & (F.col("_r") <= recent)).select("frame_idx")
+    k = keyframes.select("frame_idx")
+    many = k.agg(F.count("*").alias("_n"), F.max("frame_idx").alias("_newest")).where(F.col("_n") > recent)
+    some = k.orderBy(F.desc("frame_idx")).limit(recent).join(F.broadcast(many)).where("frame_idx < _newest").select("frame_idx")  # one row
     o = obs.join(some, "frame_idx", "left_semi").select("point_id", "frame_idx").distinct()
     size = o.groupBy("frame_idx").agg(F.count("*").alias("size"))
     met = covisibility(o).join(size.select(F.col("frame_idx").alias("frame_a"), F.col("size").alias("sa")), "frame_a").join(size.select(F.col("frame_idx").alias("frame_b"), F.col("size").alias("sb")), "frame_b")
@@ -131,7 +133,7 @@ def pose_outliers(edges: DataFrame, poses: DataFrame, limit: float = 12.0, frame
 
 def rotation_edges(keyframes: DataFrame, gap: int = 6) -> DataFrame:
     """Consecutive keyframes at most ``gap`` apart."""
-    nxt = keyframes.select(F.col("frame_idx").alias("frame_a"), F.lead("frame_idx").over(Window.orderBy("frame_idx")).alias("frame_b"))
+    nxt = consecutive(keyframes, "frame_idx", Scratch(keyframes.sparkSession, "sequence"), ("frame_a", "frame_b"))
     return nxt.where(F.col("frame_b") - F.col("frame_a") <= gap)
 
 
@@ -150,7 +152,7 @@ def pose_graph_edges(keyframes: DataFrame, loops: DataFrame, poses: DataFrame, s
     ``loops``: (frame_a, frame_b, shared) with a measured pose. Dropped: neighbours, ends without a pose, translation error over half
     the scale, rotation error over half a radian.
     """
-    seq = keyframes.select(F.col("frame_idx").alias("frame_a"), F.lead("frame_idx").over(Window.orderBy("frame_idx")).alias("frame_b")).where("frame_b is not null")
+    seq = consecutive(keyframes, "frame_idx", Scratch(keyframes.sparkSession, "sequence"), ("frame_a", "frame_b"))
     err = edge_errors(loops, poses).join(F.broadcast(scale)).where((F.abs(F.col("frame_b") - F.col("frame_a")) > 1) & (F.col("way") <= 0.5 * F.col("scale")) & (F.radians("angle") <= 0.5))
     weight = F.greatest(F.lit(1.5), F.log1p(F.greatest(F.lit(1), F.coalesce("shared", F.lit(10))).cast("double")))
     loop = err.join(loops.select("frame_a", "frame_b", "shared"), ["frame_a", "frame_b"]).select("frame_a", "frame_b", F.lit("loop").alias("kind"), weight.alias("weight"))
@@ -196,14 +198,12 @@ def next_frames(candidates: DataFrame, registered: DataFrame, visible: DataFrame
         none = some.agg(F.count("*").alias("_n")).where("_n = 0")
         way = F.array_min(F.array(*[F.abs(F.col("frame_idx") - s) for s in seeds]))
         met = met.unionByName(candidates.crossJoin(F.broadcast(none)).select("frame_idx", F.lit(0).cast("long").alias("score"), way.cast("int").alias("_way")))
-    return met.withColumn("rank", F.row_number().over(Window.orderBy("_way", F.desc("score"), "frame_idx"))).drop("_way")
+    order = [F.col("_way"), F.desc("score"), F.col("frame_idx")]
+    found = ranked(met, order, Scratch(candidates.sparkSession, "next"), rank="rank").drop("_way")
+    return found.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def nearest_registered(frames: DataFrame) -> DataFrame:
     """(frame_idx, nearest): the registered frame nearest by index of (frame_idx, registered), ties to the lower."""
-    own = F.when(F.col("registered"), F.col("frame_idx"))
-    w = Window.orderBy("frame_idx")
-    low = F.last(own, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first(own, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    f = frames.select("frame_idx", low.alias("low"), high.alias("high"))
+    f = nearest_marked(frames, "frame_idx", F.col("registered"), Scratch(frames.sparkSession, "nearest"))
     return f.select("frame_idx", F.when(F.col("low").isNull() | (F.col("high") - F.col("frame_idx") < F.col("frame_idx") - F.col("low")), F.col("high")).otherwise(F.col("low")).alias("nearest"))

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stereolith.operators.geometry import center, scene_scale
-from stereolith.operators.ranking import ranked
+from stereolith.operators.ranking import consecutive, ranked
 from stereolith.plans.scratch import Scratch
 from stereolith.sources.listing import even_subset
 
 
 def adjacent_pairs(frames: DataFrame, most: int) -> DataFrame:
     """(frame_a, frame_b) of consecutive keyframes (of frames, with fewer than two keyframes), evenly cut to ``most``."""
-    w = Window.orderBy("frame_idx")
-    some = frames.withColumn("_k", F.sum(F.col("is_keyframe").cast("int")).over(Window.partitionBy(F.lit(0)))).where((F.col("_k") < 2) | F.col("is_keyframe")).select("frame_idx").distinct()
-    pairs = some.select(F.col("frame_idx").alias("frame_a"), F.lead("frame_idx").over(w).alias("frame_b")).where("frame_b is not null")
+    marked = frames.agg(F.sum(F.col("is_keyframe").cast("int")).alias("_k"))
+    some = frames.join(F.broadcast(marked)).where((F.coalesce("_k", F.lit(0)) < 2) | F.col("is_keyframe")).select("frame_idx")  # one row
+    pairs = consecutive(some, "frame_idx", Scratch(frames.sparkSession, "sequence"), ("frame_a", "frame_b"))
     return even_subset(pairs, "frame_a", most, "round")
 
 

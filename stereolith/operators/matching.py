@@ -156,14 +156,16 @@ def pair_scores(descriptors: DataFrame, pairs: DataFrame, ratio: float, max_dist
 
 def shortlist_pairs(scores: DataFrame, top: int = 80, other: int = 40, least: int = 20, share: float = 0.15, bands: int = 8) -> DataFrame:
     """The ``top`` pairs at or over max(least, int(share best)), else the ``other`` best; and the best pair of each index band of a."""
-    every = Window.partitionBy(F.lit(0))
-    s = scores.withColumns({"_cut": F.greatest(F.lit(least), (share * F.max("score").over(every)).cast("int")), "_lo": F.min("frame_a").over(every), "_hi": F.max("frame_a").over(every)})
-    order = [F.desc("score"), "frame_a", "frame_b"]
-    s = s.withColumns({"_ok": F.col("score") >= F.col("_cut"), "_any": F.max((F.col("score") >= F.col("_cut")).cast("int")).over(every)})
-    s = s.withColumn("_band", F.least(F.lit(bands - 1), F.floor((F.col("frame_a") - F.col("_lo")) * bands / (F.col("_hi") - F.col("_lo") + 1)).cast("int")))
-    s = s.withColumns({"_r": F.row_number().over(Window.partitionBy("_ok").orderBy(*order)), "_all": F.row_number().over(Window.orderBy(*order)), "_b": F.row_number().over(Window.partitionBy("_band").orderBy(*order))})
-    keep = (F.col("_ok") & (F.col("_r") <= top)) | ((F.col("_any") == 0) & (F.col("_all") <= other)) | (F.col("_b") == 1)
-    return s.where(keep).select("frame_a", "frame_b", "score")
+    found = scores.agg(F.max("score").alias("_best"), F.min("frame_a").alias("_lo"), F.max("frame_a").alias("_hi"))
+    found = found.withColumn("_cut", F.greatest(F.lit(least), (share * F.col("_best")).cast("int")))
+    s = scores.select("frame_a", "frame_b", "score").join(F.broadcast(found))  # one row
+    order = [F.desc("score"), F.col("frame_a"), F.col("frame_b")]
+    good = s.where(F.col("score") >= F.col("_cut")).orderBy(*order).limit(top)
+    poor = s.where(F.col("_best") < F.col("_cut")).orderBy(*order).limit(other)
+    band = F.least(F.lit(bands - 1), F.floor((F.col("frame_a") - F.col("_lo")) * bands / (F.col("_hi") - F.col("_lo") + 1)).cast("int"))
+    each = s.groupBy(band.alias("_band")).agg(F.min_by(F.struct("frame_a", "frame_b", "score"), F.struct(-F.col("score"), "frame_a", "frame_b")).alias("_p")).select("_p.*")
+    names = ["frame_a", "frame_b", "score"]
+    return good.select(*names).unionByName(poor.select(*names)).unionByName(each).distinct()
 
 
 def seed_of(*parts) -> int:

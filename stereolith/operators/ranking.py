@@ -27,3 +27,34 @@ def ranked(rows: DataFrame, order: list[Column], scratch: Scratch, by: str | Non
     place = F.row_number().over(W.partitionBy("_part", *first).orderBy(*order)) - 1
     out = placed.withColumn(rank, (F.col("_before") + place).cast("long"))
     return (out.withColumn(count, F.col("_n")) if count else out).drop("_part", "_before", "_p", "_n", "_by")
+
+
+def consecutive(rows: DataFrame, order: str, scratch: Scratch, names: tuple[str, str]) -> DataFrame:
+    """(names[0], names[1]): each value of ``order`` with the next one."""
+    r = scratch.table(ranked(rows.select(order).distinct(), [F.col(order)], scratch), "ranked")
+    a, b = r.select(F.col(order).alias(names[0]), "idx"), r.select(F.col(order).alias(names[1]), (F.col("idx") - 1).alias("idx"))
+    return a.join(b, "idx").select(*names)
+
+
+def with_previous(rows: DataFrame, order: str, columns: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` with ``previous_<c>`` of the row before by ``order``, null for the first."""
+    r = scratch.table(ranked(rows, [F.col(order)], scratch), "ranked")
+    before = r.select((F.col("idx") + 1).alias("idx"), *[F.col(c).alias(f"previous_{c}") for c in columns])
+    return r.join(before, "idx", "left").drop("idx")
+
+
+def nearest_marked(rows: DataFrame, order: str, marked: Column, scratch: Scratch) -> DataFrame:
+    """``rows`` with ``low`` and ``high``: the last value of ``order`` among ``marked`` rows up to a row, and the first from it on.
+
+    An as-of join in both directions: within range partitions by a window, across them by what each partition carries on.
+    """
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    own = F.when(marked, F.col(order))
+    parted = scratch.table(rows.repartitionByRange(tasks, F.col(order)).withColumn("_part", F.spark_partition_id()), "parted")
+    every = W.partitionBy(F.lit(0)).orderBy("_part")  # of a row a partition
+    ends = parted.groupBy("_part").agg(F.max(own).alias("_last"), F.min(own).alias("_first"))
+    ends = ends.select("_part", F.last("_last", True).over(every.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(every.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
+    w = W.partitionBy("_part").orderBy(order)
+    low = F.coalesce(F.last(own, True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.col("_before"))
+    high = F.coalesce(F.first(own, True).over(w.rowsBetween(0, W.unboundedFollowing)), F.col("_after"))
+    return parted.join(ends, "_part").withColumns({"low": low, "high": high}).drop("_part", "_before", "_after")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stereolith.operators.ranking import with_previous
+from stereolith.plans.scratch import Scratch
+
 
 def status_counts(frames: DataFrame) -> DataFrame:
     """(status, n, warn): frames per status; ``warn`` where lost and invalid frames are over 40 % of all."""
@@ -20,9 +23,10 @@ def registration_funnel(tries: DataFrame) -> DataFrame:
 
 def refine_triggers(log: DataFrame, growth: float = 1.10, keyframes: int = 20) -> DataFrame:
     """``refine`` where frames or points grew by a tenth since the row before, or enough keyframes came (frame_idx order)."""
-    w = Window.orderBy("frame_idx")
-    hit = (F.col("frames") >= growth * F.lag("frames").over(w)) | (F.col("points") >= growth * F.lag("points").over(w)) | (F.col("keyframes") - F.lag("keyframes").over(w) >= keyframes)
-    return log.withColumn("refine", F.coalesce(hit, F.lit(False)))
+    names = ["frames", "points", "keyframes"]
+    met = with_previous(log, "frame_idx", names, Scratch(log.sparkSession, "triggers"))
+    hit = (F.col("frames") >= growth * F.col("previous_frames")) | (F.col("points") >= growth * F.col("previous_points")) | (F.col("keyframes") - F.col("previous_keyframes") >= keyframes)
+    return met.withColumn("refine", F.coalesce(hit, F.lit(False))).drop(*[f"previous_{n}" for n in names])
 
 
 def run_report(poses: DataFrame, points: DataFrame, obs: DataFrame) -> DataFrame:

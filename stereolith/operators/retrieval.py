@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stereolith.operators.matching import bits, is_binary
+from stereolith.operators.ranking import ranked
+from stereolith.plans.scratch import Scratch
 
 
 def train_vocabulary(descriptors: DataFrame, k: int | None = None, sample: int = 20_000, seed: int = 0) -> DataFrame | None:
@@ -144,7 +146,8 @@ def suppress_near(candidates: DataFrame, gap: int, k: int) -> DataFrame:
 
 def sequence_consistency(pairs: DataFrame, similar: DataFrame, frames: DataFrame, reach: int = 2, least: float = 0.3) -> DataFrame:
     """(frame_a, frame_b, votes): similar pairs among the positions around both, in the order of ``frames``; a pair of one frame doesn't count."""
-    place = frames.select("frame_idx", F.row_number().over(Window.orderBy("frame_idx")).alias("p"))
+    scratch = Scratch(frames.sparkSession, "positions")
+    place = scratch.table(ranked(frames.select("frame_idx"), [F.col("frame_idx")], scratch, rank="p"), "positions")
     pa_, pb = place.select(F.col("frame_idx").alias("frame_a"), F.col("p").alias("pa")), place.select(F.col("frame_idx").alias("frame_b"), F.col("p").alias("pb"))
     around = F.sequence(F.lit(-reach), F.lit(reach))
     rows = pairs.select("frame_a", "frame_b").join(pa_, "frame_a").join(pb, "frame_b").withColumn("da", F.explode(around)).withColumn("db", F.explode(around))

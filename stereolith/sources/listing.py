@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stereolith.operators.geometry import POSE
+from stereolith.operators.ranking import ranked
 from stereolith.operators.sampling import linspace_index
+from stereolith.plans.scratch import Scratch
 
 # fixed values: image suffixes
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp", "ppm", "pgm")
@@ -25,9 +27,10 @@ def natural_key(path: Column) -> Column:
 
 
 def natural_order(df: DataFrame, path: str = "path") -> DataFrame:
-    """``df`` with ``frame_idx`` from 0 by the natural key (ties: the path). The order is one of a list of frames, so it is global."""
-    turn = Window.orderBy(natural_key(F.col(path)), F.col(path))
-    return df.withColumn("frame_idx", (F.row_number().over(turn) - 1).cast("int"))
+    """``df`` with ``frame_idx`` from 0 by the natural key (ties: the path), ranked over range partitions of it."""
+    keyed = df.withColumn("_key", natural_key(F.col(path)))
+    found = ranked(keyed, [F.col("_key"), F.col(path)], Scratch(df.sparkSession, "order"), rank="frame_idx").drop("_key")
+    return found.withColumn("frame_idx", F.col("frame_idx").cast("int"))
 
 
 def list_images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -45,8 +48,7 @@ def list_images(spark: SparkSession, root: str, recursive: bool = True) -> DataF
 
 def even_subset(df: DataFrame, order: str, k: int, how: str = "trunc", by: str | None = None) -> DataFrame:
     """At most ``k`` rows evenly over the order (per group ``by``), first and last among them."""
-    w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    f = df.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
+    f = ranked(df, [F.col(order)], Scratch(df.sparkSession, "even"), by=by, rank="_i", count="_m").withColumnRenamed("_m", "_n")
     picked = F.exists(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: linspace_index(i, F.col("_n"), F.lit(k), how) == F.col("_i"))
     return f.where((F.col("_n") <= k) | picked).drop("_i", "_n")
 
@@ -142,11 +144,9 @@ def fingerprint(poses: DataFrame, camera: str, num_disparities: int, block_size:
     """One row: md5 over the camera, the normalised parameters, and every max(1, n // 30)-th pose (in millionths)."""
     nd = max(16, num_disparities // 16 * 16)
     bs = max(3, min(block_size + (block_size % 2 == 0), 21))
-    n = poses.agg(F.count("*").alias("n"))
-    turn = F.row_number().over(Window.orderBy("frame_idx")) - 1
     told = F.coalesce(F.concat_ws(",", *[F.bround(F.col(c) * 1e6, 0).cast("long").cast("string") for c in POSE]), F.lit("none"))
     step = F.greatest(F.lit(1), F.floor(F.col("n") / 30))
-    some = poses.withColumn("_i", turn).join(F.broadcast(n)).where(F.col("_i") % step == 0).select("_i", told.alias("p"), "n")
+    some = ranked(poses, [F.col("frame_idx")], Scratch(poses.sparkSession, "fingerprint"), rank="_i", count="n").where(F.col("_i") % step == 0).select("_i", told.alias("p"), "n")
     told_all = some.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "p"))), lambda x: x["p"]), ";").alias("p"), F.max("n").alias("n"))
     return told_all.select(F.md5(F.concat_ws("|", F.lit(camera), F.lit(str(nd)), F.lit(str(bs)), "p", F.col("n").cast("string"))).alias("fingerprint"))
 

@@ -6,7 +6,7 @@ from contextlib import redirect_stdout
 import numpy as np
 from pyspark.sql import functions as F
 
-from stereolith.operators import dense, ranking, retrieval, tracks
+from stereolith.operators import dense, ranking, register, retrieval, tracks
 from stereolith.operators.geometry import POSE, Camera
 from stereolith.operators.refine import rodrigues
 from stereolith.plans.scratch import Scratch
@@ -111,3 +111,47 @@ def test_ranks_over_range_partitions(spark):
 def test_morton_codes_interleave():
     ranks = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1], [3, 0, 0], [2**21 - 1] * 3])
     assert dense.morton(ranks).tolist() == [0, 1, 2, 4, 9, 2**63 - 1]
+
+
+def test_chains_by_a_prefix_scan_equal_the_fold(spark):
+    r = np.random.default_rng(4)
+    turn, way = rodrigues(r.normal(0, 0.3, (700, 3))), r.normal(0, 1, (700, 3))
+    rows, want = [], {}
+    # a long chain, one with a gap, a short one, and edges before the start
+    for seq, frames in (("long", range(400)), ("gap", [*range(10), *range(12, 30)]), ("short", range(2)), ("late", range(-5, 9))):
+        frames = list(frames)
+        a, p, at = turn[0], way[0], max(frames[0], 0)
+        want[seq, at] = (a, p)
+        for k, (x, y) in enumerate(zip(frames, frames[1:], strict=False)):
+            if y - x == 1:
+                m, t = turn[k + 1], way[k + 1]
+                rows.append((seq, x, y, *map(float, m.ravel()), *map(float, t)))
+                if x == at:
+                    a, p, at = m @ a, m @ p + t, y
+                    want[seq, at] = (a, p)
+    rows.append(("long", 7, 99, *[0.0] * 12))
+    edges = spark.createDataFrame(rows, "seq_id string, frame_a int, frame_b int, " + ", ".join(f"{c} double" for c in POSE)).repartition(5)
+    start = spark.createDataFrame([(s, 0, *map(float, turn[0].ravel()), *map(float, way[0])) for s in ("long", "gap", "short", "late", "none")], "seq_id string, frame_idx int, " + ", ".join(f"{c} double" for c in POSE))
+    want["none", 0] = (turn[0], way[0])
+    for block in (4096, 7, 3):
+        got = {(x["seq_id"], x["frame_idx"]): np.array([x[c] for c in POSE]) for x in register.chain_two_view_pose(edges, start, block).collect()}
+        assert set(got) == set(want)
+        assert max(np.abs(got[k] - np.concatenate([a.ravel(), t])).max() for k, (a, t) in want.items()) < 1e-6
+
+
+def test_no_window_holds_a_whole_table():
+    import pathlib
+    import re
+
+    for p in pathlib.Path(ranking.__file__).parents[1].glob("*/*.py"):
+        if p.parent.name in ("operators", "sources", "functions"):
+            assert not re.search(r"Window\.orderBy|W\.orderBy", p.read_text()), p
+
+
+def test_marks_carry_over_partitions(spark):
+    rows = [(k, k % 37 == 5 or k in (200, 201)) for k in range(400)]
+    df = spark.createDataFrame(rows, "frame_idx int, m boolean").repartition(6)
+    on = np.array([k for k, m in rows if m])
+    for x in ranking.nearest_marked(df, "frame_idx", F.col("m"), Scratch(spark, "test")).collect():
+        assert x["low"] == max(on[on <= x["frame_idx"]], default=None) and x["high"] == min(on[on >= x["frame_idx"]], default=None)
+    assert ranking.with_previous(df, "frame_idx", ["m"], Scratch(spark, "test")).where("previous_m is null").count() == 1
