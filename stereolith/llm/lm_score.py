@@ -7,11 +7,10 @@ back to the blocks that asked, as bits over the n-grams they sent, whose order b
 and sums them per document.
 
 The table is filled order by order (1 and 2 together): from 3 on, an n-gram is sent only if both (n-1)-grams in it are counted
-``MIN_COUNT`` times or more, for else it can't be either. This changes no score, as the others back off.
+twice or more. Where one is counted once, the n-gram stands at that very place alone: its count is 1, known without asking.
 
-S(w | context) = c(context w) / c(context) if the n-gram is counted ``MIN_COUNT`` times or more, else ``BACKOFF`` * S(w | shorter context);
-at the end of the chain c(w) / N. The texts scored are the corpus itself: an n-gram counted once is counted at the very place that is
-scored and tells nothing of it, so ``MIN_COUNT`` is 2.
+S(w | context) = c(context w) / c(context) if the n-gram is counted ``MIN_COUNT`` times or more (once: the classic rule), else
+``BACKOFF`` * S(w | shorter context); at the end of the chain c(w) / N.
 
 Rows between stages are runs of texts, compressed, and of hashes as binary columns, so a shuffled n-gram costs a few bytes rather than a row, and a frequent
 n-gram is one entry a block, not one a place. There are as many rows as (block, part) pairs with an n-gram, thus never more than rows of single
@@ -21,6 +20,7 @@ n-grams would be.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +36,7 @@ from stereolith.plans.scratch import small_batches
 
 ORDER = 3
 BACKOFF = 0.4
-MIN_COUNT = 2
+MIN_COUNT = 1
 #: Bytes of text a block holds about, and n-grams a part of the count table.
 BLOCK_BYTES = 10_000_000
 PART_GRAMS = 1_500_000
@@ -103,15 +103,20 @@ def _spans(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
 
 
 def _deal(blocks: int):
-    """(block, docs): rows dealt by their place in the table, equal ones like all others; those of a batch for one block as compressed Arrow."""
+    """(block, docs): rows dealt by their content, their task and which of its equal rows they are, so that a task that runs again with its
+    rows in another order deals alike, and equal rows spread; those of a batch for one block as compressed Arrow."""
 
     @T.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen = TaskContext.get().partitionId(), 0
+        task, seen = np.uint64(TaskContext.get().partitionId() + 1), Counter()
         for batch in batches:
-            place = np.arange(seen, seen + batch.num_rows, dtype=np.uint64) + np.uint64(task << 40)
-            seen += batch.num_rows
-            block = (T.mix(place) % np.uint64(blocks)).astype(np.int64)
+            buf, off = T.text_bytes(batch.column(1), lower=False)
+            own = T.hashes(buf, off[:-1], np.diff(off)) ^ T.mix(batch.column(0).fill_null(-1).to_numpy().astype(np.int64).view(np.uint64))
+            nth = np.zeros(len(own), np.uint64)
+            for i, h in enumerate(own.tolist()):
+                nth[i] = seen[h]
+                seen[h] += 1
+            block = (T.mix(own ^ T.mix(nth * np.uint64(0x9E3779B97F4A7C15) + task)) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             names, first = np.unique(block[order], return_index=True)
             batch, out = batch.take(pa.array(order)), []
@@ -142,28 +147,31 @@ class Block:
         self.min_count, self.parts = min_count, parts
         found = [_grams(x, order) for x in _runs(docs)]
         self.words, self.grams = [w for w, _ in found], [g for _, g in found]
-        #: By run and order, the count of the n-gram that starts at each word; 0 where none is counted.
+        #: By run and order, the count of the n-gram that starts at each word; 0 where none starts or it is under ``min_count``.
         self.count = [[] for _ in found]
 
     def level(self, orders: list[int], replies: pa.Table | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams of these orders that may be counted often enough, ascending, and their counts; with ``replies``, in the whole corpus."""
-        used = []
+        """Distinct n-grams of these orders whose count isn't known yet, ascending, and their counts; with ``replies``, in the whole corpus."""
+        used, alone = [], []
         for k, grams in enumerate(self.grams):
             for n in orders:
                 g, at = grams[n - 1]
-                if n > 2 and self.min_count > 1:
-                    below = self.count[k][n - 2] >= self.min_count
-                    on = below[at] & below[at + 1]
+                once = np.zeros(0, np.int64)
+                if n > 2:
+                    below = np.minimum(self.count[k][n - 2][at], self.count[k][n - 2][at + 1])
+                    on, once = below >= max(self.min_count, 2), at[below == 1]
                     g, at = g[on], at[on]
                 used.append((k, g, at))
+                alone.append(once)
         keys, counts = _counted(np.concatenate([np.zeros(0, np.uint64), *(g for _, g, _ in used)]))
         if replies is not None:
             spans = _spans(keys, self.parts)
             for p, more, totals in zip(*(replies.column(c).to_pylist() for c in ("part", "more", "totals")), strict=True):
                 _, a, b = spans[p]
                 counts[a:b][np.unpackbits(np.frombuffer(more, np.uint8))[: b - a].astype(bool)] = unpack_counts(totals)
-            for k, g, at in used:
+            for (k, g, at), once in zip(used, alone, strict=True):
                 own = np.zeros(len(self.words[k].h), np.int64)
+                own[once] = 1
                 own[at] = counts[np.searchsorted(keys, g)]
                 self.count[k].append(own)
         return keys, counts

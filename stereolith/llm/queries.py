@@ -73,8 +73,8 @@ two as (select b, c, count(*) as n from p where b is not null group by 1, 2),
 three as (select a, b, c, count(*) as n from p where a is not null group by 1, 2, 3),
 n as (select count(*) as n from p),
 s as (
-  select p.r, case when three.n >= 2 then ln(cast(three.n as double) / before.n)
-    when two.n >= 2 then case when p.a is not null then ln(0.4e0) else 0e0 end + ln(cast(two.n as double) / ctx.n)
+  select p.r, case when three.n >= 1 then ln(cast(three.n as double) / before.n)
+    when two.n >= 1 then case when p.a is not null then ln(0.4e0) else 0e0 end + ln(cast(two.n as double) / ctx.n)
     else case when p.a is not null then 2 * ln(0.4e0) when p.b is not null then ln(0.4e0) else 0e0 end + ln(cast(own.n as double) / n.n) end as s
   from p cross join n join one own on own.word = p.c left join two on two.b = p.b and two.c = p.c left join one ctx on ctx.word = p.b
   left join three on three.a = p.a and three.b = p.b and three.c = p.c left join two before on before.b = p.a and before.c = p.b),
@@ -84,16 +84,6 @@ from d left join t using (r)
 """.replace("\\\\", "\\")
 
 
-@query
-def op3_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the order named, whatever the default is
-    found = lm_score.scores(table(spark, sf_dir, "documents"), order=3)
-    return found.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round(F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")), 6).alias("mean_score"))
-
-
-SQL["op3_lm_score_trigrams"] = SQL["op3_lm_score"]
-
-
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(packing.pieces(table(spark, sf_dir, "documents"), word_bpe(), with_ids=False))

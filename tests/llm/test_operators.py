@@ -168,13 +168,13 @@ def test_decontamination_against_all_pairs(spark):
     assert decontaminate.contaminated(frame(spark, []), it).count() == 0
 
 
-@pytest.mark.parametrize("order,block,part", [(1, 4_000, 500), (2, 10_000_000, 1_500_000), (3, 4_000, 500), (4, 3_000, 300)])
-def test_lm_scores_against_counts(spark, monkeypatch, order, block, part):
+@pytest.mark.parametrize("order,least,block,part", [(1, 1, 4_000, 500), (2, 2, 10_000_000, 1_500_000), (3, 1, 4_000, 500), (3, 2, 4_000, 500), (4, 1, 3_000, 300), (4, 3, 3_000, 300)])
+def test_lm_scores_against_counts(spark, monkeypatch, order, least, block, part):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
     monkeypatch.setattr(lm_score, "PART_GRAMS", part)
     r = random.Random(2)
     words = [f"w{k}" for k in range(60)]
-    rows = [(i, " ".join(r.choices(words, k=r.randint(1, 80)))) for i in range(100)] + [x for x in ODD if x[0] != 903]
+    rows = [(i, " ".join(r.choices(words, k=r.randint(1, 80)))) for i in range(100)] + ODD + [(910, "all these words stand here alone")] * 3 + [(911, "nowhere else at all")]
     texts = [re.findall("[0-9a-z]+", t or "") for _, t in rows]
     count = Counter(tuple(t[k : k + n]) for t in texts for n in range(1, order + 1) for k in range(len(t) - n + 1))
     total = sum(map(len, texts))
@@ -182,10 +182,10 @@ def test_lm_scores_against_counts(spark, monkeypatch, order, block, part):
     def s(gram):
         if len(gram) == 1:
             return np.log(count[gram] / total)
-        return np.log(count[gram] / count[gram[:-1]]) if count[gram] >= 2 else np.log(0.4) + s(gram[1:])
+        return np.log(count[gram] / count[gram[:-1]]) if count[gram] >= least else np.log(0.4) + s(gram[1:])
 
     want = sorted((str(i), len(t), round(float(sum(s(tuple(t[max(0, k - order + 1) : k + 1])) for k in range(len(t)))), 6)) for (i, _), t in zip(rows, texts, strict=True))
-    got = sorted((str(x["doc_id"]), x["n_words"], round(x["score"], 6)) for x in lm_score.scores(frame(spark, rows), order).collect())
+    got = sorted((str(x["doc_id"]), x["n_words"], round(x["score"], 6)) for x in lm_score.scores(frame(spark, rows), order, min_count=least).collect())
     assert got == want
     assert lm_score.scores(frame(spark, [])).count() == 0
 
