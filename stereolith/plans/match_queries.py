@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stereolith.operators import geometry as G
+from stereolith.operators import loops as L
 from stereolith.operators import matching as M
 from stereolith.operators import quality as Q
 from stereolith.operators import refine as RF
 from stereolith.operators import register as X
+from stereolith.operators import retrieval as B
 from stereolith.operators import tracks as K
 from stereolith.plans.graph_queries import BOTH, COV, _components, covis, recursive
 from stereolith.plans.map_queries import RES, rounded
@@ -349,6 +351,40 @@ def rg6_refine_loop(spark, d):
     return poses.select("frame_idx", *G.POSE, F.lit(float(cam.fx)).alias("f"), F.lit(history[0]["cost"]).alias("cost"), F.lit(history[-1]["after"]).alias("after"))
 
 
+def _revisited(spark, d):
+    """Frames seen again: every fifth frame, moved by 0.4 to the side and with new keypoints, as frame 100000 + its index."""
+    obs, points, poses = t(spark, d, "fx_obs"), t(spark, d, "fx_points"), t(spark, d, "fx_poses")
+    again = poses.where("frame_idx % 5 = 0").withColumns({"frame_idx": F.col("frame_idx") + 100_000, "t0": F.col("t0") + 0.4})
+    near = obs.where("frame_idx % 5 = 0").select((F.col("frame_idx") + 100_000).alias("frame_idx"), "point_id").distinct()
+    seen = G.project(near.join(again, "frame_idx").join(points, "point_id")).select("point_id", "frame_idx", (-F.col("point_id")).alias("kp_idx"), F.col("pu").alias("u"), F.col("pv").alias("v"))
+    every = obs.select("point_id", "frame_idx", "kp_idx", "u", "v").unionByName(seen)
+    # a point looks the same in all frames: two embeddings beside one another tell it from others
+    e = t(spark, d, "embeddings").select("vec_id", "embedding")
+    n = F.broadcast(e.agg(F.count("*").alias("n")))  # one row
+    keyed = every.join(n).withColumns({"i": F.col("point_id") % F.col("n"), "j": F.floor(F.col("point_id") / F.col("n")) % F.col("n")})
+    descr = keyed.join(e.toDF("i", "di"), "i").join(e.toDF("j", "dj"), "j").select("frame_idx", "kp_idx", F.concat("di", "dj").alias("descr"))
+    return every, descr, obs, points, poses, again
+
+
+@register()
+def bw8_close_loops(spark, d):
+    every, descr, obs, points, poses, again = _revisited(spark, d)
+    # every frame seen again with the frames around the one it was: one true loop each, and others
+    near = again.select("frame_idx").withColumn("frame_a", F.explode(F.sequence(F.col("frame_idx") - 100_003, F.col("frame_idx") - 99_997)))
+    pairs = near.join(poses.select(F.col("frame_idx").alias("frame_a")), "frame_a", "left_semi").select("frame_a", F.col("frame_idx").alias("frame_b"))
+    words = every.select("frame_idx", (F.col("point_id") % 200).cast("int").alias("word"))
+    h = B.tfidf_histograms(words, B.idf(words))
+    loops, _ = L.close_loops(pairs, descr, every, obs, points, poses, B.similarity(h, h, 5, 0.3), every.select("frame_idx").distinct(), matches=100)
+    return loops
+
+
+@register()
+def ma12_choose_seed(spark, d):
+    every, descr, _, _, _, _ = _revisited(spark, d)
+    met = t(spark, d, "fx_matches").groupBy("frame_a", "frame_b").agg(F.count("*").cast("int").alias("score"))
+    return L.choose_seed(met, descr, every, rounds=((60, 6.0, 0.30), (40, 3.0, 0.20), (15, 0.5, 0.15)), points=10)
+
+
 _CAND = "select l_orderkey as frame_a, l_suppkey as frame_b, l_quantity as matches, l_quantity * 0.7e0 as inliers, l_linenumber * 4 as links, l_linenumber as votes, l_quantity / 3 as resected, l_quantity as rows, l_extendedprice / 30000 as scale from {lineitem}"
 
 
