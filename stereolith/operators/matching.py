@@ -172,20 +172,49 @@ def seed_of(*parts) -> int:
     return zlib.crc32(":".join(map(str, parts)).encode())
 
 
+def _whole_pairs(matches: DataFrame) -> DataFrame:
+    """``matches`` with the rows of a pair in one task, one after another and in one order."""
+    return matches.repartition("frame_a", "frame_b").sortWithinPartitions("frame_a", "frame_b", "kp_a", "kp_b")
+
+
+def _pairwise(run):
+    """``run`` over batches cut between pairs: it gets rows and where each pair begins."""
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for rows in it:
+            held = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            if not len(held):
+                continue
+            a, b = held["frame_a"].to_numpy(), held["frame_b"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            if len(first) > 1:
+                yield run(held.iloc[: first[-1]], first)
+                held = held.iloc[first[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield run(held, np.array([0, len(held)]))
+
+    return batches
+
+
 def verify_pairs(matches: DataFrame, thresh: float = 3.0, min_inliers: int = 15, tries: int = 500) -> DataFrame:
     """Matches (frame_a, kp_a, frame_b, kp_b, u_a, v_a, u_b, v_b) with ``model`` (H, F or empty) and ``inlier``.
 
-    The random tries are seeded by the pair and matches are sorted first, so the result doesn't depend on the partitioning.
+    The random tries are seeded by the pair and matches are sorted first, so the result doesn't depend on the partitioning. Tasks read
+    runs of whole pairs; those with too few matches are told apart together, without a call each.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["kp_a", "kp_b"], kind="stable")
+    def run(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
         a, b = rows[["u_a", "v_a"]].to_numpy(float), rows[["u_b", "v_b"]].to_numpy(float)
-        rows["model"], rows["inlier"] = twoview.verify(a, b, thresh, min_inliers, tries, seed_of(rows["frame_a"].iloc[0], rows["frame_b"].iloc[0]))
-        return rows
+        fa, fb = rows["frame_a"].to_numpy(), rows["frame_b"].to_numpy()
+        model, inlier = np.full(len(rows), "", object), np.zeros(len(rows), bool)
+        for s, e in zip(first[:-1], first[1:], strict=True):
+            if e - s >= max(8, min_inliers):
+                model[s:e], inlier[s:e] = twoview.verify(a[s:e], b[s:e], thresh, min_inliers, tries, seed_of(fa[s], fb[s]))
+        return rows.assign(model=model, inlier=inlier)
 
     schema = ", ".join(f"`{n}` {k}" for n, k in matches.dtypes) + ", model string, inlier boolean"
-    return matches.groupBy("frame_a", "frame_b").applyInPandas(run, schema)
+    return _whole_pairs(matches).mapInPandas(_pairwise(run), schema)
 
 
 _REL = ", ".join([f"r{i}{j} double" for i in range(3) for j in range(3)] + [f"t{i} double" for i in range(3)])
@@ -196,13 +225,16 @@ def relative_rotation(matches: DataFrame, cam: Camera = Camera(), thresh: float
     k = np.array([[cam.fx, 0, cam.cx], [0, cam.fy, cam.cy], [0, 0, 1.0]])
     names = ["frame_a", "frame_b", "n", *[f"r{i}{j}" for i in range(3) for j in range(3)], "t0", "t1", "t2"]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["kp_a", "kp_b"], kind="stable")
-        key = rows["frame_a"].iloc[0], rows["frame_b"].iloc[0]
-        found = twoview.relative_rotation(rows[["u_a", "v_a"]].to_numpy(float), rows[["u_b", "v_b"]].to_numpy(float), k, thresh, tries, seed_of(*key))
-        return pd.DataFrame([] if found is None else [(*key, found[2], *found[0].ravel(), *found[1])], columns=names)
-
-    return matches.groupBy("frame_a", "frame_b").applyInPandas(run, f"frame_a int, frame_b int, n int, {_REL}")
+    def run(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        a, b = rows[["u_a", "v_a"]].to_numpy(float), rows[["u_b", "v_b"]].to_numpy(float)
+        fa, fb, out = rows["frame_a"].to_numpy(), rows["frame_b"].to_numpy(), []
+        for s, e in zip(first[:-1], first[1:], strict=True):
+            found = twoview.relative_rotation(a[s:e], b[s:e], k, thresh, tries, seed_of(fa[s], fb[s]))
+            if found is not None:
+                out.append((fa[s], fb[s], found[2], *found[0].ravel(), *found[1]))
+        return pd.DataFrame(out, columns=names)
+
+    return _whole_pairs(matches).mapInPandas(_pairwise(run), f"frame_a int, frame_b int, n int, {_REL}")
 
 
 def baseline_ok(points: DataFrame, min_inliers: int = 8, front: float = 0.5, min_angle: float = 2.0) -> DataFrame:
