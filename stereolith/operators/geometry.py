@@ -190,6 +190,7 @@ def auto_config(datasets: DataFrame) -> DataFrame:
     features = F.when(orb, whole(base * 1.5)).otherwise(base)
     reproj = F.when(orb, clip(side * 0.0020, 1.0, 4.0)).otherwise(clip(side * 0.0010, 0.5, 2.0))
     by_frames = lambda *steps: F.coalesce(*[F.when(n <= most, v) for most, v in steps[:-1]], steps[-1])
+    # fixed values: names, factors, limits and steps of the settings
     columns = {
         "image_size": side,
         "feature_count": features,
