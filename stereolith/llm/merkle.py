@@ -39,25 +39,25 @@ def lowered(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def parents(nodes: DataFrame, arity: int = ARITY) -> DataFrame:
-    """(tree, idx, n, h, kids) of the level above nodes (tree, idx, n, h) of trees that have more than one."""
+def parents(nodes: DataFrame, arity: int = ARITY, carry: list[str] | None = None) -> DataFrame:
+    """(tree, idx, n, h, kids) of the level above nodes (tree, idx, n, h) of trees that have more than one; ``kids`` have h and ``carry``."""
     zero = nodes.where(F.col("idx") % arity == 0)
     offsets = F.sequence(F.lit(0), F.least(F.lit(arity), F.col("n") - F.col("idx")).cast("int") - 1)
     wanted = zero.select("tree", F.col("idx").alias("zero"), "n", F.explode(offsets).alias("slot")).withColumn("idx", F.col("zero") + F.col("slot"))
-    met = wanted.join(nodes.select("tree", "idx", "h"), ["tree", "idx"])
-    up = met.groupBy("tree", "zero", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "h"))), lambda x: x["h"]).alias("kids"))
-    return up.select("tree", (F.col("zero") / arity).cast("long").alias("idx"), F.ceil(F.col("n") / arity).cast("long").alias("n"), F.sha2(F.array_join("kids", ""), 256).alias("h"), "kids")
+    met = wanted.join(nodes.select("tree", "idx", "h", *(carry or [])), ["tree", "idx"])
+    up = met.groupBy("tree", "zero", "n").agg(F.sort_array(F.collect_list(F.struct("slot", "h", *(carry or [])))).alias("kids"))
+    return up.select("tree", (F.col("zero") / arity).cast("long").alias("idx"), F.ceil(F.col("n") / arity).cast("long").alias("n"), F.sha2(F.array_join("kids.h", ""), 256).alias("h"), "kids")
 
 
-def grow(nodes: DataFrame, scratch: Scratch, name: str, arity: int = ARITY) -> tuple[list[DataFrame], DataFrame]:
-    """The levels above ``nodes`` (tree, idx, n, h), lowest first, and (tree, root)."""
-    level, levels = nodes.select("tree", "idx", "n", "h"), []
+def grow(nodes: DataFrame, scratch: Scratch, name: str, arity: int = ARITY, carry: list[str] | None = None) -> tuple[list[DataFrame], DataFrame]:
+    """The levels above ``nodes`` (tree, idx, n, h and what their parents ``carry``), lowest first, and (tree, root)."""
+    level, levels = nodes, []
     most = nodes.agg(F.max("n")).first()[0] or 0
-    tops = [level.where("n = 1")]
+    tops = [level.where("n = 1").select("tree", "h")]
     while most > 1:
-        level = scratch.table(parents(level.where("n > 1"), arity), f"{name}-{len(levels)}")
+        level = scratch.table(parents(level.where("n > 1"), arity, None if levels else carry), f"{name}-{len(levels)}")
         levels.append(level)
-        tops.append(level.where("n = 1").select("tree", "idx", "n", "h"))
+        tops.append(level.where("n = 1").select("tree", "h"))
         most = -(-most // arity)
     top = tops[0]
     for t in tops[1:]:
@@ -65,31 +65,32 @@ def grow(nodes: DataFrame, scratch: Scratch, name: str, arity: int = ARITY) -> t
     return levels, scratch.table(top.select("tree", F.col("h").alias("root")), f"{name}-roots")
 
 
-def _down(level: DataFrame, steps: DataFrame, above: DataFrame, arity: int) -> DataFrame:
-    """(tree, idx, steps) of the children of ``level``: their own step, then their parent's steps.
+def _down(level: DataFrame, steps: DataFrame | None, above: DataFrame, arity: int, carry: list[str]) -> DataFrame:
+    """(tree, idx, steps) of the children of ``level``, their own step, then their parent's steps; with h, ``carry`` and what else ``above`` has.
 
     ``steps`` has (tree, idx, steps) of this level's nodes that have parents; a root takes its steps from ``above`` (tree, steps).
     """
+    more = [c for c in above.columns if c not in ("tree", "steps")]
     own = level.join(steps.select("tree", "idx", F.col("steps").alias("more")), ["tree", "idx"], "left") if steps is not None else level.withColumn("more", F.lit(None).cast(_STEPS))
-    own = own.join(above.select("tree", F.col("steps").alias("top")), "tree", "left")
+    own = own.join(above.withColumnRenamed("steps", "top"), "tree", "left")
     rest = F.when(F.col("n") == 1, F.col("top")).otherwise(F.col("more"))
-    kid = own.select("tree", "idx", "kids", rest.alias("rest"), F.posexplode("kids").alias("slot", "h"))
-    left, right = F.array_join(F.slice("kids", F.lit(1), F.col("slot")), ""), F.array_join(F.slice("kids", F.col("slot") + 2, F.lit(arity)), "")
-    return kid.select("tree", (F.col("idx") * arity + F.col("slot")).cast("long").alias("idx"), F.concat(F.array(F.struct(left.alias("left"), right.alias("right"))), "rest").alias("steps"))
+    kid = own.select("tree", "idx", *more, F.col("kids.h").alias("hs"), rest.alias("rest"), F.explode("kids").alias("kid"))
+    slot = F.col("kid.slot")
+    left, right = F.array_join(F.slice("hs", F.lit(1), slot), ""), F.array_join(F.slice("hs", slot + 2, F.lit(arity)), "")
+    return kid.select("tree", (F.col("idx") * arity + slot).cast("long").alias("idx"), F.concat(F.array(F.struct(left.alias("left"), right.alias("right"))), "rest").alias("steps"), "kid.h", *[f"kid.{c}" for c in carry], *more)
 
 
-def proofs(nodes: DataFrame, levels: list[DataFrame], above: DataFrame, scratch: Scratch, name: str, arity: int = ARITY) -> DataFrame:
-    """(tree, idx, steps) for every row of ``nodes``: what stands left and right of it and its ancestors, lowest first.
+def proofs(nodes: DataFrame, levels: list[DataFrame], above: DataFrame, scratch: Scratch, name: str, arity: int = ARITY, carry: list[str] | None = None) -> DataFrame:
+    """(tree, idx, steps, h) and ``carry`` for every row of ``nodes``: what stands left and right of it and its ancestors, lowest first.
 
-    ``above`` (tree, steps) are the steps of each tree's root. All but the leaves' steps are written.
+    ``above`` (tree, steps, and columns that are handed down) are the steps of each tree's root. All but the leaves' steps are written; those
+    are made where their parents' rows are opened, and go nowhere from there.
     """
-    steps = None
-    for k in range(len(levels) - 1, -1, -1):
-        steps = _down(levels[k], steps, above, arity)
-        if k:
-            steps = scratch.table(steps, f"{name}-steps-{k}")
-    lone = nodes.where("n = 1").select("tree", "idx").join(above, "tree").select("tree", "idx", "steps")
-    return lone if steps is None else steps.unionByName(lone)
+    steps, carry = None, carry or []
+    for k in range(len(levels) - 1, 0, -1):
+        steps = scratch.table(_down(levels[k], steps, above.select("tree", "steps"), arity, []), f"{name}-steps-{k}")
+    lone = nodes.where("n = 1").select("tree", "idx", "h", *carry).join(above, "tree")
+    return lone if not levels else _down(levels[0], steps, above, arity, carry).unionByName(lone)
 
 
 def fold(h: Column, steps: Column) -> Column:
@@ -113,17 +114,15 @@ def manifest(rows: DataFrame, group_col: str, order_col: str, leaf_col: str, car
     # a group's name is carried as text, null apart, so that joins on it are plain; a text of "" sorts after null
     rows = rows.withColumn("tree", F.when(F.col("tree").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("tree").cast("string"))))
     leaves = scratch.table(ranked(rows, [F.col("_o").asc_nulls_first(), F.col("h")], scratch, by="tree", count="n"), "leaves")
-    levels, roots = grow(leaves, scratch, "group", arity)
+    levels, roots = grow(leaves, scratch, "group", arity, ["_o", *carry])
     tops = ranked(roots.select(F.col("tree").alias("name"), F.col("root").alias("h"), F.lit(0).alias("tree")), [F.col("name")], scratch, by="tree", count="n", name="parted-roots")
     tops = scratch.table(tops, "tops")
-    upper, root = grow(tops, scratch, "top", arity)
+    upper, root = grow(tops, scratch, "top", arity, ["name"])
     none = root.select("tree", F.array().cast(_STEPS).alias("steps"))
-    ends = proofs(tops, upper, none, scratch, "top", arity)
-    above = scratch.table(ends.join(tops, ["tree", "idx"]).select(F.col("name").alias("tree"), F.col("h").alias("subroot"), "steps"), "above")
-    steps = proofs(leaves, levels, above.select("tree", "steps"), scratch, "group", arity)
-    found = leaves.join(above.select("tree", "subroot"), "tree").crossJoin(F.broadcast(root.select("root")))  # one row
-    found = found.select("tree", "idx", F.col("_o").alias(order_col), F.col("h").alias("leaf"), "subroot", "root", *carry)
-    return found.join(steps, ["tree", "idx"]).drop("tree", "idx")
+    above = proofs(tops, upper, none, scratch, "top", arity, ["name"])
+    above = scratch.table(above.select(F.col("name").alias("tree"), F.col("h").alias("subroot"), "steps"), "above")
+    found = proofs(leaves, levels, above, scratch, "group", arity, ["_o", *carry]).crossJoin(F.broadcast(root.select("root")))  # one row
+    return found.select(F.col("_o").alias(order_col), F.col("h").alias("leaf"), "subroot", "root", *carry, "steps")
 
 
 def digest(docs: DataFrame) -> DataFrame:
