@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +55,7 @@ def voxel_downsample(cloud: DataFrame, size: float, min_views: int = 1) -> DataF
 
 
 #: Distinct places of a leaf, children of a node, quantiles that scale an axis, and places that ask a leaf at a time.
-LEAF, FAN, QUANTILES, ASKED = 2_000, 16, 256, 16_000
+LEAF, FAN, QUANTILES, ASKED = 512, 16, 256, 16_000
 
 
 def morton(ranks: np.ndarray) -> np.ndarray:
@@ -117,36 +117,54 @@ def _leaves_in_reach(first: DataFrame, dealt: DataFrame, scratch: Scratch) -> Da
     return placed.select("x", "y", "z", "reach", "home", "size").join(pairs, ["home", "size"]).where(close).select("x", "y", "z", "reach", "leaf")
 
 
-def _closest(q: np.ndarray, p: np.ndarray, n: np.ndarray, k: int, own: bool) -> list[list[float]]:
-    """For each of ``q`` up to k ascending distances to points at the places ``p``, of which n lie at each; ``own``: q are these places, and a point is not its own neighbour."""
-    out = []
-    for at in range(0, len(q), 256):
-        d2 = sum((q[at : at + 256, None, i] - p[None, :, i]) ** 2 for i in range(3))
-        most = min(k + 1, len(p))
+def _closest(q: np.ndarray, p: np.ndarray, n: np.ndarray, k: int, own: bool) -> np.ndarray:
+    """For each of ``q`` k ascending distances to points at the places ``p``, of which n lie at each (infinite where there are fewer); ``own``: q are these places, and a point is not its own neighbour."""
+    out = np.full((len(q), k), np.inf)
+    most = min(k + 1, len(p))
+    for at in range(0, len(q), 512):
+        some = q[at : at + 512]
+        d2 = sum((some[:, None, i] - p[None, :, i]) ** 2 for i in range(3))
         near = np.argpartition(d2, most - 1, 1)[:, :most]
-        for i, some in enumerate(near):
-            d = np.sqrt(d2[i, some])
-            times = n[some] - ((some == at + i) if own else 0)
-            order = np.argsort(d, kind="stable")
-            out.append(np.repeat(d[order], np.minimum(times[order], k))[:k].tolist())
+        d, times = np.take_along_axis(d2, near, 1), n[near]
+        if own:
+            times = times - (near == at + np.arange(len(some))[:, None])
+        order = np.argsort(d, 1, kind="stable")
+        d, upto = np.sqrt(np.take_along_axis(d, order, 1)), np.cumsum(np.take_along_axis(times, order, 1), 1)
+        held = (upto[:, :, None] <= np.arange(k)).sum(1)  # the place that holds the first, second, ... neighbour
+        out[at : at + 512] = np.where(held < most, np.take_along_axis(d, np.minimum(held, most - 1), 1), np.inf)
     return out
 
 
+_XYZ = ["x", "y", "z"]
+
+
+def _lists(rows: np.ndarray, kept: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept.sum(1))), pa.int32()), pa.array(rows[kept]))
+
+
+def _at(rows: pa.Table) -> np.ndarray:
+    return np.stack([rows[c].to_numpy() for c in _XYZ], 1)
+
+
 def _within(k: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        p = rows[["x", "y", "z"]].to_numpy(float)
-        near = _closest(p, p, rows["n"].to_numpy(), k, True)
-        return rows[["x", "y", "z", "leaf"]].rename(columns={"leaf": "home"}).assign(near=pd.Series(near, rows.index, object), reach=[d[-1] if len(d) == k else np.inf for d in near])
+    def run(rows: pa.Table) -> pa.Table:
+        p = _at(rows)
+        d = _closest(p, p, rows["n"].to_numpy(), k, True)
+        return pa.table({**{c: rows[c] for c in _XYZ}, "home": rows["leaf"], "near": _lists(d, np.isfinite(d)), "reach": pa.array(d[:, -1])})
 
     return run
 
 
 def _across(k: int):
-    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(rows):
-            return pd.DataFrame({"x": [], "y": [], "z": [], "near": []}).astype({"near": object})
-        near = _closest(queries[["x", "y", "z"]].to_numpy(float), rows[["x", "y", "z"]].to_numpy(float), rows["n"].to_numpy(), k, False)
-        return queries[["x", "y", "z"]].assign(near=pd.Series(near, queries.index, object))
+    """What a leaf adds to places that ask it: only distances below their reach, and only places that get any."""
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        d = np.full((len(queries), k), np.inf)
+        if len(queries) and len(rows):
+            d = _closest(_at(queries), _at(rows), rows["n"].to_numpy(), k, False)
+        kept = d < queries["reach"].to_numpy()[:, None] if len(queries) else d < 0
+        some = kept.any(1)
+        return pa.table({**{c: queries[c].filter(pa.array(some)) for c in _XYZ}, "near": _lists(d[some], kept[some])})
 
     return run
 
@@ -168,7 +186,7 @@ def knn_mean_distance(cloud: DataFrame, k: int = 8) -> DataFrame:
     coded = places.mapInPandas(_coded(edges), "x double, y double, z double, n long, code long")
     dealt = ranked(coded, [F.col(c) for c in ("code", *xyz)], scratch).withColumn("leaf", F.floor(F.col("idx") / LEAF).cast("long")).select(*xyz, "n", "leaf")
     dealt = scratch.table(dealt, "dealt")
-    first = scratch.table(dealt.groupBy("leaf").applyInPandas(_within(k), "x double, y double, z double, home long, near array<double>, reach double"), "first")
+    first = scratch.table(dealt.groupBy("leaf").applyInArrow(_within(k), "x double, y double, z double, home long, near array<double>, reach double"), "first")
     near = first.select(*xyz, "near")
     if first.where("home > 0").limit(1).count():
         asked = scratch.table(_leaves_in_reach(first, dealt, scratch), "asked")
@@ -176,7 +194,7 @@ def knn_mean_distance(cloud: DataFrame, k: int = 8) -> DataFrame:
         parts = asked.groupBy("leaf").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
         asked = asked.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64(*xyz), F.col("parts")).cast("int")).drop("parts")
         answers = dealt.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        second = asked.groupBy("leaf", "part").cogroup(answers.groupBy("leaf", "part")).applyInPandas(_across(k), "x double, y double, z double, near array<double>")
+        second = asked.groupBy("leaf", "part").cogroup(answers.groupBy("leaf", "part")).applyInArrow(_across(k), "x double, y double, z double, near array<double>")
         near = near.unionByName(second).groupBy(*xyz).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     d = near.select(*xyz, F.when(F.size("near") == k, F.aggregate("near", F.lit(0.0), lambda a, v: a + v) / k).otherwise(F.lit(float("inf"))).alias("d"))
     d = scratch.table(d, "d")
@@ -186,7 +204,7 @@ def knn_mean_distance(cloud: DataFrame, k: int = 8) -> DataFrame:
 
 def statistical_outliers(cloud: DataFrame, k: int = 8, std: float = 2.0) -> DataFrame:
     """Points whose mean distance to k neighbours is below mean + std deviations of all; all of them if there are at most k."""
-    d = knn_mean_distance(cloud, k)
+    d = Scratch(cloud.sparkSession, "outliers").table(knn_mean_distance(cloud, k), "d")
     finite = d.where("d < double('infinity')")
     limit = finite.agg((F.avg("d") + std * F.stddev_pop("d")).alias("limit"))
     return cloud.join(d, "uid").join(F.broadcast(limit)).where(F.col("limit").isNull() | (F.col("d") < F.col("limit"))).drop("limit")
