@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from stereolith.llm import text as T
 from stereolith.operators.graph import connected_components
-from stereolith.plans.scratch import Scratch
+from stereolith.plans.scratch import RUN_BYTES, Scratch
 
 PERCENT = 80
 SHINGLE = 5
@@ -42,8 +42,8 @@ COMMON = 4
 LONG = 8
 #: Documents and tokens of a block of a cell, and columns of a matrix at a time.
 CELL_ROWS, CELL_TOKENS, COLUMNS, STRIP = 1024, 400_000, 1024, 256
-#: Bytes of text that are grouped at a time.
-RUN = 2_000_000
+#: Bytes of text that are grouped at a time (a whole batch, mostly), and that are cut into shingles at a time.
+RUN, STEP = 3_000_000, 300_000
 #: Rows of a long list that meet its pivot in one place.
 SPLIT = 1_000
 
@@ -61,7 +61,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 def shingle_sets(column: pa.Array, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, tokens, firsts) for runs of rows."""
-    for a, b in T.runs(column):
+    for a, b in T.runs(column, STEP):
         w = T.words(column.slice(a, b - a), T.WS)
         yield a, *T.sets(*T.grams(w.h, w.first, n, short=True))
 
@@ -113,7 +113,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _groups(frequent=None):
-    """Rows of two kinds: a document's (token null) and a group's prefix tokens; without ``frequent`` the latter only, by hash."""
+    """Rows of two kinds: a document's (token null) and a group's prefix tokens; without ``frequent`` the tokens of the latter alone, by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, rank = frequent.value if frequent else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
@@ -157,6 +157,9 @@ def _groups(frequent=None):
             group, t = group[both], t[both]
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (group[1:] != group[:-1])
+            if not frequent:
+                yield pa.record_batch({"token": _signed(t[new])})
+                continue
             none = pa.nulls(int(new.sum()), pa.int64())
             yield pa.record_batch({"doc_id": none, "n_shingles": none, "leader": real[group[new]], "variant": none, "token": _signed(t[new])})
 
@@ -289,9 +292,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows with a null id take part in no link and get a null component. Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(spark, "jaccard", RUN_BYTES)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = scratch.table(docs.mapInArrow(_groups(), _ROWS).groupBy("token").agg(F.count("*").alias("groups")).where(F.col("groups") >= COMMON), "common")
+    first = scratch.table(docs.mapInArrow(_groups(), "token long").groupBy("token").agg(F.count("*").alias("groups")).where(F.col("groups") >= COMMON), "common")
     most = first.orderBy(F.desc("groups"), "token").limit(FREQUENT).select("token").toArrow()["token"].to_numpy()[::-1].view(np.uint64)
     by_value = np.argsort(most)
     late = spark.sparkContext.broadcast((most[by_value], by_value.astype(np.int32)))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stereolith.llm import text as T
-from stereolith.plans.scratch import small_batches
+from stereolith.plans.scratch import RUN_BYTES, small_batches
 
 ORDERS = (1, 2, 3)
 BUCKETS = 4096
@@ -27,6 +27,8 @@ LANDMARKS = 256
 #: learned, as features come from landmarks of any language.
 MOST_LANDMARKS = 1024
 TRAIN_ROWS = 8192
+#: Bytes of text at a time: an n-gram a byte, eight bytes each, several copies while they are hashed.
+RUN = 300_000
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: A text fits its language if its share of n-grams that the language's landmarks hold reaches this part of what
@@ -85,7 +87,7 @@ class Model:
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores, and whether each text fits its language at all."""
         names, scores, fits = [], [], []
-        for a, b in T.runs(column, 1_500_000):
+        for a, b in T.runs(column, RUN):
             part = column.slice(a, b - a)
             for text_at in range(0, b - a, 1024):
                 some = part.slice(text_at, 1024)
@@ -151,7 +153,7 @@ def train(labelled: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRA
     Whether a row is held out is for the caller to say (``train_rows_of``); a null id has no fold and is not learned from.
     """
     spark = labelled.sparkSession
-    small_batches(spark)
+    small_batches(spark, RUN_BYTES)
     rows = labelled.where("lang is not null and length(text) > 0").select("doc_id", "text", "lang")
     counts = rows.groupBy("lang").agg(F.count("*").alias("rows"))
     languages = sorted(r["lang"] for r in counts.select("lang").collect())
@@ -181,7 +183,7 @@ def train(labelled: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRA
         zz, zy = np.zeros((size, size)), np.zeros((size, len(m.languages)))
         seen = False
         for batch in batches:
-            for a, b in T.runs(batch.column(0), 1_500_000):
+            for a, b in T.runs(batch.column(0), RUN):
                 z = m.features(batch.column(0).slice(a, b - a)).astype(float)
                 y = np.where(np.array(batch.column(1).slice(a, b - a).to_pylist())[:, None] == np.array(m.languages), 1.0, -1.0)
                 zz += z.T @ z
@@ -217,7 +219,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
     ``fits_out``: whether the text is of its language at all, as letter junk and languages not learned are not.
     """
     names = docs.columns
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, RUN_BYTES)
     held = docs.sparkSession.sparkContext.broadcast(model)
     out = [(lang_out, "string"), (score_out, "double"), *([(fits_out, "boolean")] if fits_out else [])]
     kept = [k for k, n in enumerate(names) if n not in [o for o, _ in out]]

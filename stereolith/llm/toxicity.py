@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stereolith.llm import text as T
-from stereolith.plans.scratch import Scratch, small_batches
+from stereolith.plans.scratch import RUN_BYTES, Scratch, small_batches
 
 TRAIN_ROWS, TRAIN_BYTES = 24_000, 32_000_000
 BITS = 22
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 5.0, 0.1
 #: Bytes of text at a time: five features a word, eight bytes each, several copies while they are sorted.
-RUN = 1_000_000
+RUN = 300_000
 _KIND = [np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x5BE0CD19137E2179)]
 
 
@@ -129,7 +129,7 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int =
 
     Without a row labelled 1 there is nothing to find, and all scores are 0. Rows that repeat count as often as they stand.
     """
-    scratch = Scratch(labelled.sparkSession, "toxicity")
+    scratch = Scratch(labelled.sparkSession, "toxicity", RUN_BYTES)
     rows = labelled.where("y is not null").select(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")).alias("order"), F.col("y").cast("int").alias("y"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = scratch.table(rows, "texts")
     count, size, toxic = rows.agg(F.count("*"), F.sum(F.octet_length("text")), F.max("y")).first()
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     other columns are kept, one named as ``out`` is replaced.
     """
     names = docs.columns
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, RUN_BYTES)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @T.tidy
