@@ -174,11 +174,13 @@ def knn_mean_distance(cloud: DataFrame, k: int = 8) -> DataFrame:
 
     Points at one place are one row with a count. Places are ranked by a space-filling curve over quantile-scaled coordinates, in range
     partitions, and cut into leaves of ``LEAF`` places each, so a dense spot falls into many leaves. A place finds k neighbours
-    in its leaf and asks only the leaves nearer than the last of these, which a tree of their boxes tells.
+    in its leaf and asks only the leaves nearer than the last of these, which a tree of their boxes tells. The cloud is written once: sums
+    in it that are worked out anew may end in other bits, and distances come back by the place.
     """
     scratch = Scratch(cloud.sparkSession, "knn")
     xyz = ["x", "y", "z"]
-    places = cloud.select(*[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in xyz]).where(" and ".join(f"{c} is not null and not isnan({c})" for c in xyz)).groupBy(*xyz).agg(F.count("*").alias("n"))
+    keyed = scratch.table(cloud.select("uid", *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in xyz]), "cloud")
+    places = keyed.select(*xyz).where(" and ".join(f"{c} is not null and not isnan({c})" for c in xyz)).groupBy(*xyz).agg(F.count("*").alias("n"))
     places = scratch.table(places, "places")
     cuts = F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)])
     found = places.agg(*[F.percentile_approx(c, cuts, 2_000).alias(c) for c in xyz]).first()
@@ -198,13 +200,14 @@ def knn_mean_distance(cloud: DataFrame, k: int = 8) -> DataFrame:
         near = near.unionByName(second).groupBy(*xyz).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     d = near.select(*xyz, F.when(F.size("near") == k, F.aggregate("near", F.lit(0.0), lambda a, v: a + v) / k).otherwise(F.lit(float("inf"))).alias("d"))
     d = scratch.table(d, "d")
-    keyed = cloud.select("uid", *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in xyz])
     return keyed.join(d, xyz).select("uid", "d")
 
 
 def statistical_outliers(cloud: DataFrame, k: int = 8, std: float = 2.0) -> DataFrame:
     """Points whose mean distance to k neighbours is below mean + std deviations of all; all of them if there are at most k."""
-    d = Scratch(cloud.sparkSession, "outliers").table(knn_mean_distance(cloud, k), "d")
+    scratch = Scratch(cloud.sparkSession, "outliers")
+    cloud = scratch.table(cloud, "cloud")
+    d = scratch.table(knn_mean_distance(cloud, k), "d")
     finite = d.where("d < double('infinity')")
     limit = finite.agg((F.avg("d") + std * F.stddev_pop("d")).alias("limit"))
     return cloud.join(d, "uid").join(F.broadcast(limit)).where(F.col("limit").isNull() | (F.col("d") < F.col("limit"))).drop("limit")

@@ -155,3 +155,16 @@ def test_marks_carry_over_partitions(spark):
     for x in ranking.nearest_marked(df, "frame_idx", F.col("m"), Scratch(spark, "test")).collect():
         assert x["low"] == max(on[on <= x["frame_idx"]], default=None) and x["high"] == min(on[on >= x["frame_idx"]], default=None)
     assert ranking.with_previous(df, "frame_idx", ["m"], Scratch(spark, "test")).where("previous_m is null").count() == 1
+
+
+def test_outliers_keep_points_whose_coordinates_end_in_other_bits_when_worked_out_anew(spark):
+    def jittered(batches):
+        for rows in batches:
+            yield rows.assign(**{c: rows[c] * (1 + np.random.default_rng().uniform(-1, 1, len(rows)) * 1e-15) for c in "xyz"})
+
+    r = np.random.default_rng(4)
+    rows = [(i, *map(float, p)) for i, p in enumerate(r.uniform(1, 9, (1500, 3)))]
+    cloud = spark.createDataFrame(rows, "uid long, x double, y double, z double").mapInPandas(jittered, "uid long, x double, y double, z double")
+    got = {x["uid"] for x in dense.statistical_outliers(cloud, 8, 50.0).collect()}
+    assert got == set(range(1500))
+    assert len(dense.knn_mean_distance(cloud, 8).collect()) == 1500
