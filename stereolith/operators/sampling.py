@@ -91,7 +91,8 @@ def stratified_select(frames: DataFrame, bins: int = 20) -> DataFrame:
 
     n = min(target, valid frames), min(bins, n) bins, quota n // bins and one more in the first n % bins. A bin without a
     valid frame gives none; a quota that covers the bin takes all its frames, valid or not; without weight its valid frames are
-    taken evenly; else the frames where the running weight passes (i + 0.5) / quota.
+    taken evenly; else the frames where the running weight passes (i + 0.5) / quota. Weights are summed as whole numbers of 10^-12 of
+    the size of the bin's largest, so that a weight that reaches a mark exactly does so in whatever order they are added.
     """
     w = Window.partitionBy(VIDEO)
     f = frames.withColumns({"_total": F.count("*").over(w), "_valid": F.sum(F.col("valid").cast("int")).over(w)})
@@ -101,11 +102,14 @@ def stratified_select(frames: DataFrame, bins: int = 20) -> DataFrame:
     inside = Window.partitionBy(VIDEO, "_b")
     run = inside.orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)
     f = f.withColumn("_w", F.when(F.col("valid"), F.col("weight")).otherwise(0.0))
+    top = F.max("_w").over(inside)
+    f = f.withColumn("_w", F.when(top > 0, F.coalesce(F.round(F.col("_w") * F.pow(F.lit(10.0), 12 - F.floor(F.log10(top)))).try_cast("decimal(20,0)"), F.lit(0))).otherwise(F.lit(0)).cast("decimal(20,0)"))
     f = f.withColumns({"_size": F.count("*").over(inside), "_ok": F.sum(F.col("valid").cast("int")).over(inside), "_sum": F.sum("_w").over(inside), "_cum": F.sum("_w").over(run), "_rank": F.sum(F.col("valid").cast("int")).over(run) - 1, "_k": quota})
     before = F.col("_cum") - F.col("_w")
-    passed = lambda c: F.floor(c / F.col("_sum") * F.col("_k") + 0.5)
+    f = f.withColumn("_before", before)
+    passed = lambda c: F.expr(f"(2 * {c} * cast(_k as decimal(10,0)) + _sum) div (2 * _sum)")
     even = F.exists(F.sequence(F.lit(0), F.col("_k").cast("int") - 1), lambda i: linspace_index(i, F.col("_ok"), F.col("_k"), "round") == F.col("_rank"))
-    take = F.when(F.col("_k") >= F.col("_size"), True).when(F.col("_sum") <= 0, F.col("valid") & even).otherwise((F.col("_w") > 0) & (passed(F.col("_cum")) > passed(before)))
+    take = F.when(F.col("_k") >= F.col("_size"), True).when(F.col("_sum") <= 0, F.col("valid") & even).otherwise((F.col("_w") > 0) & (passed("_cum") > passed("_before")))
     return f.where((F.col("_ok") > 0) & (F.col("_k") > 0)).where(take).select(VIDEO, "frame_no")
 
 
