@@ -208,7 +208,7 @@ def cv14_next_frames(spark, d):
 
 @register(twin("select f.frame_idx, arg_min(g.frame_idx, abs(g.frame_idx - f.frame_idx) * 1000 + g.frame_idx) as nearest from fx_poses f, (select frame_idx from fx_poses where frame_idx * frame_idx % 7 = 2) g group by 1"))
 def cv15_nearest_registered(spark, d):
-    f = t(spark, d, "fx_poses").select("frame_idx", (F.col("frame_idx") * F.col("frame_idx") % 7 == 2).alias("registered"))
+    f = t(spark, d, "fx_poses").select("frame_idx", (F.col("frame_idx").cast("long") * F.col("frame_idx") % 7 == 2).alias("registered"))
     return C.nearest_registered(f)
 
 
