@@ -113,26 +113,56 @@ def write_ply(cloud: DataFrame, path: str) -> None:
     A file is for a viewer: give it a cloud that ``dense.cap_points`` has bounded.
     """
     head, body = ply_parts(cloud)
-    store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    store, at = _store(path)
     with store.open_output_stream(at) as out:
         out.write(head)
         for row in body.select("body").toLocalIterator():
             out.write(bytes(row["body"]))
 
 
-def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """The vertices of files that ``write_ply`` made."""
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+#: Vertices of a range of a file that one task reads, and of a batch.
+RANGE, VERTICES = 2_000_000, 100_000
+
+
+def read_ply(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """The vertices of files that ``write_ply`` made, of any length: tasks read ranges of ``rows`` vertices each."""
+    rows = rows or RANGE
+    parts = []
+    for found in spark.read.format("binaryFile").load(path).select("path").collect():  # names alone, no content
+        store, at = _store(found["path"])
+        with store.open_input_stream(at) as f:
+            head = b""
+            while b"end_header\n" not in head and (more := f.read(4096)):
+                head += more
+        head = head.partition(b"end_header\n")[0]
+        lines = head.decode().splitlines()
+        names = ",".join(x.split()[2] for x in lines if x.startswith("property"))
+        n = next(int(x.split()[2]) for x in lines if x.startswith("element vertex"))
+        parts += [(found["path"], names, len(head) + len(b"end_header\n"), k, min(rows, n - k)) for k in range(0, n, rows)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                head, _, body = data.partition(b"end_header\n")
-                names = [x.split()[2] for x in head.decode().splitlines() if x.startswith("property")]
-                rows = np.frombuffer(body, [(n, "<f4" if n in "xyz" else "u1") for n in names])
-                none = np.zeros(len(rows), np.int32)
-                yield pa.record_batch({**{c: rows[c].astype(np.float32) for c in "xyz"}, **{c: rows[n].astype(np.int32) if n in names else pa.array(none, mask=none == 0) for c, n in (("r", "red"), ("g", "green"), ("b", "blue"))}})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "x float, y float, z float, r int, g int, b int")
+            for at, names, start, first, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names = names.split(",")
+                kind = np.dtype([(n, "<f4" if n in "xyz" else "u1") for n in names])
+                store, where = _store(at)
+                with store.open_input_file(where) as f:
+                    f.seek(start + first * kind.itemsize)
+                    for k in range(0, count, VERTICES):
+                        size = min(VERTICES, count - k) * kind.itemsize
+                        body = f.read(size)
+                        if len(body) != size:
+                            raise ValueError(f"{at} ends before its last vertex")
+                        v = np.frombuffer(body, kind)
+                        none = np.zeros(len(v), np.int32)
+                        yield pa.record_batch({**{c: v[c].astype(np.float32) for c in "xyz"}, **{c: v[n].astype(np.int32) if n in names else pa.array(none, mask=none == 0) for c, n in (("r", "red"), ("g", "green"), ("b", "blue"))}})
+
+    ranges = spark.createDataFrame(parts, "path string, names string, start long, first long, count long")
+    return ranges.repartition(max(1, len(parts))).mapInArrow(run, "x float, y float, z float, r int, g int, b int")
 
 
 def pending_pairs(pairs: DataFrame, done: DataFrame, fingerprint: str) -> DataFrame:

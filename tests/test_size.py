@@ -7,6 +7,7 @@ import pytest
 
 from stereolith import queries
 from stereolith.operators import matching
+from stereolith.sources import listing
 
 
 def test_nearest_registered_of_large_indices(spark, tmp_path):
@@ -78,3 +79,20 @@ def test_scores_count_all_descriptors(spark):
     pairs = spark.createDataFrame([(0, 1)], "frame_a int, frame_b int")
     assert matching.pair_scores(df, pairs, 0.97, 1.3).first()["score"] == 700
     assert matching.pair_scores(df, pairs, 0.97, 1.3, first=500).first()["score"] == 500
+
+
+def test_ply_files_are_read_in_ranges(spark, tmp_path):
+    # a sparse file of over 2 GB, with one vertex at its end
+    n = 150_000_000
+    head = f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nend_header\n".encode()
+    last = np.array([(1.5, 2.5, -3.5, 1, 2, 255)], [("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1")])
+    with open(tmp_path / "large.ply", "wb") as f:
+        f.write(head)
+        f.seek(len(head) + 15 * (n - 1))
+        f.write(last.tobytes())
+    v = listing.read_ply(spark, f"file://{tmp_path}/large.ply")
+    assert tuple(v.selectExpr("count(*)", "sum(cast(x as double))", "min(z)", "max(b)").first()) == (n, 1.5, -3.5, 255)
+    cloud = spark.range(1000).selectExpr("cast(id as float) as x", "cast(id as float) as y", "cast(0 as float) as z")
+    listing.write_ply(cloud, f"file://{tmp_path}/plain.ply")
+    got = listing.read_ply(spark, f"file://{tmp_path}/plain.ply", rows=7)
+    assert sorted(tuple(r) for r in got.collect()) == [(float(i), float(i), 0.0, None, None, None) for i in range(1000)]
