@@ -27,9 +27,10 @@ def natural_key(path: Column) -> Column:
 
 
 def natural_order(df: DataFrame, path: str = "path") -> DataFrame:
-    """``df`` with ``frame_idx`` from 0 by the natural key (ties: the path), ranked over range partitions of it."""
+    """``df`` with ``frame_idx`` from 0 by the natural key (ties: the path, then the other columns that have an order), ranked over range partitions of it."""
     keyed = df.withColumn("_key", natural_key(F.col(path)))
-    found = ranked(keyed, [F.col("_key"), F.col(path)], Scratch(df.sparkSession, "order"), rank="frame_idx").drop("_key")
+    more = [F.col(c) for c, kind in df.dtypes if c != path and not kind.startswith(("map", "variant")) and "map<" not in kind]
+    found = ranked(keyed, [F.col("_key"), F.col(path), *more], Scratch(df.sparkSession, "order"), rank="frame_idx").drop("_key")
     return found.withColumn("frame_idx", F.col("frame_idx").cast("int"))
 
 

@@ -96,3 +96,10 @@ def test_ply_files_are_read_in_ranges(spark, tmp_path):
     listing.write_ply(cloud, f"file://{tmp_path}/plain.ply")
     got = listing.read_ply(spark, f"file://{tmp_path}/plain.ply", rows=7)
     assert sorted(tuple(r) for r in got.collect()) == [(float(i), float(i), 0.0, None, None, None) for i in range(1000)]
+
+
+def test_equal_paths_stand_in_the_order_of_their_ids(spark):
+    rows = [(i * 7919 % 2000, f"https://a.example/{i % 10}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "page_id long, path string").repartition(13)
+    got = [r["page_id"] for r in listing.natural_order(df).orderBy("frame_idx").collect()]
+    assert got == [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
