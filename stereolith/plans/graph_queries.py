@@ -254,8 +254,8 @@ def bw5_similarity(spark, d):
 
 def bw6_suppress_near(spark, d):
     h = histograms(spark, d)
-    # scores to six digits, so that both engines see the same ties
-    return B.suppress_near(rounded(B.similarity(h, h, 5, 0.0), "score"), 5, 3)
+    # scores to six digits, so that both engines see the same ties; three of which no two are within 5 of each other lie among the best 3 * 11
+    return B.suppress_near(rounded(B.similarity(h, h, 5, 0.0, top=3 * 11, digits=6), "score"), 5, 3)
 
 
 register(
