@@ -280,5 +280,4 @@ left join (select frame_a as x, frame_b as y, 1 as hit from sim where score > 0.
 )
 def bw7_sequence_consistency(spark, d):
     h = histograms(spark, d)
-    s = B.similarity(h, h, 5, 0.0)
-    return B.sequence_consistency(s.where("score >= 0.75"), s, t(spark, d, "fx_poses"), least=0.72)
+    return B.consistent_pairs(h, t(spark, d, "fx_poses"), 5, 0.75, 0.72)
