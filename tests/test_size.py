@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from stereolith import queries
-from stereolith.operators import matching
+from stereolith.operators import loops, matching
 from stereolith.sources import listing
 
 
@@ -103,3 +103,17 @@ def test_equal_paths_stand_in_the_order_of_their_ids(spark):
     df = spark.createDataFrame(rows, "page_id long, path string").repartition(13)
     got = [r["page_id"] for r in listing.natural_order(df).orderBy("frame_idx").collect()]
     assert got == [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+
+
+def test_the_first_pair_deals_out_its_own_frames_alone(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def stop(descriptors, pairs, *_):
+        raise Seen(sorted({r["frame_idx"] for r in descriptors.collect()}))
+
+    monkeypatch.setattr(loops.M, "match", stop)
+    every = spark.createDataFrame([(f, k, 1.0, 2.0, [float(k), 1.0]) for f in range(40) for k in range(3)], "frame_idx int, kp_idx int, u double, v double, descr array<double>")
+    pairs = spark.createDataFrame([(3, 7, 5), (7, 30, 4)], "frame_a int, frame_b int, score int")
+    with pytest.raises(Seen, match=r"\[3, 7, 30\]"):
+        loops.seed_metrics(pairs, every.select("frame_idx", "kp_idx", "descr"), every)
